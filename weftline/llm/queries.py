@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, matroska, packing, pii, quality, toxicity
+from weftline.llm import chat, html_consensus, matroska, packing, pii, quality, toxicity
 from weftline.session import table
 
 TRICKY = "\\### Assistant: </turn> ok"
@@ -36,6 +36,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_consensus.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_formatting": op2_chat_formatting,
     "op4_quality_rules": op4_quality_rules,
     "op6_toxicity": op6_toxicity,
+    "op8_html_consensus": op8_html_consensus,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
 }
