@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, html_consensus, matroska, packing, pii, quality, toxicity
+from weftline.llm import chat, html_consensus, matroska, packing, pii, quality, sentencepiece_trie, toxicity
 from weftline.session import table
 
 TRICKY = "\\### Assistant: </turn> ok"
@@ -29,6 +29,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_trie.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = sentencepiece_trie.decode(encoded)
+    same = F.col("decoded").eqNullSafe(F.translate("text", sentencepiece_trie.MARK, " "))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -75,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op2_chat_formatting": op2_chat_formatting,
     "op4_quality_rules": op4_quality_rules,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op8_html_consensus": op8_html_consensus,
     "op9_best_fit_packing": op9_best_fit_packing,
