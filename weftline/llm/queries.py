@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, html_consensus, matroska, packing, pii, quality, sentencepiece_trie, toxicity
+from weftline.llm import chat, html_consensus, matroska, packing, pii, quality, sentencepiece_trie, substring, toxicity
 from weftline.session import table
 
 TRICKY = "\\### Assistant: </turn> ok"
@@ -43,6 +43,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_consensus.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_html_consensus": op8_html_consensus,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_pii": op10_pii,
