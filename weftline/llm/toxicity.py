@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from weftline.llm.textops import Words, lower_ascii, mix, text_buffers, text_chunks
 
 BITS, PREFIXES = 18, (4, 6)
-MAX_ROWS = 16_000
+MAX_ROWS = 12_000
 
 #: Terms of one group stand in for each other in counterfactuals.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -94,44 +94,66 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out + self.intercept, -500, 500)))
 
 
-def fit(rows: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]], rounds: int = 100, rate: float = 0.1, l2: float = 1e-3, fairness: float = 1.0, least: int = 3, most_weight: float = 6.0) -> Model:
-    """rows: features, label, and the features that a counterfactual swap takes away and adds.
-    Adam on mean log loss + l2 |w|^2 + fairness * mean squared score change. Features of fewer
-    than `least` rows keep the weight 0; toxic rows, the rarer ones, count up to `most_weight` times."""
-    n_features = 1 << BITS
-    if not rows:
+@dataclass
+class Examples:
+    """Labelled rows: label, and the flat features of all rows with the number of each row's; the
+    same of those that the row's counterfactual loses and gains."""
+
+    label: np.ndarray
+    features: tuple[np.ndarray, np.ndarray]
+    lost: tuple[np.ndarray, np.ndarray]
+    gained: tuple[np.ndarray, np.ndarray]
+
+    @classmethod
+    def of(cls, rows: list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]) -> "Examples":
+        """From (features, label, lost, gained) of each row."""
+        flat = [(np.concatenate([r[i] for r in rows]).astype(np.int32), np.array([len(r[i]) for r in rows])) for i in (0, 2, 3)]
+        return cls(np.array([r[1] for r in rows], np.float64), *flat)
+
+
+def row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([0.0], np.cumsum(values)))
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def fit(rows: Examples, rounds: int = 100, rate: float = 0.1, l2: float = 1e-3, fairness: float = 1.0, least: int = 3, most_weight: float = 6.0, block: int = 1000) -> Model:
+    """Adam on mean log loss + l2 |w|^2 + fairness * mean squared score change. Features of fewer
+    than `least` rows keep the weight 0; toxic rows, the rarer ones, count up to `most_weight`
+    times. Gradients are summed over blocks of rows, which bounds the memory beside the features'."""
+    n_features, y = 1 << BITS, rows.label
+    if not len(y):
         return Model(np.zeros(n_features), -800.0)
-    y = np.array([r[1] for r in rows], np.float64)
-    feature = np.concatenate([r[0] for r in rows])
-    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    feature, counts = rows.features
     weight = np.where(y > 0, min(most_weight, max(1.0, (len(y) - y.sum()) / max(1.0, y.sum()))), 1.0)
-    common = np.bincount(feature, minlength=n_features) >= least
-    use = common[feature]
-    feature, row = feature[use], row[use]
-    changed = [np.concatenate((a, b)) for _, _, a, b in rows]
-    pair_feature = np.concatenate(changed) if changed else np.zeros(0, np.int64)
-    sign = np.concatenate([np.concatenate((np.ones(len(a)), -np.ones(len(b)))) for _, _, a, b in rows])
-    pair = np.repeat(np.arange(len(rows)), [len(c) for c in changed])
-    n_pairs = max(1, sum(len(c) > 0 for c in changed))
-    seen, packed = np.unique(np.concatenate((feature, pair_feature)), return_inverse=True)
-    f, pf = packed[: len(feature)], packed[len(feature) :]
-    w, b = np.zeros(len(seen)), 0.0
-    m, v, mb, vb = np.zeros(len(seen)), np.zeros(len(seen)), 0.0, 0.0
+    used = np.bincount(feature, minlength=n_features) >= least
+    for flat, _ in (rows.lost, rows.gained):
+        used |= np.bincount(flat, minlength=n_features) > 0
+    place = np.where(used, np.cumsum(used), 0).astype(np.int32)  # 0: a feature without a weight
+    n = int(used.sum()) + 1
+    ends = np.cumsum(counts)
+    changed = [(place[flat], c, sign) for (flat, c), sign in ((rows.lost, 1.0), (rows.gained, -1.0))]
+    n_pairs = max(1, int(np.count_nonzero(rows.lost[1] + rows.gained[1])))
+    w, b = np.zeros(n), 0.0
+    m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(row, w[f], len(rows)) + b
-        gap = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        g = np.bincount(f, gap[row], len(seen)) / len(rows) + 2 * l2 * w
-        if len(pf):
-            delta = np.bincount(pair, w[pf] * sign, len(rows))
-            g += 2 * fairness * np.bincount(pf, delta[pair] * sign, len(seen)) / n_pairs
-        gb = gap.mean()
+        g, gb = 2 * l2 * w, 0.0
+        for lo in range(0, len(y), block):
+            hi = min(lo + block, len(y))
+            f = place[feature[ends[lo] - counts[lo] : ends[hi - 1]]]
+            z = row_sums(w[f], counts[lo:hi]) + b
+            gap = weight[lo:hi] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[lo:hi])
+            g += np.bincount(f, np.repeat(gap, counts[lo:hi]), n) / len(y)
+            gb += gap.sum() / len(y)
+        delta = sum(sign * row_sums(w[f], c) for f, c, sign in changed)
+        for f, c, sign in changed:
+            g += 2 * fairness * np.bincount(f, sign * np.repeat(delta, c), n) / n_pairs
+        g[0] = 0.0
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    weights = np.zeros(n_features)
-    weights[seen] = w
-    return Model(weights, float(b))
+    return Model(w[place], float(b))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -162,9 +184,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **how) -
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names)
 
     got = texts.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, toxic int, features binary, lost binary, gained binary")
-    rows = sorted(got.collect(), key=lambda r: (r["doc_id"], r["toxic"], bytes(r["features"])))
-    ids = lambda raw: np.frombuffer(raw, np.int32).astype(np.int64)
-    return fit([(ids(r["features"]), r["toxic"], ids(r["lost"]), ids(r["gained"])) for r in rows], **how)
+    rows = got.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+
+    def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
+        column = rows.column(name)
+        parts = [np.frombuffer(x.as_buffer(), np.int32) for c in column.chunks for x in c]
+        return np.concatenate([np.zeros(0, np.int32), *parts]), np.array([len(x) for x in parts], np.int64)
+
+    return fit(Examples(rows.column("toxic").to_numpy().astype(np.float64), flat("features"), flat("lost"), flat("gained")), **how)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
