@@ -1,22 +1,64 @@
-"""documents through quality rules, near-duplicate removal, substring removal, masking and packing."""
+"""documents through quality rules, near-duplicate removal, substring removal, masking and packing.
+
+Each stage takes the documents that the one before kept, in the columns of documents; the last
+returns the packed pieces. Stages that change a text keep n_chars, where there is one, in step.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import jaccard, packing, pii, quality, substring
+from weftline.session import materialize
+
 
-from weftline.llm import quality
+def with_text(docs: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    kinds = dict(docs.dtypes)
+    own = docs.withColumn("__text", text)
+    return own.select(*[F.col("__text").alias(c) if c == "text" else F.length("__text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in columns])
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule rejects."""
     return quality.keep_good(docs)
 
 
-STAGES = [("quality rules", quality_stage)]
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    return jaccard.keep_first(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that occur earlier; a text that loses nothing stays as it is."""
+    cut = substring.deduplicate(docs)
+    return with_text(cut, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), docs.columns)
+
+
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by [KIND]."""
+    masked = pii.mask(docs)
+    return with_text(masked, F.col("text"), docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their sequences and offsets."""
+    return packing.pack(packing.pieces(docs))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard),
+    ("substring dedup", substring_dedup),
+    ("PII", mask_pii),
+    ("best-fit packing", best_fit_packing),
+]
+#: Tokens, random fields and packing are beyond SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if not i else materialize(docs, "stage"), sf_dir)
     return docs

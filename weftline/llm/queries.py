@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, html_consensus, matroska, packing, pii, quality, sentencepiece_trie, substring, toxicity
+from weftline.llm import chat, html_consensus, jaccard, matroska, packing, pii, quality, sentencepiece_trie, substring, toxicity
 from weftline.session import table
 
 TRICKY = "\\### Assistant: </turn> ok"
@@ -24,6 +24,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(extra)))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -86,6 +90,7 @@ QUALITY_KEPT = "NOT base_failed AND NOT 100 * n_symbols > 10 * n_words AND NOT 1
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
