@@ -30,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.textops import text_chunks
+
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
+#: Bounds of what a task keeps: bytes of text a trie is built from, encoded words, known pairs.
+CHUNK, KEPT_WORDS, KEPT_PAIRS = 6_000_000, 300_000, 1_000_000
 
 
 @dataclass
@@ -52,6 +56,7 @@ class Pieces:
     dummy_prefix: bool
     fits: dict[int, bool] = field(default_factory=dict)
     tails: dict = field(default_factory=dict)
+    known: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         for piece, i in self.ids.items():
@@ -112,7 +117,7 @@ class Pieces:
         return self.merged(left + right) == ([left, right] if left else [right])
 
     def _known(self, key: int, left: str, right: str) -> bool:
-        if len(self.fits) > 3_000_000:
+        if len(self.fits) > KEPT_PAIRS:
             self.fits.clear()
         known = self.fits[key] = self.pair_stays(left, right)
         return known
@@ -206,14 +211,20 @@ def pieces(name: str, kind: int | None = None) -> Pieces:
 
 
 def encode(docs: DataFrame, text: str = "text", name: str = "ids", model: str = MODEL, kind: int | None = None) -> DataFrame:
-    """docs plus ids. Each batch has a trie of its own: no words travel between tasks."""
+    """docs plus ids. A task builds a trie of the words that it doesn't know yet from every CHUNK of
+    text; no words travel between tasks."""
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
         own = pieces(model, kind)
-        words = [[] if t is None else own.words(t) for t in texts.to_pylist()]
-        table = own.encode_words(set().union(*words))
-        packed = [b"".join(map(table.__getitem__, ws)) for ws in words]
+        packed: list[bytes] = []
+        for lo, hi in text_chunks(texts, CHUNK):
+            words = [[] if t is None else own.words(t) for t in texts.slice(lo, hi - lo).to_pylist()]
+            if len(own.known) > KEPT_WORDS:
+                own.known.clear()
+            table = own.known
+            table |= own.encode_words(set().union(*words).difference(table))
+            packed += [b"".join(map(table.__getitem__, ws)) for ws in words]
         offsets = np.cumsum([0, *map(len, packed)]) // 4
         values = pa.array(np.frombuffer(b"".join(packed), np.int32))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=texts.is_null() if texts.null_count else None)
