@@ -139,9 +139,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows that pass, columns unchanged. Each rule is a filter of its own over just the
-    measures it needs, in cascade order, so that rejected rows cost no more than their first failure."""
+    """The rows that pass, columns unchanged. The words are split once, and a rule's measures are
+    taken only if no rule before it rejects."""
     own = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumn("__text", own).withColumn("__words", words_of(F.col("__text")))
-    measures = {n: make(F.col("__text"), F.col("__words")) for n, (_, make) in MEASURES.items()}
-    return split.filter(cascade([n for n, _, _ in order_rules(docs, rules, text=text)], measures, rules)).select(*docs.columns)
+    order = [name for name, _, _ in order_rules(docs, rules, text=text)]
+    return docs.filter(let(words_of(own), lambda w: cascade(order, {n: make(own, w) for n, (_, make) in MEASURES.items()}, rules)))
