@@ -202,8 +202,30 @@ def admitted(x: Column, y: Column, threshold: int) -> Column:
     return F.lit(100) * F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The (a, b) of pairs whose sets link, by their full intersection."""
+def enough(shared: Column, x: Column, y: Column, threshold: int) -> Column:
+    """Whether sets of x and y shingles, `shared` of them in both prefixes, can link. Beyond the
+    prefix that ends first in the order, its set has nothing but the rest to share."""
+    needed = F.ceil(F.lit(threshold) * (x + y) / F.lit(100 + threshold))
+    rest = F.greatest(*[F.ceil(F.lit(threshold) * n / 100) - 1 for n in (x, y)])
+    return shared + rest >= needed
+
+
+def verified(docs: DataFrame, candidates: DataFrame, threshold: int, k: int) -> DataFrame:
+    """The (a, b) of candidates whose sets link, by their full intersection. Just the texts of
+    candidates are turned into sets."""
+    pairs = materialize(candidates, "pairs")
+    ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = batch.columns
+            for lo, hi in text_chunks(texts):
+                found, counts = shingle_sets(texts.slice(lo, hi - lo), k)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(signed(found)))
+                yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), lists], ["id", "tokens"])
+
+    chosen = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
+    sets = materialize(chosen.mapInArrow(tokens, "id long, tokens array<long>").dropDuplicates(["id"]), "tokens")
 
     @F.arrow_udf("boolean")
     def links(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -219,7 +241,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").filter(links("ta", "tb")).select("a", "b")
+    return materialize(pairs.join(left, "a").join(right, "b").filter(links("ta", "tb")).select("a", "b"), "links")
 
 
 def join_classes(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -233,28 +255,15 @@ def join_classes(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text:
     classes = materialize(classes, "classes")
     groups = materialize(classes.groupBy("grp").agg(F.min("class").alias("head"), F.count("*").alias("classes")), "groups")
 
-    # Sets of all classes that may be compared.
-    met = shared.select("grp").distinct().unionByName(groups.filter("classes > 1").select("grp")).distinct()
-    needed = classes.join(met, "grp", "left_semi").select("class")
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.columns
-            for lo, hi in text_chunks(texts):
-                found, counts = shingle_sets(texts.slice(lo, hi - lo), k)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(signed(found)))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists], ["id", "tokens"])
-
-    chosen = own.join(needed, own["doc_id"] == needed["class"], "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(chosen.mapInArrow(tokens, "id long, tokens array<long>"), "tokens")
-
-    # Each group with its bucket's first, each class with its group's first.
+    # Each group with its bucket's first, where they share enough there; each class with its group's first.
     heads = groups.select("grp", "head")
-    met_first = shared.filter(F.col("with_grp").isNotNull() & admitted(F.col("n"), F.col("with_n"), threshold)).select("grp", "with_grp").distinct()
-    between = met_first.join(heads.withColumnRenamed("head", "a"), "grp").join(heads.select(F.col("grp").alias("with_grp"), F.col("head").alias("b")), "with_grp").select("a", "b")
+    met = shared.filter(F.col("with_grp").isNotNull() & admitted(F.col("n"), F.col("with_n"), threshold))
+    met = met.groupBy("grp", "with_grp", "n", "with_n").agg(F.count("*").alias("shared"))
+    met = met.filter(enough(F.col("shared"), F.col("n"), F.col("with_n"), threshold)).select("grp", "with_grp")
+    between = met.join(heads.withColumnRenamed("head", "a"), "grp").join(heads.select(F.col("grp").alias("with_grp"), F.col("head").alias("b")), "with_grp").select("a", "b")
     inside = classes.join(groups.filter("classes > 1").select("grp", "head"), "grp").filter("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
     pairs = between.filter("a <> b").unionByName(inside).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    first_edges = materialize(verified(pairs, sets, threshold), "links")
+    first_edges = verified(own, pairs, threshold, k)
     labels = components(first_edges)
 
     # All other pairs of a bucket that lie in different components.
@@ -264,17 +273,15 @@ def join_classes(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text:
     mixed = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     left = materialize(members.join(mixed, "token", "left_semi"), "mixed")
     right = left.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("other"))
-    least = F.ceil(F.lit(threshold) * (F.col("n") + F.col("nb")) / F.lit(100 + threshold))
-    beyond = F.greatest(*[F.ceil(F.lit(threshold) * F.col(c) / 100) - 1 for c in ("n", "nb")])
     crossing = (
         left.join(right, "token")
         .filter((F.col("label") < F.col("other")) & admitted(F.col("n"), F.col("nb"), threshold))
         .groupBy(F.col("class").alias("a"), "b", "n", "nb")
         .agg(F.count("*").alias("shared"))
-        .filter(F.col("shared") + beyond >= least)
+        .filter(enough(F.col("shared"), F.col("n"), F.col("nb"), threshold))
         .select("a", "b")
     )
-    more = materialize(verified(crossing, sets, threshold), "links")
+    more = verified(own, crossing, threshold, k)
     if not more.isEmpty():
         labels = components(first_edges.unionByName(more))
     members = rows.filter("n > 0").join(classes.select(*of_set, "class"), of_set).select("doc_id", "n", "class")
