@@ -31,7 +31,7 @@ STATE_CHANGING_WORDS = (
 )
 RECOVERABLE_ERRORS = ("timeout", "rate limit", "rate_limit", "too many requests", "service unavailable", "503", "502", "504", "connection", "network", "temporarily")
 CONTROL_TOKENS = ("###STOP###", "###TRANSFER###", "###OUT-OF-SCOPE###")
-CONTINUATION_PATTERNS = ("actually", "wait", "one more thing")
+CONTINUATION_PATTERNS = ("actually", "wait", "one more thing", "also", "can you also", "i forgot", "another", "what about", "how about", r"\?$")
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:

@@ -366,7 +366,7 @@ def no_tool_trailing_run(spark, d):
     return C.trailing_run(table(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "assistant", breaks)
 
 
-@query(f"SELECT conv_id, turn, regexp_matches(text, '(?i){'|'.join(f'(?:{p})' for p in X.COMPLETION_PATTERNS)}') AS completed, regexp_matches(text, '(?i)(?:actually)|(?:wait)|(?:one more thing)') AS continued FROM conversations")
+@query(f"SELECT conv_id, turn, regexp_matches(text, '(?i){'|'.join(f'(?:{p})' for p in X.COMPLETION_PATTERNS)}') AS completed, regexp_matches(text, '(?i){'|'.join(f'(?:{p})' for p in X.CONTINUATION_PATTERNS)}') AS continued FROM conversations")
 def completion_rule_flags(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.matches_any(F.col("text"), X.COMPLETION_PATTERNS).alias("completed"), X.matches_any(F.col("text"), X.CONTINUATION_PATTERNS).alias("continued"))
 
