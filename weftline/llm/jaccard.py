@@ -6,9 +6,10 @@ that link share a shingle among the first n - ceil(THRESHOLD% of n) + 1 of each,
 
 1. Documents with equal sets are one class, classes with identical prefixes and sizes one group.
    Just groups take part in the prefix join, with one row for each shingle of the prefix.
-2. In each bucket, the groups that share a shingle, every group meets the bucket's first; in each
-   group every class meets the group's first. These pairs are few, are verified, and join what is
-   alike into components.
+2. In each bucket, the groups that share a shingle, every group meets the first of its size; in
+   each group every class meets the group's first. Of a group's pairs the one met in most buckets is
+   verified first, the others if that leaves them in different components. These pairs are few and
+   join what is alike into components.
 3. Groups of a bucket are expanded to their classes, and all pairs of classes that no component
    joins as yet, and whose sizes and number of shared shingles admit a link, are verified as well.
 
@@ -17,8 +18,8 @@ costs as many comparisons as it has members and not their square.
 
 Defined results: null text counts as empty; a document without words is its own component and
 links with nothing; one of fewer than K words has one shingle, all its words; repeated rows and
-equal texts share a component; documents with null doc_id link like others and are left out of
-component ids; an empty table gives an empty table; other columns pass through.
+equal texts share a component; texts that share a doc_id count as one document that links as any of
+them does; documents with null doc_id link like others and are left out of component ids; an empty table gives an empty table; other columns pass through.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ from weftline.session import materialize
 K, THRESHOLD = 5, 75
 #: Shingles in this many documents of one batch count as frequent; at most so many are told apart.
 FREQUENT, FREQUENT_MOST = 8, 1 << 17
+#: Up to so many ids (16 MB) are broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+#: Shingles of pairs that are compared at once.
+COMPARED = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -154,47 +159,53 @@ def prefix_rows(docs: DataFrame, frequent: np.ndarray, threshold: int, k: int) -
     return docs.select("text").mapInArrow(run, "token long, grp long, n int")
 
 
-def buckets(rows: DataFrame) -> DataFrame:
-    """token, grp, n, with_grp, with_n for all groups that share a token with others: the first
-    group of the token, or, where sizes rule that out, the one before. Null for the first."""
+def buckets(rows: DataFrame, threshold: int) -> DataFrame:
+    """token, grp, n, with_grp, with_n for all groups that share a token with others. A bucket's
+    groups are dealt by size, in steps as wide as a link allows, and stand in an order of their own
+    in each bucket. Every group is to meet the first of its step, and that one the first of the
+    step before; null for the bucket's first."""
     names = ["token", "grp", "n", "with_grp", "with_n"]
 
-    def made(token, grp, n, f_grp, f_n, p_grp, p_n, start) -> pa.RecordBatch:
-        far = 100 * f_n < THRESHOLD * n
-        other = [pa.array(np.where(far, p, f), mask=start) for p, f in ((p_grp, f_grp), (p_n, f_n))]
+    def made(token, grp, n, step, f_grp, f_n, w_grp, w_n, start) -> pa.RecordBatch:
+        other = [pa.array(w, mask=start) for w in (w_grp, w_n)]
         return pa.RecordBatch.from_arrays([pa.array(token), pa.array(grp), pa.array(n), *other], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last row of a batch waits for the next one: (token, grp, n), its token's first row
-        # (grp, n), the row before (grp, n), and whether it is its token's first.
+        # The last row of a batch waits for the next one: (token, grp, n, step), its step's first
+        # (grp, n), whom it is to meet (grp, n), and whether it is its token's first.
         held: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, grp, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(3))
+            rows_ = [batch.column(i).to_numpy().astype(np.int64) for i in range(4)]
             if held is not None:
-                token, grp, n = (np.concatenate((h, x)) for h, x in zip(held, (token, grp, n)))
+                rows_ = [np.concatenate((h, x)) for h, x in zip(held, rows_)]
+            token, grp = rows_[:2]
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])
-            token, grp, n = token[new], grp[new], n[new]
-            start = np.ones(len(token), bool)
+            token, grp, n, step = (x[new] for x in rows_)
+            start, first = np.ones(len(token), bool), np.ones(len(token), bool)
             start[1:] = token[1:] != token[:-1]
-            begin = np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))
+            first[1:] = start[1:] | (step[1:] != step[:-1])
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
             f_grp, f_n = grp[begin], n[begin]
-            p_grp, p_n = np.append(grp[:1], grp[:-1]), np.append(n[:1], n[:-1])
             if held is not None:
-                start[0] = held[7][0]
-                f_grp, f_n = np.where(begin == 0, held[3], f_grp), np.where(begin == 0, held[4], f_n)
-                p_grp[0], p_n[0] = held[5][0], held[6][0]
-            rows_ = [token, grp, n, f_grp, f_n, p_grp, p_n, start]
+                f_grp, f_n = np.where(begin == 0, held[4], f_grp), np.where(begin == 0, held[5], f_n)
+            w_grp, w_n = (np.where(first, np.append(f[:1], f[:-1]), f) for f in (f_grp, f_n))
+            if held is not None:
+                w_grp[0], w_n[0], start[0] = held[6][0], held[7][0], held[8][0]
+            rows_ = [token, grp, n, step, f_grp, f_n, w_grp, w_n, start]
             held = [x[-1:] for x in rows_]
             met = ~(start[:-1] & start[1:])
             if met.any():
                 yield made(*[x[:-1][met] for x in rows_])
-        if held is not None and not held[7][0]:
+        if held is not None and not held[8][0]:
             yield made(*held)
 
-    return rows.repartition("token").sortWithinPartitions("token", "n", "grp").mapInArrow(run, "token long, grp long, n long, with_grp long, with_n long")
+    step = F.floor(F.log("n") / F.lit(np.log(100 / threshold))).alias("step")
+    dealt = rows.repartition("token").select("token", "grp", "n", step, F.xxhash64("token", "grp").alias("place"))
+    ordered = dealt.sortWithinPartitions("token", "step", "place", "grp").select("token", "grp", "n", "step")
+    return ordered.mapInArrow(run, "token long, grp long, n long, with_grp long, with_n long")
 
 
 def admitted(x: Column, y: Column, threshold: int) -> Column:
@@ -224,50 +235,76 @@ def verified(docs: DataFrame, candidates: DataFrame, threshold: int, k: int) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(signed(found)))
                 yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), lists], ["id", "tokens"])
 
-    chosen = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
-    sets = materialize(chosen.mapInArrow(tokens, "id long, tokens array<long>").dropDuplicates(["id"]), "tokens")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    chosen = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
+    sets = materialize(chosen.mapInArrow(tokens, "id long, tokens array<long>"), "tokens")
 
     @F.arrow_udf("boolean")
     def links(left: pa.Array, right: pa.Array) -> pa.Array:
-        a, b = left.flatten().to_numpy(), right.flatten().to_numpy()
         na, nb = left.value_lengths().to_numpy(), right.value_lengths().to_numpy()
-        # Equal values of one pair stand side by side once sorted.
-        row = np.concatenate((np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)))
-        value = np.concatenate((a, b))
-        order = np.lexsort((value, row))
-        same = (value[order[1:]] == value[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-        both = np.bincount(row[order[1:]][same], minlength=len(na))
-        return pa.array(100 * both >= threshold * (na + nb - both))
+        part = np.cumsum(na + nb, dtype=np.int64) // COMPARED
+        out = []
+        for lo, hi in zip(*(np.searchsorted(part, np.unique(part), how).tolist() for how in ("left", "right"))):
+            ca, cb = na[lo:hi], nb[lo:hi]
+            # Equal values of one pair stand side by side once sorted.
+            row = np.concatenate((np.repeat(np.arange(hi - lo), ca), np.repeat(np.arange(hi - lo), cb)))
+            value = np.concatenate((left.slice(lo, hi - lo).flatten().to_numpy(), right.slice(lo, hi - lo).flatten().to_numpy()))
+            order = np.lexsort((value, row))
+            same = (value[order[1:]] == value[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+            both = np.bincount(row[order[1:]][same], minlength=hi - lo)
+            out.append(100 * both >= threshold * (ca + cb - both))
+        return pa.array(np.concatenate([np.zeros(0, bool), *out]))
 
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    return materialize(pairs.join(left, "a").join(right, "b").filter(links("ta", "tb")).select("a", "b"), "links")
+    return materialize(pairs.join(left, "a").join(right, "b").filter(links("ta", "tb")).select("a", "b").distinct(), "links")
+
+
+def apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The (a, b) of pairs that lie in different components, once each."""
+    label = lambda name: placed.select(F.col("class").alias(name), F.col("label").alias(f"of_{name}"))
+    return pairs.join(label("a"), "a").join(label("b"), "b").filter("of_a <> of_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def united(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """placed with the labels after links have joined components."""
+    label = lambda name: placed.select(F.col("class").alias(name), F.col("label").alias(f"of_{name}"))
+    edges = links.join(label("a"), "a").join(label("b"), "b").filter("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    edges = materialize(edges.distinct(), "joins")
+    if edges.isEmpty():
+        return placed
+    new = components(edges).select(F.col("id").alias("label"), F.col("label").alias("__new"))
+    return materialize(placed.join(new, "label", "left").select("class", "grp", "n", F.coalesce("__new", "label").alias("label")), "placed")
 
 
 def join_classes(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class) of every document with words, and class, label of every class that links."""
+    """(doc_id, n, class) of every document with words, and class, label of every class."""
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     frequent = frequent_shingles(own, k)
     rows = materialize(signed_rows(own, frequent, threshold, k), "sets")
-    shared = materialize(buckets(prefix_rows(own, frequent, threshold, k)), "buckets")
+    shared = materialize(buckets(prefix_rows(own, frequent, threshold, k), threshold), "buckets")
     of_set = ["n", "s1", "s2"]
     classes = rows.filter("n > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("class"), F.first("grp").alias("grp"))
     classes = materialize(classes, "classes")
     groups = materialize(classes.groupBy("grp").agg(F.min("class").alias("head"), F.count("*").alias("classes")), "groups")
 
-    # Each group with its bucket's first, where they share enough there; each class with its group's first.
-    heads = groups.select("grp", "head")
+    # Each group with its firsts, where neither has too few shared shingles for any link of
+    # their sizes; each class with its group's first.
+    heads = materialize(shared.groupBy("grp").agg(F.count("*").alias("hits")).join(groups.select("grp", "head"), "grp"), "heads")
+    side = lambda key, name: heads.select(F.col("grp").alias(key), F.col("head").alias(name), F.col("hits").alias(f"hits_{name}"))
     met = shared.filter(F.col("with_grp").isNotNull() & admitted(F.col("n"), F.col("with_n"), threshold))
-    met = met.groupBy("grp", "with_grp", "n", "with_n").agg(F.count("*").alias("shared"))
-    met = met.filter(enough(F.col("shared"), F.col("n"), F.col("with_n"), threshold)).select("grp", "with_grp")
-    between = met.join(heads.withColumnRenamed("head", "a"), "grp").join(heads.select(F.col("grp").alias("with_grp"), F.col("head").alias("b")), "with_grp").select("a", "b")
+    met = met.groupBy("grp", "with_grp", "n", "with_n").agg(F.count("*").alias("times"))
+    between = met.join(side("grp", "a"), "grp").join(side("with_grp", "b"), "with_grp").filter("a <> b")
+    between = between.filter(enough(F.least("hits_a", "hits_b"), F.col("n"), F.col("with_n"), threshold))
+    between = materialize(between.select("a", "b", "times"), "met")
     inside = classes.join(groups.filter("classes > 1").select("grp", "head"), "grp").filter("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
-    pairs = between.filter("a <> b").unionByName(inside).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    first_edges = verified(own, pairs, threshold, k)
-    labels = components(first_edges)
+    # A group meets the first that it meets in most buckets, and the others only where that joined nothing.
+    likeliest = between.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
+    placed = materialize(classes.select("class", "grp", "n", F.col("class").alias("label")), "placed")
+    placed = united(placed, verified(own, likeliest.unionByName(inside), threshold, k))
+    placed = united(placed, verified(own, apart(between.select("a", "b"), placed), threshold, k))
 
     # All other pairs of a bucket that lie in different components.
-    placed = materialize(classes.select("class", "grp", "n").join(labels.withColumnRenamed("id", "class"), "class", "left").select("class", "grp", "n", F.coalesce("label", "class").alias("label")), "placed")
     whole = groups.filter("classes > 1").select(F.col("grp").alias("token"), "grp")
     members = shared.select("token", "grp").unionByName(whole).join(placed, "grp").select("token", "class", "n", "label")
     mixed = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
@@ -281,11 +318,9 @@ def join_classes(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text:
         .filter(enough(F.col("shared"), F.col("n"), F.col("nb"), threshold))
         .select("a", "b")
     )
-    more = verified(own, crossing, threshold, k)
-    if not more.isEmpty():
-        labels = components(first_edges.unionByName(more))
+    placed = united(placed, verified(own, crossing, threshold, k))
     members = rows.filter("n > 0").join(classes.select(*of_set, "class"), of_set).select("doc_id", "n", "class")
-    return members, labels.withColumnRenamed("id", "class")
+    return members, placed.select("class", "label")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text: str = "text", key: str = "doc_id") -> DataFrame:
