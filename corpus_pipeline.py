@@ -16,7 +16,7 @@ from weftline.session import materialize
 def with_text(docs: DataFrame, text: Column, columns: list[str]) -> DataFrame:
     kinds = dict(docs.dtypes)
     own = docs.withColumn("__text", text)
-    return own.select(*[F.col("__text").alias(c) if c == "text" else F.length("__text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(c) for c in columns])
+    return own.select(*[F.col("__text").alias(c) if c == "text" else F.length("__text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur earlier; a text that loses nothing stays as it is."""
-    cut = substring.deduplicate(docs)
-    return with_text(cut, F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), docs.columns)
+    cut = substring.parsed(docs)
+    return with_text(cut, F.when(F.col("__cut.n_removed") > 0, F.col("__cut.kept")).otherwise(F.col("text")), docs.columns)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

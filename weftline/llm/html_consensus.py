@@ -6,7 +6,7 @@ path, or, where the page has no such element, at its own best container.
 
 Defined results: null html counts as empty and gives empty text; a null or odd url belongs to the
 host ''; equal sums of votes go to the smaller path; repeated rows are pages of their own; an
-empty table gives an empty table; other columns pass through.
+empty table gives an empty table; other columns pass through, one named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.textops import others
 from weftline.session import materialize
 
 TAG = re.compile(
@@ -206,4 +207,4 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", name: str =
         return pa.array([text_at(x or "", p) for x, p in zip(column.to_pylist(), paths.to_pylist())], pa.string())
 
     joined = pages.withColumn("__host", host_of(F.col(url))).join(winners, "__host", "left")
-    return joined.select(*[F.col(c) for c in pages.columns], extracted(F.col(html), F.col("__path")).alias(name))
+    return joined.select(*others(pages, name), extracted(F.col(html), F.col("__path")).alias(name))

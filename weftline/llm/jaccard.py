@@ -19,7 +19,8 @@ costs as many comparisons as it has members and not their square.
 Defined results: null text counts as empty; a document without words is its own component and
 links with nothing; one of fewer than K words has one shingle, all its words; repeated rows and
 equal texts share a component; texts that share a doc_id count as one document that links as any of
-them does; documents with null doc_id link like others and are left out of component ids; an empty table gives an empty table; other columns pass through.
+them does; documents with null doc_id link like others and are left out of component ids; an empty table gives an empty table; other columns pass
+through, those named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
-from weftline.llm.textops import Words, lower_ascii, mix, signed, text_buffers, text_chunks, whole_windows, window_hashes
+from weftline.llm.textops import Words, lower_ascii, mix, others, signed, text_buffers, text_chunks, whole_windows, window_hashes
 from weftline.session import materialize
 
 K, THRESHOLD = 5, 75
@@ -328,7 +329,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, tex
     members, labels = join_classes(docs, threshold, k, text, key)
     found = members.join(labels, "class", "left").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"), F.coalesce("label", "class").alias("__label")).dropDuplicates(["__id"])
     joined = docs.join(found, F.col(key).cast("long").eqNullSafe(F.col("__id")), "left")
-    return joined.select(*[F.col(c) for c in docs.columns], F.coalesce("__n", F.lit(0)).alias("n_shingles"), F.coalesce("__label", F.col(key).cast("long")).alias("component_id"))
+    return joined.select(*others(docs, "n_shingles", "component_id"), F.coalesce("__n", F.lit(0)).alias("n_shingles"), F.coalesce("__label", F.col(key).cast("long")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, threshold: int = THRESHOLD, k: int = K) -> DataFrame:

@@ -9,7 +9,7 @@ so Viterbi runs, in numpy batches, just over the stretches between them, with th
 
 Defined results: null text counts as empty and has no spans; ties between labels go to the first
 in LABELS; repeated rows are searched one by one; an empty table gives an empty table; other
-columns pass through.
+columns pass through, those named as the results of `find` are replaced there.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textops import Words, text_buffers, text_chunks
+from weftline.llm.textops import Words, others, text_buffers, text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -325,6 +325,11 @@ def crf_spans(text: str, starts: np.ndarray, ends: np.ndarray, labels: np.ndarra
 
 def find(docs: DataFrame, model: Crf | None = None, text: str = "text") -> DataFrame:
     """docs plus base and spans: arrays of (kind, start, end) in code points, end exclusive."""
+    return searched(docs, model, text).select(*others(docs, "base", "spans"), "__found.base", "__found.spans")
+
+
+def searched(docs: DataFrame, model: Crf | None = None, text: str = "text") -> DataFrame:
+    """docs plus __found, a struct of base and spans."""
     model = model or train(labelled_examples())
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
 
@@ -356,13 +361,13 @@ def find(docs: DataFrame, model: Crf | None = None, text: str = "text") -> DataF
                 rows.append((base, ordered(base + more)))
         return pd.DataFrame(rows, columns=["base", "spans"])
 
-    return docs.withColumn("__found", search(F.col(text))).select(*docs.columns, "__found.base", "__found.spans")
+    return docs.withColumn("__found", search(F.col(text)))
 
 
 def mask(docs: DataFrame, model: Crf | None = None, text: str = "text") -> DataFrame:
     """docs with every span's characters replaced by [KIND]; overlapping spans become one, of the first's kind."""
     model = model or train(labelled_examples())
-    found = find(docs, model, text)
+    found = searched(docs, model, text)
 
     @F.pandas_udf("string")
     def replaced(texts, spans):
@@ -381,4 +386,4 @@ def mask(docs: DataFrame, model: Crf | None = None, text: str = "text") -> DataF
             out.append("".join(parts) + own[at:])
         return pd.Series(out, dtype=object)
 
-    return found.withColumn("__masked", replaced(F.col(text), F.col("spans"))).select(*[F.col("__masked").alias(c) if c == text else F.col(c) for c in docs.columns])
+    return found.withColumn("__masked", replaced(F.col(text), F.col("__found.spans"))).select(*[F.col("__masked").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

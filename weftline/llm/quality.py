@@ -7,7 +7,8 @@ rule rejects is never measured for the later ones. The order decides the cost, n
 
 Defined results: null text counts as empty; an empty text has no words and fails the base rule;
 repeated rows and ties are judged row by row; an empty table gives an empty table; other columns
-pass through untouched, and measures are added under the names of MEASURES.
+pass through untouched, and measures are added under the names of MEASURES, in place of columns of
+those names; so are base_failed and kept.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.textops import others
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -99,7 +102,7 @@ def with_measures(docs: DataFrame, names: tuple[str, ...] = tuple(MEASURES), tex
     """docs plus the named measures. The words are split once for all of them."""
     own = F.coalesce(F.col(text), F.lit(""))
     split = docs.withColumn("__text", own).withColumn("__words", words_of(F.col("__text")))
-    return split.select(*docs.columns, *[MEASURES[n][1](F.col("__text"), F.col("__words")).alias(n) for n in names])
+    return split.select(*others(docs, *names), *[MEASURES[n][1](F.col("__text"), F.col("__words")).alias(n) for n in names])
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7, text: str = "text") -> list[tuple[str, float, float]]:

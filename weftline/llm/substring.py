@@ -19,7 +19,7 @@ needs no memory. Hashes have 64 bits, and always meet in pairs of two.
 
 Defined results: null text has no words; texts of fewer than WINDOW words keep all; doc_id names a
 document, so repeated rows are one document and get equal results; a null doc_id sorts first; an
-empty table gives an empty table; other columns pass through.
+empty table gives an empty table; other columns pass through, those named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textops import Words, range_hash, signed, text_buffers, text_chunks, whole_windows, window_hashes
+from weftline.llm.textops import Words, others, range_hash, signed, text_buffers, text_chunks, whole_windows, window_hashes
 from weftline.session import materialize
 
 WINDOW, ANCHOR = 20, 8
@@ -197,6 +197,11 @@ def boundary_windows(docs: DataFrame, marks: DataFrame, window: int) -> DataFram
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs plus n_words, n_removed and kept (the kept words joined by one space)."""
+    return parsed(docs, window, anchor, text, key).select(*others(docs, "n_words", "n_removed", "kept"), "__cut.n_words", "__cut.n_removed", "__cut.kept")
+
+
+def parsed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs plus __cut, a struct of n_words, n_removed and kept."""
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marks = materialize(factors(blocks(own, window, anchor)), "marks")
     late = boundary_windows(own, marks, window).withColumn("n", F.lit(1))
@@ -232,7 +237,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, tex
 
     joined = docs.join(spans, F.col(key).cast("long").eqNullSafe(F.col("__doc")), "left")
     done = joined.withColumn("__cut", cut(F.coalesce(F.col(text), F.lit("")), F.col("__spans")))
-    return done.select(*[F.col(c) for c in docs.columns], "__cut.n_words", "__cut.n_removed", "__cut.kept")
+    return done.select(*others(docs), "__cut")
 
 
 def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2_000_000
 
@@ -68,6 +70,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
+def others(docs: DataFrame, *added: str) -> list[Column]:
+    """The columns of docs but those that an operator is about to add under the same name."""
+    taken = {name.lower() for name in added}
+    return [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
+
+
 class Words:
     """The words of some texts: byte ranges start..end, and first[i]..first[i + 1] those of row i."""
 
