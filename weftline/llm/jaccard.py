@@ -11,7 +11,10 @@ that link share a shingle among the first n - ceil(THRESHOLD% of n) + 1 of each,
    verified first, the others if that leaves them in different components. These pairs are few and
    join what is alike into components.
 3. Groups of a bucket are expanded to their classes, and all pairs of classes that no component
-   joins as yet, and whose sizes and number of shared shingles admit a link, are verified as well.
+   joins as yet, and that have enough shingles from the shared one on, are verified as well.
+
+A pair is verified by its sketches first, counts of shingles by parts of the hash space, which bound
+what two sets can share, and then by the sets.
 
 So no link between different components is missed, while a bucket of thousands of near copies
 costs as many comparisons as it has members and not their square.
@@ -80,6 +83,12 @@ def row_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def prefixes(tokens: np.ndarray, counts: np.ndarray, frequent: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """The rows' prefixes, frequent shingles last, and the number of each row's."""
+    chosen, place, sizes = placed_prefixes(tokens, counts, frequent, threshold)
+    return chosen, sizes
+
+
+def placed_prefixes(tokens: np.ndarray, counts: np.ndarray, frequent: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same with the place of each shingle in its row's order."""
     ends = np.cumsum(counts)
     rows = np.repeat(np.arange(len(counts)), counts)
     late = np.zeros(len(tokens), bool)
@@ -92,7 +101,32 @@ def prefixes(tokens: np.ndarray, counts: np.ndarray, frequent: np.ndarray, thres
     late_before = before - np.repeat((np.concatenate(([0], np.cumsum(late))))[ends - counts], counts)
     rank = np.where(late, n_rare[rows] + late_before, place - late_before)
     sizes = np.where(counts > 0, prefix_size(counts, threshold), 0)
-    return tokens[rank < sizes[rows]], sizes
+    use = rank < sizes[rows]
+    return tokens[use], rank[use], sizes
+
+
+def sketches(tokens: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """For each row how many of its shingles fall into each of 2^j cells of the hash space, one byte
+    a cell, two to four shingles a cell on average."""
+    bits = np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / 4)), 3).astype(np.uint64)
+    ends = np.cumsum(np.int64(1) << bits.astype(np.int64))
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else ends
+    cell = np.repeat(begins, counts) + (tokens >> np.repeat(np.uint64(64) - bits, counts)).astype(np.int64)
+    filled = np.minimum(np.bincount(cell, minlength=int(ends[-1]) if len(ends) else 0), 255).astype(np.uint8)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(filled.tobytes())])
+
+
+def most_shared(x: bytes, y: bytes) -> int | None:
+    """No two sets of these sketches share more; None if a cell is too full to tell."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if max(a.max(), b.max()) == 255:
+        return None
+    while len(a) > len(b):
+        a = a.reshape(-1, 2).sum(1)
+    while len(b) > len(a):
+        b = b.reshape(-1, 2).sum(1)
+    return int(np.minimum(a, b).sum())
 
 
 def group_keys(prefix: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -123,8 +157,8 @@ def frequent_shingles(docs: DataFrame, k: int = K) -> np.ndarray:
 
 
 def signed_rows(docs: DataFrame, frequent: np.ndarray, threshold: int, k: int) -> DataFrame:
-    """doc_id, n, two halves of the set's signature, group."""
-    names = ["doc_id", "n", "s1", "s2", "grp"]
+    """doc_id, n, two halves of the set's signature, group, sketch."""
+    names = ["doc_id", "n", "s1", "s2", "grp", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,13 +167,13 @@ def signed_rows(docs: DataFrame, frequent: np.ndarray, threshold: int, k: int) -
                 tokens, counts = shingle_sets(texts.slice(lo, hi - lo), k)
                 prefix, sizes = prefixes(tokens, counts, frequent, threshold)
                 s1, s2 = row_sums(mix(tokens), counts), row_sums(mix(tokens + np.uint64(1)), counts)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *[pa.array(signed(x)) for x in (counts.astype(np.int64), s1, s2, group_keys(prefix, sizes, counts))]], names)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *[pa.array(signed(x)) for x in (counts.astype(np.int64), s1, s2, group_keys(prefix, sizes, counts))], sketches(tokens, counts)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, grp long")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, grp long, sketch binary")
 
 
 def prefix_rows(docs: DataFrame, frequent: np.ndarray, threshold: int, k: int) -> DataFrame:
-    """token, grp, n: the prefix of each group, once for each batch of documents that has it."""
+    """token, grp, n, pos: the prefix of each group, once for each batch of documents that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,85 +181,87 @@ def prefix_rows(docs: DataFrame, frequent: np.ndarray, threshold: int, k: int) -
             seen: set[int] = set()
             for lo, hi in text_chunks(texts):
                 tokens, counts = shingle_sets(texts.slice(lo, hi - lo), k)
-                prefix, sizes = prefixes(tokens, counts, frequent, threshold)
+                prefix, place, sizes = placed_prefixes(tokens, counts, frequent, threshold)
                 groups = group_keys(prefix, sizes, counts)
                 use = np.zeros(len(groups), bool)
                 use[np.unique(groups, return_index=True)[1]] = True
                 use &= np.array([g not in seen for g in groups.tolist()], bool) & (counts > 0)
                 seen.update(groups[use].tolist())
                 each = np.repeat(use, sizes)
-                cols = signed(prefix[each]), signed(np.repeat(groups, sizes)[each]), np.repeat(counts, sizes)[each].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "grp", "n"])
+                cols = signed(prefix[each]), signed(np.repeat(groups, sizes)[each]), np.repeat(counts, sizes)[each].astype(np.int32), place[each].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "grp", "n", "pos"])
 
-    return docs.select("text").mapInArrow(run, "token long, grp long, n int")
+    return docs.select("text").mapInArrow(run, "token long, grp long, n int, pos int")
 
 
 def buckets(rows: DataFrame, threshold: int) -> DataFrame:
-    """token, grp, n, with_grp, with_n for all groups that share a token with others. A bucket's
+    """token, grp, n, pos, with_grp, with_n, with_pos for all groups that share a token with others. A bucket's
     groups are dealt by size, in steps as wide as a link allows, and stand in an order of their own
     in each bucket. Every group is to meet the first of its step, and that one the first of the
     step before; null for the bucket's first."""
-    names = ["token", "grp", "n", "with_grp", "with_n"]
+    names = ["token", "grp", "n", "pos", "with_grp", "with_n", "with_pos"]
 
-    def made(token, grp, n, step, f_grp, f_n, w_grp, w_n, start) -> pa.RecordBatch:
-        other = [pa.array(w, mask=start) for w in (w_grp, w_n)]
-        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(grp), pa.array(n), *other], names)
+    def made(rows_: list[np.ndarray]) -> pa.RecordBatch:
+        other = [pa.array(w, mask=rows_[11]) for w in rows_[8:11]]
+        return pa.RecordBatch.from_arrays([*map(pa.array, rows_[:4]), *other], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last row of a batch waits for the next one: (token, grp, n, step), its step's first
-        # (grp, n), whom it is to meet (grp, n), and whether it is its token's first.
+        # The last row of a batch waits for the next one: (token, grp, n, pos, step), its step's first
+        # (grp, n, pos), whom it is to meet (grp, n, pos), and whether it is its token's first.
         held: list[np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows_ = [batch.column(i).to_numpy().astype(np.int64) for i in range(4)]
+            rows_ = [batch.column(i).to_numpy().astype(np.int64) for i in range(5)]
             if held is not None:
                 rows_ = [np.concatenate((h, x)) for h, x in zip(held, rows_)]
-            token, grp = rows_[:2]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])
-            token, grp, n, step = (x[new] for x in rows_)
+            new = np.ones(len(rows_[0]), bool)
+            new[1:] = (np.diff(rows_[0]) != 0) | (np.diff(rows_[1]) != 0)
+            token, grp, n, pos, step = (x[new] for x in rows_)
             start, first = np.ones(len(token), bool), np.ones(len(token), bool)
             start[1:] = token[1:] != token[:-1]
             first[1:] = start[1:] | (step[1:] != step[:-1])
             begin = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
-            f_grp, f_n = grp[begin], n[begin]
+            firsts = [x[begin] for x in (grp, n, pos)]
             if held is not None:
-                f_grp, f_n = np.where(begin == 0, held[4], f_grp), np.where(begin == 0, held[5], f_n)
-            w_grp, w_n = (np.where(first, np.append(f[:1], f[:-1]), f) for f in (f_grp, f_n))
+                firsts = [np.where(begin == 0, h, x) for h, x in zip(held[5:8], firsts)]
+            met_ = [np.where(first, np.append(f[:1], f[:-1]), f) for f in firsts]
             if held is not None:
-                w_grp[0], w_n[0], start[0] = held[6][0], held[7][0], held[8][0]
-            rows_ = [token, grp, n, step, f_grp, f_n, w_grp, w_n, start]
+                for x, h in zip([*met_, start], held[8:]):
+                    x[0] = h[0]
+            rows_ = [token, grp, n, pos, step, *firsts, *met_, start]
             held = [x[-1:] for x in rows_]
             met = ~(start[:-1] & start[1:])
             if met.any():
-                yield made(*[x[:-1][met] for x in rows_])
-        if held is not None and not held[8][0]:
-            yield made(*held)
+                yield made([x[:-1][met] for x in rows_])
+        if held is not None and not held[11][0]:
+            yield made(held)
 
     step = F.floor(F.log("n") / F.lit(np.log(100 / threshold))).alias("step")
-    dealt = rows.repartition("token").select("token", "grp", "n", step, F.xxhash64("token", "grp").alias("place"))
-    ordered = dealt.sortWithinPartitions("token", "step", "place", "grp").select("token", "grp", "n", "step")
-    return ordered.mapInArrow(run, "token long, grp long, n long, with_grp long, with_n long")
-
+    dealt = rows.repartition("token").select("token", "grp", "n", "pos", step, F.xxhash64("token", "grp").alias("place"))
+    ordered = dealt.sortWithinPartitions("token", "step", "place", "grp").select("token", "grp", "n", "pos", "step")
+    return ordered.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
-def admitted(x: Column, y: Column, threshold: int) -> Column:
-    """Sizes of sets that may link."""
-    return F.lit(100) * F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)
 
+def in_reach(n: Column, pos: Column, m: Column, at: Column, threshold: int) -> Column:
+    """Whether sets of n and m shingles may link, the first that they share standing at these
+    places of theirs: all others that they share come after it in both."""
+    return F.lit(100 + threshold) * F.least(n - pos, m - at) >= F.lit(threshold) * (n + m)
 
-def enough(shared: Column, x: Column, y: Column, threshold: int) -> Column:
-    """Whether sets of x and y shingles, `shared` of them in both prefixes, can link. Beyond the
-    prefix that ends first in the order, its set has nothing but the rest to share."""
-    needed = F.ceil(F.lit(threshold) * (x + y) / F.lit(100 + threshold))
-    rest = F.greatest(*[F.ceil(F.lit(threshold) * n / 100) - 1 for n in (x, y)])
-    return shared + rest >= needed
 
+def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, threshold: int, k: int) -> DataFrame:
+    """The (a, b) of candidates whose sets link, by their full intersection. Pairs whose sketches
+    rule that out go first; just the texts of the others are turned into sets."""
 
-def verified(docs: DataFrame, candidates: DataFrame, threshold: int, k: int) -> DataFrame:
-    """The (a, b) of candidates whose sets link, by their full intersection. Just the texts of
-    candidates are turned into sets."""
-    pairs = materialize(candidates, "pairs")
+    @F.arrow_udf("boolean")
+    def may_link(n: pa.Array, m: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        most = (most_shared(*pair) for pair in zip(x.to_pylist(), y.to_pylist()))
+        sizes = (n.to_numpy() + m.to_numpy()).tolist()
+        return pa.array([shared is None or (100 + threshold) * shared >= threshold * size for shared, size in zip(most, sizes)], pa.bool_())
+
+    side = lambda name: classes.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    possible = candidates.join(side("a"), "a").join(side("b"), "b").filter(may_link("n_a", "n_b", "sketch_a", "sketch_b"))
+    pairs = materialize(possible.select("a", "b"), "pairs")
     ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,41 +321,32 @@ def join_classes(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text:
     rows = materialize(signed_rows(own, frequent, threshold, k), "sets")
     shared = materialize(buckets(prefix_rows(own, frequent, threshold, k), threshold), "buckets")
     of_set = ["n", "s1", "s2"]
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("class"), F.first("grp").alias("grp"))
+    classes = rows.filter("n > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("class"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     groups = materialize(classes.groupBy("grp").agg(F.min("class").alias("head"), F.count("*").alias("classes")), "groups")
 
-    # Each group with its firsts, where neither has too few shared shingles for any link of
-    # their sizes; each class with its group's first.
-    heads = materialize(shared.groupBy("grp").agg(F.count("*").alias("hits")).join(groups.select("grp", "head"), "grp"), "heads")
-    side = lambda key, name: heads.select(F.col("grp").alias(key), F.col("head").alias(name), F.col("hits").alias(f"hits_{name}"))
-    met = shared.filter(F.col("with_grp").isNotNull() & admitted(F.col("n"), F.col("with_n"), threshold))
-    met = met.groupBy("grp", "with_grp", "n", "with_n").agg(F.count("*").alias("times"))
-    between = met.join(side("grp", "a"), "grp").join(side("with_grp", "b"), "with_grp").filter("a <> b")
-    between = between.filter(enough(F.least("hits_a", "hits_b"), F.col("n"), F.col("with_n"), threshold))
-    between = materialize(between.select("a", "b", "times"), "met")
+    # Each group with its firsts; each class with its group's first.
+    heads = groups.select("grp", "head")
+    met = shared.filter(F.col("with_grp").isNotNull() & in_reach(F.col("n"), F.col("pos"), F.col("with_n"), F.col("with_pos"), threshold))
+    met = met.groupBy("grp", "with_grp").agg(F.count("*").alias("times"))
+    between = met.join(heads.withColumnRenamed("head", "a"), "grp").join(heads.select(F.col("grp").alias("with_grp"), F.col("head").alias("b")), "with_grp")
+    between = materialize(between.filter("a <> b").select("a", "b", "times"), "met")
     inside = classes.join(groups.filter("classes > 1").select("grp", "head"), "grp").filter("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
     # A group meets the first that it meets in most buckets, and the others only where that joined nothing.
     likeliest = between.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
     placed = materialize(classes.select("class", "grp", "n", F.col("class").alias("label")), "placed")
-    placed = united(placed, verified(own, likeliest.unionByName(inside), threshold, k))
-    placed = united(placed, verified(own, apart(between.select("a", "b"), placed), threshold, k))
+    placed = united(placed, verified(own, classes, likeliest.unionByName(inside), threshold, k))
+    placed = united(placed, verified(own, classes, apart(between.select("a", "b"), placed), threshold, k))
 
-    # All other pairs of a bucket that lie in different components.
-    whole = groups.filter("classes > 1").select(F.col("grp").alias("token"), "grp")
-    members = shared.select("token", "grp").unionByName(whole).join(placed, "grp").select("token", "class", "n", "label")
+    # All other pairs in different components, found at the first shingle that they share.
+    whole = groups.filter("classes > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).cast("long").alias("pos"))
+    members = shared.select("token", "grp", "pos").unionByName(whole).join(placed, "grp").select("token", "class", "n", "pos", "label")
     mixed = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
     left = materialize(members.join(mixed, "token", "left_semi"), "mixed")
-    right = left.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("other"))
-    crossing = (
-        left.join(right, "token")
-        .filter((F.col("label") < F.col("other")) & admitted(F.col("n"), F.col("nb"), threshold))
-        .groupBy(F.col("class").alias("a"), "b", "n", "nb")
-        .agg(F.count("*").alias("shared"))
-        .filter(enough(F.col("shared"), F.col("n"), F.col("nb"), threshold))
-        .select("a", "b")
-    )
-    placed = united(placed, verified(own, crossing, threshold, k))
+    right = left.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("at"), F.col("label").alias("other"))
+    crossing = left.join(right, "token").filter((F.col("label") < F.col("other")) & in_reach(F.col("n"), F.col("pos"), F.col("nb"), F.col("at"), threshold))
+    crossing = crossing.select(F.col("class").alias("a"), "b").distinct()
+    placed = united(placed, verified(own, classes, crossing, threshold, k))
     members = rows.filter("n > 0").join(classes.select(*of_set, "class"), of_set).select("doc_id", "n", "class")
     return members, placed.select("class", "label")
 
