@@ -38,7 +38,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 #: Bounds of what a task keeps: bytes of text a trie is built from, encoded words, known pairs.
-CHUNK, KEPT_WORDS, KEPT_PAIRS = 6_000_000, 300_000, 1_000_000
+CHUNK, KEPT_WORDS, KEPT_PAIRS = 3_000_000, 300_000, 500_000
 
 
 @dataclass
@@ -238,8 +238,8 @@ def decode(docs: DataFrame, ids: str = "ids", name: str = "decoded", model: str
     @F.arrow_udf("string")
     def decoded(column: pa.Array) -> pa.Array:
         own = pieces(model)
-        ids_, ends = column.flatten().to_numpy().tolist(), np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
-        texts = (own.decode(ids_[a:b]) for a, b in zip([0, *ends], ends))
+        ids_, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
+        texts = (own.decode(ids_[a:b].tolist()) for a, b in zip([0, *ends], ends))
         return pa.array([t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist())], pa.string())
 
     return docs.withColumn(name, decoded(F.col(ids)))
