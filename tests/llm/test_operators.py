@@ -131,6 +131,20 @@ def test_jaccard_joins_a_large_group_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(rows)
 
 
+def test_jaccard_keeps_null_ids_apart(spark):
+    rng = random.Random(11)
+    prose = lambda: [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    numbered, clean, alone = prose(), prose(), prose()
+    near = [*alone[:50], "changed", *alone[51:]]
+    rows = [(7, numbered), (None, numbered), (None, clean), (None, alone), (None, near), (None, [])]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    found = {(r.doc_id, r.text): (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
+    assert found == {(d, " ".join(w)): (max(len(w) - 4, 0), 7 if w is numbered else None) for d, w in rows}
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_first(docs).collect()]
+    assert len(kept) == 4 and {(7, " ".join(numbered)), (None, " ".join(clean)), (None, "")} < set(kept)
+    assert sum(t in (" ".join(alone), " ".join(near)) for _, t in kept) == 1
+
+
 def test_cascade_verdict_does_not_depend_on_order(spark, docs):
     m = {n: F.col(n) for n in quality.MEASURES}
     names = [r.name for r in quality.RULES]

@@ -22,8 +22,10 @@ costs as many comparisons as it has members and not their square.
 Defined results: null text counts as empty; a document without words is its own component and
 links with nothing; one of fewer than K words has one shingle, all its words; repeated rows and
 equal texts share a component; texts that share a doc_id count as one document that links as any of
-them does; documents with null doc_id link like others and are left out of component ids; an empty table gives an empty table; other columns pass
-through, those named as the results are replaced.
+them does; documents with null doc_id are told apart by their texts, link
+like others and are left out of component ids, which are null where no linked document has a
+doc_id; an empty table gives an empty table; other columns pass through, those named as the
+results are replaced.
 """
 
 from __future__ import annotations
@@ -157,19 +159,19 @@ def frequent_shingles(docs: DataFrame, k: int = K) -> np.ndarray:
 
 
 def signed_rows(docs: DataFrame, frequent: np.ndarray, threshold: int, k: int) -> DataFrame:
-    """doc_id, n, two halves of the set's signature, group, sketch."""
-    names = ["doc_id", "n", "s1", "s2", "grp", "sketch"]
+    """id, doc_id, n, two halves of the set's signature, group, sketch."""
+    names = ["id", "doc_id", "n", "s1", "s2", "grp", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.columns
+            ids, numbers, texts = batch.columns
             for lo, hi in text_chunks(texts):
                 tokens, counts = shingle_sets(texts.slice(lo, hi - lo), k)
                 prefix, sizes = prefixes(tokens, counts, frequent, threshold)
                 s1, s2 = row_sums(mix(tokens), counts), row_sums(mix(tokens + np.uint64(1)), counts)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), *[pa.array(signed(x)) for x in (counts.astype(np.int64), s1, s2, group_keys(prefix, sizes, counts))], sketches(tokens, counts)], names)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), numbers.slice(lo, hi - lo), *[pa.array(signed(x)) for x in (counts.astype(np.int64), s1, s2, group_keys(prefix, sizes, counts))], sketches(tokens, counts)], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, grp long, sketch binary")
+    return docs.select("id", "doc_id", "text").mapInArrow(run, "id long, doc_id long, n long, s1 long, s2 long, grp long, sketch binary")
 
 
 def prefix_rows(docs: DataFrame, frequent: np.ndarray, threshold: int, k: int) -> DataFrame:
@@ -273,7 +275,7 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, thresho
                 yield pa.RecordBatch.from_arrays([names.slice(lo, hi - lo), lists], ["id", "tokens"])
 
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi")
+    chosen = docs.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
     sets = materialize(chosen.mapInArrow(tokens, "id long, tokens array<long>"), "tokens")
 
     @F.arrow_udf("boolean")
@@ -314,14 +316,20 @@ def united(placed: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(placed.join(new, "label", "left").select("class", "grp", "n", F.coalesce("__new", "label").alias("label")), "placed")
 
 
+def row_id(text: Column, key: Column) -> Column:
+    """The doc_id, or without one a number of the text's own, so that unlike texts stay apart."""
+    return F.coalesce(key.cast("long"), F.xxhash64(F.lit("no doc_id"), F.coalesce(text, F.lit(""))))
+
+
 def join_classes(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class) of every document with words, and class, label of every class."""
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """(id, n, class) of every document with words, and of every class its component's first id, a
+    doc_id if it has any, and smallest doc_id."""
+    own = docs.select(row_id(F.col(text), F.col(key)).alias("id"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     frequent = frequent_shingles(own, k)
     rows = materialize(signed_rows(own, frequent, threshold, k), "sets")
     shared = materialize(buckets(prefix_rows(own, frequent, threshold, k), threshold), "buckets")
     of_set = ["n", "s1", "s2"]
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy(*of_set).agg(F.min("doc_id").alias("class"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch"))
+    classes = rows.filter("n > 0").groupBy(*of_set).agg(F.min("id").alias("class"), F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     groups = materialize(classes.groupBy("grp").agg(F.min("class").alias("head"), F.count("*").alias("classes")), "groups")
 
@@ -347,20 +355,31 @@ def join_classes(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text:
     crossing = left.join(right, "token").filter((F.col("label") < F.col("other")) & in_reach(F.col("n"), F.col("pos"), F.col("nb"), F.col("at"), threshold))
     crossing = crossing.select(F.col("class").alias("a"), "b").distinct()
     placed = united(placed, verified(own, classes, crossing, threshold, k))
-    members = rows.filter("n > 0").join(classes.select(*of_set, "class"), of_set).select("doc_id", "n", "class")
-    return members, placed.select("class", "label")
+    members = rows.filter("n > 0").join(classes.select(*of_set, "class"), of_set).select("id", "n", "class")
+    labels = placed.select("class", "label").join(classes.select("class", "doc_id"), "class")
+    smallest = labels.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return members, labels.join(smallest, "label").select("class", F.coalesce("component_id", "label").alias("first"), "component_id").distinct()
+
+
+def placed_rows(docs: DataFrame, threshold: int, k: int, text: str, key: str) -> DataFrame:
+    """docs plus __row, __n, __first and __component, null for documents without words."""
+    members, labels = join_classes(docs, threshold, k, text, key)
+    found = members.join(labels, "class").select(F.col("id").alias("__id"), F.col("n").alias("__n"), F.col("first").alias("__first"), F.col("component_id").alias("__component"))
+    # Equal ids: the same text, or texts that share a doc_id.
+    return docs.withColumn("__row", row_id(F.col(text), F.col(key))).join(found.dropDuplicates(["__id"]), F.col("__row") == F.col("__id"), "left")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs plus n_shingles and component_id, the smallest doc_id reachable by links."""
-    members, labels = join_classes(docs, threshold, k, text, key)
-    found = members.join(labels, "class", "left").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n"), F.coalesce("label", "class").alias("__label")).dropDuplicates(["__id"])
-    joined = docs.join(found, F.col(key).cast("long").eqNullSafe(F.col("__id")), "left")
-    return joined.select(*others(docs, "n_shingles", "component_id"), F.coalesce("__n", F.lit(0)).alias("n_shingles"), F.coalesce("__label", F.col(key).cast("long")).alias("component_id"))
+    joined = placed_rows(docs, threshold, k, text, key)
+    own = F.when(F.col("__n").isNull(), F.col(key).cast("long")).otherwise(F.col("__component"))
+    return joined.select(*others(docs, "n_shingles", "component_id"), F.coalesce("__n", F.lit(0)).alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, threshold: int = THRESHOLD, k: int = K) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; columns unchanged."""
-    found = near_duplicates(docs.select("doc_id", "text"), threshold, k)
-    first = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id").cast("long"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each component, the one with the smallest doc_id, or one of those without
+    any if the component has none; columns unchanged."""
+    found = placed_rows(docs.select("doc_id", "text"), threshold, k, "text", "doc_id")
+    first = found.filter(F.coalesce("__first", "__row") == F.col("__row")).select("__row").distinct()
+    kept = docs.withColumn("__row", row_id(F.col("text"), F.col("doc_id"))).join(first, "__row", "left_semi")
+    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"])
