@@ -88,6 +88,20 @@ def test_chat_detects_rewritten_history():
     assert [x[-1] for x in chat.locate([("user", "abc"), ("assistant", "def"), ("user", "g")], last_only)] == [False, True, True]
 
 
+def test_chat_detects_rewriting_beyond_a_block():
+    def numbered(turns):
+        last = max((i for i, (role, _) in enumerate(turns) if role == "user"), default=-1)
+        return "".join(f"{i}:{text}{'?' if i < last and role == 'assistant' else '!'}\n" for i, (role, text) in enumerate(turns))
+
+    turns = [(("user", "assistant")[i % 2], f"t{i}") for i in range(2 * chat.BLOCK + 9)]
+    whole = ""
+    for i, (piece, start, end, lo, hi, rewrites) in enumerate(chat.locate(turns, numbered)):
+        before, whole = whole, numbered(turns[: i + 1])
+        assert rewrites == (not whole.startswith(before)) == (i > 0 and i % 2 == 0)
+        assert whole[start:end] == piece and end == len(whole)
+        assert lo is None or whole[lo:hi] == turns[i][1]
+
+
 def test_chat_loss_is_null_without_the_role():
     assert [x[3] for x in chat.locate([("user", "a"), ("system", "b")])] == [None, None]
 

@@ -6,9 +6,10 @@ output starts with the shorter, the difference is the new turn's span; where it
 template rewrites history, and the turn is marked. The text's own place inside an assistant's
 span is found by rendering the turn once more with a marker for its text.
 
-Conversations are streamed in turn order, never gathered. Up to BLOCK turns every prefix is
-rendered whole; a longer conversation goes on in blocks, each rendered after its first and its
-last preceding turn, which is exact for templates in which a turn depends on no other turns.
+Every prefix is rendered whole, so a conversation's turns are held and its cost grows with the square
+of its length. A template whose attribute `stateless` is true declares that a turn depends on no
+other turns: its conversations are streamed, and those of more than BLOCK turns go on in blocks,
+each rendered after its first and its last preceding turn, which gives the same.
 
 Defined results: null text and null role count as empty; turns with equal numbers (null first)
 are ordered by role, then text; repeated rows are turns of their own; a null conv_id is one
@@ -50,6 +51,9 @@ def turn_template(turns: list[Turn]) -> str:
     return "".join(f"### {escape(role, ROLE_CONTROL)}: {escape(text)}</turn>\n" for role, text in turns)
 
 
+turn_template.stateless = True
+
+
 def read_piece(piece: str) -> Turn:
     """The inverse of turn_template for one turn."""
     m = PIECE.fullmatch(piece)
@@ -62,12 +66,13 @@ def locate(turns: Iterable[Turn], template: Template = turn_template, loss_role:
     """(piece, start, end, loss start, loss end, rewrites) for each turn. start..end is the turn's
     span in the whole output, the loss span that of its text; rewrites: the template changed what
     it had rendered before, and the piece starts where the outputs part."""
+    stateless = getattr(template, "stateless", False)
     at = 0
     first: Turn | None = None
     seen: list[Turn] = []
     before = template([])
     for turn in turns:
-        if len(seen) >= block:
+        if stateless and len(seen) >= block:
             seen = [first, seen[-1]]
             before = template(seen)
         if first is None:
