@@ -318,6 +318,14 @@ def test_html_text_of_a_page():
     assert html_consensus.votes_of(PAGE)[0][0] == "/html/body/div.c#.col.story-#"
 
 
+@pytest.mark.parametrize("names", [("single has-sidebar", "post"), ("no-sidebar", "category-social tag-search"), ("", "post related share")])
+def test_html_layout_and_topic_names_are_no_asides(names):
+    prose = "A sentence of the article, with words enough. " * 6
+    page = f"<html><body class='{names[0]}'><div class='layout no-sidebar'><article class='{names[1]}'><p>{prose}</p><div class='share-bar'>Share it</div></article><div class='sidebar'>Side</div></div></body></html>"
+    assert html_consensus.text_at(page, None) == prose.strip()
+    assert html_consensus.text_at(page, html_consensus.votes_of(page)[0][0]) == prose.strip()
+
+
 @pytest.mark.parametrize("html", ["", "plain & text", "<p>", "</div></div>x", "<div" * 50, "<p>" * 3000 + "deep", "<script>never closed"])
 def test_html_odd_pages_do_not_fail(html):
     assert isinstance(html_consensus.text_at(html, "/html/body/article"), str)

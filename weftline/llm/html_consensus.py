@@ -33,7 +33,11 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("article body div main section td".split())
 ASIDE_TAGS = frozenset("aside button dialog fieldset footer form head menu nav title".split())
-#: Names of what isn't the article, as parts of class, id or role.
+#: Never asides by name, whatever their classes tell of the page's layout or the article's topic.
+NEVER_ASIDE = frozenset("html body main article".split())
+#: An element whose names just begin or end with an aside's is one up to this share of the page's prose.
+MINOR = 0.2
+#: Names of what isn't the article, in class, id or role.
 ASIDE_NAMES = frozenset(
     "ad ads advert advertisement adverts alert author-box banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -57,18 +61,35 @@ def step_of(tag: str, names: str) -> str:
     return ".".join([tag, *parts])
 
 
-def is_aside(tag: str, names: str, within_article: bool) -> bool:
+def is_aside(tag: str, names: str, within_article: bool) -> bool | None:
+    """By the tag or a whole name; None if a name just begins or ends with one, so that it depends
+    on the element's share of the page's prose."""
     if tag in ASIDE_TAGS or tag == "header" and not within_article:
         return True
-    if not names:
+    if not names or tag in NEVER_ASIDE:
         return False
-    parts = set(re.split(r"[^a-z0-9]+", names.lower()))
-    return bool(parts & ASIDE_NAMES) or not within_article and bool(parts & HEADER_NAMES)
+    known = ASIDE_NAMES if within_article else ASIDE_NAMES | HEADER_NAMES
+    whole = names.lower().split()
+    if not known.isdisjoint(whole):
+        return True
+    for name in whole:
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
+        if parts and (parts[0] in known or parts[-1] in known):
+            return None
+    return False
+
+
+def minor_elements(html: str) -> set[int]:
+    """The numbers of the elements that hold a small share of the page's prose, or none."""
+    weights: dict[int, float] = {}
+    made = read(html, weights=weights)[2]
+    return {i for i in range(made) if weights.get(i, 0.0) <= MINOR * weights.get(-1, 0.0)}
 
 
-def read(html: str, path: str | None = None, number: int | None = None) -> tuple[list[Element], list[str]]:
-    """All containers with their scores, and the blocks of text inside the elements of that path
-    (or the one element of that number)."""
+def read(html: str, path: str | None = None, number: int | None = None, minor: set[int] | None = None, weights: dict[int, float] | None = None) -> tuple[list[Element], list[str], int]:
+    """All containers with their scores, the blocks of text inside the elements of that path (or the
+    one element of that number), and the number of elements. With weights, just the prose in each
+    element is added up there, under -1 that of the page."""
     root = Element("", "", False, None, False, -1)
     stack = [root]
     containers: list[Element] = []
@@ -89,6 +110,12 @@ def read(html: str, path: str | None = None, number: int | None = None) -> tuple
         text = " ".join(unescape(raw).split())
         if not text:
             return
+        if weights is not None:
+            e = top
+            while e is not None:
+                weights[e.number] = weights.get(e.number, 0.0) + max(0.0, len(text) - 2.0 * linked)
+                e = e.parent
+            return
         if top.taken:
             blocks.append(text)
         if path is None and number is None:
@@ -144,6 +171,10 @@ def read(html: str, path: str | None = None, number: int | None = None) -> tuple
         up = stack[-1]
         here = f"{up.path}/{step_of(tag, names)}" if tag in BLOCKS else up.path
         aside = up.aside or is_aside(tag, names, "/article" in up.path or "/main" in up.path)
+        if aside is None:
+            if weights is None and minor is None:
+                return read(html, path, number, minor_elements(html))
+            aside = weights is None and made in minor
         taken = up.taken or (tag in CONTAINERS and not aside and (here == path or made == number))
         e = Element(tag, here, aside, up, taken, made)
         stack.append(e)
@@ -151,7 +182,7 @@ def read(html: str, path: str | None = None, number: int | None = None) -> tuple
         if tag in CONTAINERS and not aside:
             containers.append(e)
     flush()
-    return containers, blocks
+    return containers, blocks, made
 
 
 def ranked(containers: list[Element]) -> list[Element]:
