@@ -6,9 +6,11 @@ from pathlib import Path
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from weftline import queries as core
+from weftline.operators import conversations
 
 
 def plain(value):
@@ -46,6 +48,14 @@ def test_every_query_has_sql_or_runs(spark, small):
         assert core.QUERIES[name](spark, small).columns
 
 
+def test_transcript_cuts_only_tool_texts(spark):
+    rows = [(1, 0, "user", "early")] + [(1, i, role, f"{role} " * 100) for i, role in enumerate(("system", "user", "assistant", "tool"), 1)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = conversations.as_array(conversations.last_turns(turns, 4)).select("messages", conversations.transcript(F.col("messages"), 4, 20).alias("t")).first()
+    assert len(found.messages) == 4
+    assert found.t == "\n".join(f"{role.upper()}: {text[:20] if role == 'tool' else text}" for _, _, role, text in rows[1:])
+
+
 def test_entry_module(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).limit(5).collect()

@@ -21,16 +21,23 @@ def as_array(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     return turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
 
 
+def last_turns(turns: DataFrame, last: int, key: str = "conv_id") -> DataFrame:
+    """The last rows of each conversation, by rank, so that no array holds more."""
+    w = Window.partitionBy(key).orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    return turns.withColumn("__place", F.row_number().over(w)).filter(F.col("__place") <= last).drop("__place")
+
+
 def swapped(messages: Column) -> Column:
     """The other side's view: user and assistant change places, system and tool rows go."""
     seen = F.filter(messages, lambda m: m["role"].isin("user", "assistant"))
     return F.transform(seen, lambda m: m.withField("role", F.when(m["role"] == "user", "assistant").otherwise("user")))
 
 
-def transcript(messages: Column, last: int, width: int) -> Column:
-    """The last messages as `ROLE: text`, long texts cut."""
+def transcript(messages: Column, last: int, width: int, cut: tuple[str, ...] = ("tool",)) -> Column:
+    """The last messages as `ROLE: text`, long texts of the roles in cut shortened, others whole."""
+    shown = lambda m: F.when(m["role"].isin(*cut), F.substring(m["text"], 1, width)).otherwise(m["text"])
     tail = F.slice(messages, F.greatest(F.size(messages) - last + 1, F.lit(1)), last)
-    return F.array_join(F.transform(tail, lambda m: F.concat(F.upper(m["role"]), F.lit(": "), F.substring(m["text"], 1, width))), "\n")
+    return F.array_join(F.transform(tail, lambda m: F.concat(F.upper(m["role"]), F.lit(": "), shown(m))), "\n")
 
 
 def with_system(messages: Column, policy: Column) -> Column:

@@ -384,7 +384,9 @@ def role_swap(spark, d):
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS n FROM conversations) SELECT conv_id, string_agg(upper(role) || ': ' || substr(text, 1, 200), chr(10) ORDER BY turn, role, text) AS transcript FROM r WHERE n <= 10 GROUP BY 1")
 def last_n_transcript(spark, d):
-    return C.as_array(table(spark, d, "conversations")).select("conv_id", C.transcript(F.col("messages"), 10, 200).alias("transcript"))
+    # Its SQL cuts the texts of every role.
+    last = C.as_array(C.last_turns(table(spark, d, "conversations"), 10))
+    return last.select("conv_id", C.transcript(F.col("messages"), 10, 200, ("system", "user", "assistant", "tool")).alias("transcript"))
 
 
 @query("SELECT conv_id, (count(*) + (arg_min(role, (turn, role, text)) <> 'system')::INT)::BIGINT AS n_messages, 'system' AS first_role FROM conversations GROUP BY 1")
