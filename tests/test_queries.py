@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from weftline import queries as core
-from weftline.operators import conversations
+from weftline.operators import conversations, matching
 
 
 def plain(value):
@@ -56,6 +56,13 @@ def test_transcript_cuts_only_tool_texts(spark):
     assert found.t == "\n".join(f"{role.upper()}: {text[:20] if role == 'tool' else text}" for _, _, role, text in rows[1:])
 
 
+def test_closest_record_without_a_shared_value(spark):
+    rows = [(1, "g", "a", "b"), (2, "g", "c", "d"), (3, "g", "c", "e"), (4, "h", "a", "b")]
+    records = spark.createDataFrame(rows, "k long, grp string, x string, y string")
+    found = matching.closest_records(records, records, ["grp"], "k", "closest", ["x", "y"]).collect()
+    assert {(r.k, r.closest, r.differing) for r in found} == {(1, 2, 2), (2, 3, 1), (3, 2, 1)}
+
+
 def test_entry_module(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).limit(5).collect()

@@ -29,14 +29,22 @@ def action_scores(matches: DataFrame, key: str = "id") -> DataFrame:
 def closest_records(left: DataFrame, right: DataFrame, group: list[str], key: str, other: str, fields: list[str]) -> DataFrame:
     """For each left record the right record of its group with the fewest differing fields, then
     the smallest key. Candidates meet on a shared value of some field and the group, never all
-    with all; a record that shares no value with any other of its group has none."""
+    with all; a record that shares no value with any other of its group gets the group's smallest
+    other key, all fields differing. Keys are distinct and not null."""
     one = left.select(*group, F.col(key), *[F.col(f).cast("string").alias(f) for f in fields])
     two = right.select(*group, F.col(key).alias(other), *[F.col(f).cast("string").alias(f"__{f}") for f in fields])
     shared = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in fields])).alias("on")
     other_shared = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"__{f}").alias("v")) for f in fields])).alias("on")
     pairs = one.select(*group, key, shared).join(two.select(*group, other, other_shared), [*group, "on"]).filter(F.col(key) != F.col(other))
     counted = pairs.groupBy(key, other).agg((F.lit(len(fields)) - F.count("*")).alias("differing"))
-    return counted.groupBy(key).agg(F.min(F.struct("differing", other)).alias("best")).select(key, F.col(f"best.{other}").alias(other), F.col("best.differing").alias("differing"))
+    best = counted.groupBy(key).agg(F.min(F.struct("differing", other)).alias("best"))
+    # A group's two smallest keys: one of them is another record's.
+    least = two.groupBy(*group).agg(F.min(other).alias("__first"))
+    second = two.join(least, group).filter(F.col(other) != F.col("__first")).groupBy(*group).agg(F.min(other).alias("__second"))
+    rows = one.select(*group, key).join(best, key, "left").join(least, group, "left").join(second, group, "left")
+    rest = F.when(F.col(key) != F.col("__first"), F.col("__first")).otherwise(F.col("__second"))
+    found = rows.select(key, F.coalesce(f"best.{other}", rest).alias(other), F.coalesce("best.differing", F.lit(len(fields))).alias("differing"))
+    return found.filter(F.col(other).isNotNull())
 
 
 def subset_join(small: DataFrame, large: DataFrame, key: str, other: str, member: str) -> DataFrame:
