@@ -45,3 +45,24 @@ def combo_id(hashes: pd.Series, instances: pd.Series) -> pd.Series:
         return hashlib.md5(body.encode()).hexdigest()[:12]
 
     return pd.Series([one(h, r) for h, r in zip(hashes, instances)], dtype=object)
+
+
+def sample_id(first_user: Column, tools: Column) -> Column:
+    """MD5 of the first user message and the tools' texts in order of themselves."""
+    return F.md5(F.concat(F.coalesce(first_user, F.lit("")), F.array_join(F.array_sort(F.coalesce(tools, F.array().cast("array<string>"))), ",")))
+
+
+def task_id(server: Column, trajectory: Column, combo: Column) -> Column:
+    """server and the first 8 hex digits of the MD5 of each of the others."""
+    return F.concat_ws("_", server, F.substring(F.md5(trajectory), 1, 8), F.substring(F.md5(combo), 1, 8))
+
+
+def context_id(trajectory_hash: Column, context: Column) -> Column:
+    """12 hex digits of the MD5 of {"entity_context": ..., "trajectory_hash": ...}; the context is a JSON text with
+    sorted keys and `, ` and `: ` between."""
+    body = F.concat(F.lit('{"entity_context": '), context, F.lit(', "trajectory_hash": "'), trajectory_hash, F.lit('"}'))
+    return F.substring(F.md5(body), 1, 12)
+
+
+def query_id(result: Column) -> Column:
+    return F.substring(F.md5(result), 1, 8)

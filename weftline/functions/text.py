@@ -155,3 +155,56 @@ def fill_template(template: Column, values: Column) -> Column:
 def fenced_code(text: Column, language: str = "python") -> Column:
     found = F.regexp_extract(text, rf"(?s)```{language}\s*\n(.*?)```", 1)
     return F.trim(F.when(found != "", found).otherwise(text))
+
+
+def is_state_changing(tool: Column) -> Column:
+    """A tool whose name holds one of the fixed words."""
+    return contains_any(F.lower(tool), STATE_CHANGING_WORDS)
+
+
+def is_recoverable(error: Column) -> Column:
+    return contains_any(F.lower(error), RECOVERABLE_ERRORS)
+
+
+def explicit_placeholders(text: Column) -> Column:
+    """(domain, name, field) of each `<Entity.field>` or `<Domain.Relationship.field>`, in order, once each."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"<(\w+\.\w+(?:\.\w+)?)>"), F.lit(1)))
+    return F.transform(found, lambda x: F.struct(F.when(F.size(F.split(x, r"\.")) == 3, F.split(x, r"\.")[0]).alias("domain"), F.element_at(F.split(x, r"\."), -2).alias("name"), F.element_at(F.split(x, r"\."), -1).alias("field")))
+
+
+def known_domains(name: Column, domains: Column) -> Column:
+    """The parts of a fused name that are known domains, joined back greedily: of the domains that the rest of
+    the name begins with, the longest goes first; a part that begins none is passed over."""
+    words = F.split(name, "_")
+
+    def step(acc: Column, i: Column) -> Column:
+        rest = F.array_join(F.slice(words, i + 1, F.size(words)), "_")
+        fits = F.filter(domains, lambda d: (rest == d) | F.startswith(rest, F.concat(d, F.lit("_"))))
+        best = F.element_at(F.array_sort(F.transform(fits, lambda d: F.struct((-F.length(d)).alias("n"), d.alias("d")))), 1)["d"]
+        hit = (i >= acc["next"]) & (F.size(fits) > 0)
+        return F.struct(
+            F.when(hit, F.concat(acc["found"], F.array(best))).otherwise(acc["found"]).alias("found"),
+            F.when(hit, i + F.size(F.split(best, "_"))).otherwise(acc["next"]).cast("int").alias("next"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("found"), F.lit(0).alias("next"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), start, step, lambda acc: acc["found"])
+
+
+def source_entity(value_from: Column) -> Column:
+    """The entity of `Entity.field`; null for values of the system."""
+    return F.when(~F.startswith(F.lower(value_from), F.lit("system_")), F.split(value_from, r"\.")[0])
+
+
+def with_entity_id(attributes: Column, entity: Column) -> Column:
+    """A map whose first *_id key (in order of keys) becomes `entity_id`, unless it has that key."""
+    wanted = F.concat(F.lower(entity), F.lit("_id"))
+    first = F.get(F.array_sort(F.filter(F.map_keys(attributes), lambda k: F.endswith(k, F.lit("_id")))), F.lit(0))
+    renamed = F.map_from_entries(F.transform(F.map_entries(attributes), lambda e: F.struct(F.when(e["key"] == first, wanted).otherwise(e["key"]).alias("key"), e["value"].alias("value"))))
+    return F.when(F.map_contains_key(attributes, wanted) | first.isNull(), attributes).otherwise(renamed)
+
+
+def test_counts(summary: Column) -> Column:
+    """(passed, failed, errors) of a test run's last line."""
+    number = lambda word: F.coalesce(F.nullif(F.regexp_extract(summary, rf"(\d+) {word}", 1), F.lit("")).cast("long"), F.lit(0))
+    return F.struct(number("passed").alias("passed"), number("failed").alias("failed"), number("error").alias("errors"))

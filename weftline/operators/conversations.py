@@ -56,3 +56,62 @@ def before_last_user(turns: DataFrame, key: str = "conv_id") -> DataFrame:
 def monitor_decision(run: Column, most: int, completed: Column, continued: Column) -> Column:
     """Why a conversation should end, or continue."""
     return F.when(run >= most, "no_tool_run").when(completed & ~continued, "rule").otherwise("continue")
+
+
+def called(names: Column) -> Column:
+    return F.array_join(F.transform(names, lambda n: F.concat(F.lit("[Called: "), n, F.lit("]"))), " ")
+
+
+def dialogue(messages: Column) -> Column:
+    """`ROLE: text [Called: f]` of all messages that say or call something, a blank line between."""
+
+    def line(m: Column) -> Column:
+        body = F.trim(F.concat_ws(" ", F.nullif(F.coalesce(m["text"], F.lit("")), F.lit("")), F.nullif(called(m["calls"]), F.lit(""))))
+        return F.when(body != "", F.concat(F.upper(F.coalesce(m["role"], F.lit("unknown"))), F.lit(": "), body))
+
+    return F.array_join(F.array_compact(F.transform(messages, line)), "\n\n")
+
+
+def judge_log(messages: Column) -> Column:
+    """`--- ROLE ---` blocks with tool calls, and tool results by their call."""
+
+    def block(m: Column) -> Column:
+        calls = F.array_join(F.transform(m["calls"], lambda n: F.concat(F.lit("[TOOL_CALL: "), n, F.lit("]"))), "\n")
+        text = F.when(m["role"] == "tool", F.concat(F.lit("[TOOL_RESULT for "), F.coalesce(m["call_id"], F.lit("")), F.lit("]\n"), F.coalesce(m["text"], F.lit("")))).otherwise(F.coalesce(m["text"], F.lit("")))
+        body = F.trim(F.concat_ws("\n", F.nullif(text, F.lit("")), F.nullif(calls, F.lit(""))))
+        return F.when(body != "", F.concat(F.lit("--- "), F.upper(m["role"]), F.lit(" ---\n"), body))
+
+    return F.array_join(F.array_compact(F.transform(messages, block)), "\n\n")
+
+
+def without_reasoning(messages: Column) -> Column:
+    return F.transform(messages, lambda m: m.withField("reasoning_content", F.lit(None).cast("string")))
+
+
+MESSAGE_FIELDS = ("role", "content", "reasoning_content", "tool_calls", "tool_call_id")
+
+
+def canonical(rows: DataFrame, source: str, use_cot: bool) -> DataFrame:
+    """id, messages of MESSAGE_FIELDS alone, data_source, use_cot; a missing id is the digest of the messages."""
+    kept = F.transform("messages", lambda m: F.struct(*[m[f].alias(f) for f in MESSAGE_FIELDS]))
+    shaped = rows.select("id", kept.alias("messages"))
+    ident = F.coalesce("id", F.md5(F.to_json("messages")))
+    return shaped.select(ident.alias("id"), "messages", F.lit(source).alias("data_source"), F.lit(use_cot).alias("use_cot"))
+
+
+def execution_log(calls: Column) -> Column:
+    """`n. tool(arguments) -> result` lines of (tool, arguments, result)."""
+    return F.array_join(F.transform(calls, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c["tool"], F.lit("("), F.coalesce(c["arguments"], F.lit("")), F.lit(") -> "), F.coalesce(c["result"], F.lit("none")))), "\n")
+
+
+def by_tool_prefix(values: DataFrame, key: str) -> DataFrame:
+    """From (key, name `tool.param`, value, trajectory): `tool: param=value, ...` lines in the trajectory's order."""
+    parts = F.split("name", r"\.", 2)
+    each = values.select(key, parts[0].alias("tool"), parts[1].alias("param"), "value", F.array_position("trajectory", parts[0]).alias("at"))
+    each = each.groupBy(key, "tool", "at").agg(F.array_sort(F.collect_list(F.concat("param", F.lit("="), "value"))).alias("pairs"))
+    line = F.struct(F.when(F.col("at") > 0, F.col("at")).otherwise(1 << 30).alias("at"), F.concat("tool", F.lit(": "), F.array_join("pairs", ", ")).alias("line"))
+    return each.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("listed"))
+
+
+def call_sequence(path: Column) -> Column:
+    return F.array_join(path, " -> ")

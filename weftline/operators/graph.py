@@ -33,9 +33,30 @@ def simple_paths(edges: DataFrame, least: int = 2, most: int = 5) -> DataFrame:
     return found
 
 
-def bounded_graph(calls: DataFrame, key: str, tool: str, order: list[str], most: int) -> DataFrame:
-    """The most frequent transitions between different tools; ties by name."""
+def transition_graph(calls: DataFrame, key: str, tool: str, order: list[str]) -> DataFrame:
+    """source, target, n: all transitions between different tools, with how often they occur."""
     from pyspark.sql import Window
 
     step = calls.select(F.lag(tool).over(Window.partitionBy(key).orderBy(*order)).alias("source"), F.col(tool).alias("target"))
-    return step.filter("source is not null and source <> target").groupBy("source", "target").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source", "target").limit(most)
+    return step.filter("source is not null and source <> target").groupBy("source", "target").agg(F.count("*").alias("n"))
+
+
+def tool_graph(nodes: DataFrame, links: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links) held to the server's functions: unknown nodes and their links go, functions without
+    a node get one."""
+    names = functions.select(F.col("name").alias("node")).distinct()
+    kept = links
+    for end in ("source", "target"):
+        kept = kept.join(names.select(F.col("node").alias(end)), end, "left_semi")
+    return nodes.select("node").join(names, "node", "left_semi").unionByName(names.join(nodes.select("node"), "node", "left_anti")), kept
+
+
+def entity_edges(blueprints: DataFrame, hub: str = "Person") -> DataFrame:
+    """source, target: the hub with every other entity of a blueprint that has it."""
+    everyone = F.array_distinct(F.concat(F.array("core_entity"), F.coalesce("peripheral_entities", F.array().cast("array<string>"))))
+    rows = blueprints.select(everyone.alias("entities")).filter(F.array_contains("entities", hub))
+    return rows.select(F.lit(hub).alias("source"), F.explode("entities").alias("target")).filter(F.col("target") != hub).distinct()
+
+
+def entities_of(edges: DataFrame, hub: str = "Person") -> DataFrame:
+    return neighbours(edges).filter(F.col("node") == hub).select(F.col("neighbour").alias("entity"))

@@ -52,3 +52,22 @@ def subset_join(small: DataFrame, large: DataFrame, key: str, other: str, member
     counts decide, so no pair is formed that shares nothing. Members are distinct per key."""
     need = small.groupBy(key).agg(F.count("*").alias("__need"))
     return small.join(large, member).groupBy(key, other).agg(F.count("*").alias("__met")).join(need, key).filter("__met = __need").select(key, other)
+
+
+def combos_of_domains(combos: DataFrame, wanted: DataFrame, domains: str = "domains") -> DataFrame:
+    """Combos whose set of domains is one of those wanted, in any order."""
+    key = F.array_sort(F.array_distinct(domains))
+    return combos.withColumn("domain_key", key).join(wanted.select(key.alias("domain_key")).distinct(), "domain_key", "left_semi").drop("domain_key")
+
+
+def equivalents(groups: DataFrame, values: DataFrame, value: str = "value") -> DataFrame:
+    """values plus group_id: the abbreviation group of each known value, in any case; of several the later wins."""
+    index = groups.groupBy(F.lower("member").alias("low")).agg(F.max("group_id").alias("group_id"))
+    return values.withColumn("low", F.lower(value)).join(index, "low", "left").drop("low")
+
+
+def parameter_names(trajectories: DataFrame, tools: DataFrame, key: str = "id") -> DataFrame:
+    """key, tool, params: the parameter names of every tool of a trajectory, sorted; tools without any have none."""
+    wanted = trajectories.select(key, F.explode("trajectory").alias("tool")).distinct()
+    found = wanted.join(tools.select(F.col("name").alias("tool"), F.array_sort(F.map_keys("parameters")).alias("params")), "tool", "left")
+    return found.select(key, "tool", F.coalesce("params", F.array().cast("array<string>")).alias("params"))

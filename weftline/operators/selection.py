@@ -97,3 +97,82 @@ def shared_by_all(members: DataFrame, group: str, member: str) -> DataFrame:
     """Members that every group has."""
     n = members.agg(F.count_distinct(group).alias("__n"))
     return members.groupBy(member).agg(F.count_distinct(group).alias("__in")).join(F.broadcast(n), F.col("__in") == F.col("__n")).select(member)
+
+
+def drawn(values: Column, *ident: str, seed: int = 0) -> Column:
+    """One element of an array, the same on every run for the same identity."""
+    return F.get(values, F.pmod(F.xxhash64(F.lit(seed), *[F.col(i) for i in ident]), F.size(values).cast("long")).cast("int"))
+
+
+def drawn_number(low: float, high: float, *ident: str, seed: int = 0, whole: bool = True) -> Column:
+    """A number of the range, whole or with two decimals."""
+    share = F.pmod(F.xxhash64(F.lit(seed), *[F.col(i) for i in ident]), F.lit(1 << 30)) / (1 << 30)
+    return F.floor(F.lit(low) + share * (high - low + 1)).cast("long") if whole else F.round(F.lit(low) + share * (high - low), 2)
+
+
+def drawn_many(values: Column, least: int, most: int, *ident: str, seed: int = 0) -> Column:
+    """least to most different elements of an array, in its order of hashes."""
+    count = F.lit(least) + F.pmod(F.xxhash64(F.lit(seed), *[F.col(i) for i in ident]), F.lit(most - least + 1)).cast("int")
+    keyed = F.transform(values, lambda v: F.struct(F.xxhash64(F.lit(seed + 1), v, *[F.col(i) for i in ident]).alias("h"), v.alias("v")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, count), lambda e: e["v"])
+
+
+def named_table(tables: DataFrame, name: str, server: str | None = None) -> DataFrame:
+    """Records (name, server, record) of a table asked for by name in any case or spelling of spaces and
+    underscores; the server's own table comes before the global one (server null); none gives no rows."""
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[\\s_]+", "")
+    found = tables.filter(plain(F.col("name")) == plain(F.lit(name)))
+    if server is None:
+        return found
+    own = found.filter(F.col("server") == server)
+    there = own.limit(1).select(F.lit(True).alias("own"))
+    rest = found.filter(F.col("server").isNull()).join(F.broadcast(there), F.lit(True), "left_anti")
+    return own.unionByName(rest)
+
+
+def same_or_different(rows: DataFrame, key: str, group: list[str], same: bool, seed: int = 0) -> DataFrame:
+    """rows plus partner: the row itself, or another row of its group, by a repeatable rotation."""
+    if same:
+        return rows.withColumn("partner", F.col(key))
+    w = Window.partitionBy(*group).orderBy(hash_order(key, seed=seed), key)
+    turned = F.coalesce(F.lead(key).over(w), F.first(key).over(w))
+    return rows.withColumn("partner", F.when(turned != F.col(key), turned))
+
+
+def fused_core(candidates: dict[str, DataFrame], core: str) -> DataFrame:
+    """Core instances that satisfy every domain's conditions."""
+    found = None
+    for rows in candidates.values():
+        ids = rows.select(core).distinct()
+        found = ids if found is None else found.join(ids, core, "left_semi")
+    return found
+
+
+def met_by_constraint(rows: DataFrame, pool: DataFrame, on: list[str], key: str, other: str, seed: int = 0) -> DataFrame:
+    """rows plus other: a repeatable pick from the pool's rows that agree on the constraint; null if none
+    does. The pool is numbered once a constraint, so that no pair is formed but the picked one."""
+    w = Window.partitionBy(*on).orderBy(hash_order(other, seed=seed), other)
+    numbered = pool.select(*on, other).withColumn("place", F.row_number().over(w) - 1)
+    sizes = pool.groupBy(*on).agg(F.count("*").alias("size"))
+    asked = rows.join(sizes, on, "left").withColumn("place", F.when(F.col("size") > 0, F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.col("size")).cast("int")))
+    return asked.join(numbered, [*on, "place"], "left").drop("place", "size")
+
+
+def without_overlap(rows: DataFrame, taken: DataFrame, on: list[str], start: str, end: str, bucket: float) -> DataFrame:
+    """rows whose interval meets none of `taken` of the same key. Intervals meet in the buckets of time that
+    they touch, which are few while an interval isn't much longer than a bucket."""
+    touch = lambda df: df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
+    held = touch(taken.select(*on, start, end)).select(*on, "bucket", F.col(start).alias("from_"), F.col(end).alias("to_"))
+    mine = touch(rows.withColumn("row_id", F.monotonically_increasing_id()))
+    hit = mine.join(held, [*on, "bucket"]).filter((F.col(start) < F.col("to_")) & (F.col("from_") < F.col(end)))
+    return mine.join(hit.select("row_id").distinct(), "row_id", "left_anti").drop("bucket").dropDuplicates(["row_id"]).drop("row_id")
+
+
+def merged_dependencies(explicit: Column, implicit: Column) -> Column:
+    """Two maps as one; explicit entries win."""
+    return F.map_concat(F.map_filter(implicit, lambda k, v: ~F.map_contains_key(explicit, k)), explicit)
+
+
+def missing_domains(expected: Column, domains: Column) -> Column:
+    """Expected keys (Server.tool.param) that the map lacks; null values count as there."""
+    return F.array_except(expected, F.map_keys(domains))

@@ -118,14 +118,14 @@ def first_failed_step(spark, d):
 
 @query(
     "WITH RECURSIVE t AS (SELECT lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS a, event_type AS b FROM events), "
-    "e AS (SELECT a, b FROM t WHERE a IS NOT NULL AND a <> b GROUP BY a, b ORDER BY count(*) DESC, a, b LIMIT 8), n AS (SELECT a AS x FROM e UNION SELECT b FROM e), "
+    "e AS (SELECT a, b FROM t WHERE a IS NOT NULL AND a <> b GROUP BY a, b), n AS (SELECT a AS x FROM e UNION SELECT b FROM e), "
     "st AS (SELECT x FROM n WHERE x NOT IN (SELECT b FROM e) UNION ALL SELECT x FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.x NOT IN (SELECT b FROM e))), "
     "en AS (SELECT x FROM n WHERE x NOT IN (SELECT a FROM e) UNION ALL SELECT x FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.x NOT IN (SELECT a FROM e))), "
     "p AS (SELECT [x] AS path FROM st UNION ALL SELECT list_append(path, b) FROM p JOIN e ON e.a = path[-1] WHERE len(path) < 5 AND NOT list_contains(path, b)) "
     "SELECT array_to_string(path, '>') AS path, len(path)::BIGINT AS size FROM p WHERE len(path) >= 2 AND path[-1] IN (SELECT x FROM en)"
 )
 def simple_paths_bounded(spark, d):
-    edges = G.bounded_graph(calls(spark, d), "user_id", "event_type", ["ts", "event_id"], 8)
+    edges = G.transition_graph(calls(spark, d), "user_id", "event_type", ["ts", "event_id"])
     return G.simple_paths(edges).select(F.array_join("path", ">").alias("path"), F.size("path").cast("long").alias("size"))
 
 
@@ -191,13 +191,12 @@ def action_full_match(spark, d):
 
 
 @query(
-    "WITH p AS (SELECT p_partkey AS k, p_brand AS b, p_type AS t, p_size AS z, p_name AS n FROM part), j AS (SELECT a.k, c.k AS o, 3 - (a.t = c.t)::INT - (a.z = c.z)::INT - (a.n = c.n)::INT AS differing FROM p a JOIN p c ON a.b = c.b AND a.k <> c.k AND (a.t = c.t OR a.z = c.z OR a.n = c.n)) "
+    "WITH p AS (SELECT p_partkey AS k, p_brand AS b, p_type AS t, p_size AS z, p_name AS n FROM part), j AS (SELECT a.k, c.k AS o, 3 - (a.t = c.t)::INT - (a.z = c.z)::INT - (a.n = c.n)::INT AS differing FROM p a JOIN p c ON a.b = c.b AND a.k <> c.k) "
     "SELECT k AS p_partkey, arg_min(o, (differing, o)) AS closest, min(differing)::BIGINT AS differing FROM j GROUP BY k"
 )
 def closest_record(spark, d):
     part = table(spark, d, "part")
-    found = M.closest_records(part, part, ["p_brand"], "p_partkey", "closest", ["p_type", "p_size", "p_name"]).withColumn("differing", F.col("differing").cast("long"))
-    return found.filter("differing < 3")  # its SQL has no row for parts that share no value
+    return M.closest_records(part, part, ["p_brand"], "p_partkey", "closest", ["p_type", "p_size", "p_name"]).withColumn("differing", F.col("differing").cast("long"))
 
 
 @query(
@@ -383,11 +382,10 @@ def role_swap(spark, d):
     return rows.select("conv_id", F.array_join(F.transform("m", lambda m: m["role"]), ",").alias("roles"))
 
 
-@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS n FROM conversations) SELECT conv_id, string_agg(upper(role) || ': ' || substr(text, 1, 200), chr(10) ORDER BY turn, role, text) AS transcript FROM r WHERE n <= 10 GROUP BY 1")
+@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS n FROM conversations) SELECT conv_id, string_agg(upper(role) || ': ' || CASE role WHEN 'tool' THEN substr(text, 1, 200) ELSE text END, chr(10) ORDER BY turn, role, text) AS transcript FROM r WHERE n <= 10 GROUP BY 1")
 def last_n_transcript(spark, d):
-    # Its SQL cuts the texts of every role.
     last = C.as_array(C.last_turns(table(spark, d, "conversations"), 10))
-    return last.select("conv_id", C.transcript(F.col("messages"), 10, 200, ("system", "user", "assistant", "tool")).alias("transcript"))
+    return last.select("conv_id", C.transcript(F.col("messages"), 10, 200).alias("transcript"))
 
 
 @query("SELECT conv_id, (count(*) + (arg_min(role, (turn, role, text)) <> 'system')::INT)::BIGINT AS n_messages, 'system' AS first_role FROM conversations GROUP BY 1")
@@ -404,11 +402,13 @@ def turn_boundary(spark, d):
 # Text
 
 
-MARKED = "SELECT doc_id, '[[' || source || ']] of [[' || lang || ']] and [[src1]]' || substr(text, 1, 0) AS t, [source, 'zz' || lang] AS v FROM documents"
+#: Whole texts with bracketed values before and after.
+MARKED = "SELECT doc_id, '[[' || source || ']] of [[' || lang || ']] ' || coalesce(text, '') || ' and [[src1]]' AS t, [source, 'zz' || lang] AS v FROM documents"
 
 
 def marked(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("[["), "source", F.lit("]] of [["), "lang", F.lit("]] and [[src1]]")).alias("t"), F.array(F.col("source"), F.concat(F.lit("zz"), "lang")).alias("v"))
+    text = F.concat(F.lit("[["), "source", F.lit("]] of [["), "lang", F.lit("]] "), F.coalesce("text", F.lit("")), F.lit(" and [[src1]]"))
+    return table(spark, d, "documents").select("doc_id", text.alias("t"), F.array(F.col("source"), F.concat(F.lit("zz"), "lang")).alias("v"))
 
 
 @query(f"SELECT doc_id, array_to_string(regexp_extract_all(t, '\\[\\[([^\\[\\]]+)\\]\\]', 1), ',') AS brackets FROM ({MARKED})")
@@ -447,12 +447,12 @@ def placeholder_flags(spark, d):
     return table(spark, d, "part").select("p_partkey", X.is_placeholder(name).alias("placeholder"))
 
 
-@query("SELECT doc_id, 2::BIGINT AS n_sections, 'rules' AS rules, 'rules' || chr(10) || chr(10) || lang || chr(10) || chr(10) || source AS chosen FROM documents")
+@query("SELECT doc_id, 2::BIGINT AS n_sections, 'rules' AS rules, trim('rules' || chr(10) || chr(10) || lang || chr(10) || chr(10) || trim(coalesce(text, '') || '.')) AS chosen FROM documents")
 def policy_sections(spark, d):
-    text = F.concat(F.lit("<!-- POLICY_START -->rules<!-- GLOBAL_RULES_END --><!-- TOOL: Buy -->"), "source", F.lit("<!-- TOOL_END: Buy --><!-- TOOL: view -->"), "lang", F.lit("<!-- TOOL_END: view -->"))
+    text = F.concat(F.lit("<!-- POLICY_START -->rules<!-- GLOBAL_RULES_END --><!-- TOOL: Buy -->"), F.coalesce("text", F.lit("")), F.lit(".<!-- TOOL_END: Buy --><!-- TOOL: view -->"), "lang", F.lit("<!-- TOOL_END: view -->"))
     rows = table(spark, d, "documents").select("doc_id", text.alias("p"))
     chosen = X.policy_for(F.col("p"), F.array(F.lit("S.view"), F.lit("S.buy"), F.lit("S.none")))
-    return rows.select("doc_id", F.size(X.policy_sections(F.col("p"))).cast("long").alias("n_sections"), X.global_rules(F.col("p")).alias("rules"), chosen.alias("chosen"))
+    return rows.select("doc_id", F.size(X.policy_sections(F.col("p"))).cast("long").alias("n_sections"), X.global_rules(F.col("p")).alias("rules"), F.trim(chosen).alias("chosen"))
 
 
 @query("SELECT p_partkey, lower(regexp_replace(regexp_replace(n, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake, array_to_string(list_transform(regexp_extract_all(n, '[A-Z][a-z]*'), lambda w: w[1]), '') AS abbreviation FROM (SELECT p_partkey, 'Get' || replace(p_brand, '#', 'Item') AS n FROM part)")
@@ -473,9 +473,10 @@ def abbrev_equivalence(spark, d):
     return c.join(groups, c.c_nationkey == groups.n_nationkey).select("c_custkey", (F.col("g") == F.col("c_custkey") % 2).alias("equivalent"))
 
 
-@query("SELECT conv_id, turn, contains(t, '###STOP###') AS stopped, trim(replace(t, '###STOP###', '')) AS text FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || ' ###STOP###' ELSE role END AS t FROM conversations)")
+@query("SELECT conv_id, turn, contains(t, '###STOP###') AS stopped, trim(replace(t, '###STOP###', '')) AS text FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN coalesce(text, '') || ' ###STOP###' ELSE coalesce(text, '') END AS t FROM conversations)")
 def control_tokens(spark, d):
-    text = F.when(F.col("turn") % 2 == 0, F.concat("role", F.lit(" ###STOP###"))).otherwise(F.col("role"))
+    own = F.coalesce("text", F.lit(""))
+    text = F.when(F.col("turn") % 2 == 0, F.concat(own, F.lit(" ###STOP###"))).otherwise(own)
     return table(spark, d, "conversations").select("conv_id", "turn", X.control_flags(text).alias("f")).select("conv_id", "turn", "f.stopped", "f.text")
 
 
@@ -558,3 +559,6 @@ def latest_and_chunks(spark, d):
     w = Window.partitionBy("user_id")
     place = F.row_number().over(w.orderBy("ts", "event_id"))
     return calls(spark, d).select("user_id", "event_id", (F.row_number().over(w.orderBy(F.desc("ts"), F.desc("event_id"))) == 1).alias("newest"), F.floor((place - 1) / 20).cast("long").alias("chunk"))
+
+
+from weftline import evaluation_queries  # noqa: E402, F401  registers its queries here

@@ -17,11 +17,12 @@ def json_documents(spark: SparkSession, path: str, schema: str | T.StructType) -
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, malformed lines with their files). Blank lines are neither."""
-    raw = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path).withColumn("file", F.col("_metadata.file_path"))
-    text = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    bad = text.filter((F.trim("value") != "") & F.try_parse_json("value").isNull())
-    return raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), bad
+    """(good rows, lines that are no JSON or break the schema, with their files). Blank lines are neither."""
+    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file")).filter(F.trim("value") != "")
+    read = F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.withColumn("r", read)
+    bad = F.col("r._corrupt_record").isNotNull() | F.col("r").isNull()
+    return rows.filter(~bad).select("r.*", "file").drop("_corrupt_record"), rows.filter(bad).select("value", "file")
 
 
 def rollouts(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,10 +32,11 @@ def rollouts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, path: str) -> DataFrame:
-    """Task queries: the file's name is the domain key, its parts the domains; of equal ids the last file's row stays."""
+    """Task queries: the file's name is the domain key, its parts the domains; of equal ids the last file's row stays,
+    within a file the one with the greatest content."""
     rows = spark.read.schema(QUERY).json(path).withColumn("file", F.col("_metadata.file_name"))
     named = rows.withColumn("domain_key", F.regexp_extract("file", r"^(.*?)(\.jsonl?)?$", 1)).withColumn("domains", F.split("domain_key", "_"))
-    newest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("file")))
+    newest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("file"), F.desc(F.to_json(F.struct("messages", "user_system_prompt", "task_info")))))
     return named.withColumn("__n", newest).filter("__n = 1").drop("__n").select("*", "task_info.*").drop("task_info")
 
 
@@ -59,3 +61,49 @@ def samples(rollout: DataFrame, query: DataFrame, combos: DataFrame) -> DataFram
 
 def pending(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return tasks.join(done.select(key).distinct(), key, "left_anti")
+
+
+def blueprints(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A row for each blueprint of files that hold an array of them, or an object with the array under `blueprints`."""
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("text"))
+    inner = F.when(F.startswith("text", F.lit("[")), F.col("text")).otherwise(F.get_json_object("text", "$.blueprints"))
+    return whole.select("file", F.explode(F.from_json(inner, f"array<struct<{schema}>>")).alias("b")).select("file", "b.*")
+
+
+def by_server(rows: DataFrame, name: str = "MCP_server_name") -> DataFrame:
+    """One row a server, the last by file."""
+    return rows.groupBy(name).agg(F.max_by(F.struct(*[c for c in rows.columns if c != name]), "file").alias("r")).select(name, "r.*")
+
+
+def tools_of(servers: DataFrame, tools: DataFrame) -> DataFrame:
+    """servers plus tools; a server without a list has an empty one."""
+    empty = F.array().cast(tools.schema["tools"].dataType)
+    return servers.join(tools.select("server", "tools"), "server", "left").withColumn("tools", F.coalesce("tools", empty))
+
+
+def summaries(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """server, summary: the texts of a server's names (server, name), sorted by name, a blank line between."""
+    rows = wanted.select("server", "name").distinct().join(texts, "name")
+    ordered = F.array_sort(F.collect_list(F.struct("name", "text")))
+    return rows.groupBy("server").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("summary"))
+
+
+def processed(queries_: DataFrame) -> DataFrame:
+    """combo ids that have a query already."""
+    return queries_.select("combo_id").filter(F.col("combo_id").isNotNull()).distinct()
+
+
+def completed_trajectories(combos: DataFrame, is_cross: bool) -> DataFrame:
+    """name, trajectory of those done in one mode, once each."""
+    return combos.filter(F.coalesce("is_cross_domain", F.lit(False)) == is_cross).select("name", "trajectory").distinct()
+
+
+def validated_hashes(combos: DataFrame) -> DataFrame:
+    """domain, trajectory_hash of single domains; fused names hold an underscore."""
+    return combos.filter(~F.contains("domain", F.lit("_"))).select("domain", "trajectory_hash").distinct()
+
+
+def entity_context(combos: DataFrame) -> DataFrame:
+    """combos plus context: instances and value domains, empty where missing."""
+    none = F.create_map().cast("map<string,string>")
+    return combos.withColumn("context", F.struct(F.coalesce("entity_instances", none).alias("entity_instances"), F.coalesce("value_domains", none).alias("value_domains")))

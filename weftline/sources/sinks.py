@@ -45,3 +45,25 @@ def routed_instances(combos: DataFrame, entities: list[str]) -> DataFrame:
     rows = combos.select("combo_id", F.explode("entity_instances").alias("name", "record"))
     bare = F.regexp_replace(F.element_at(F.split("name", r"\."), -1), r"_[0-9]+$", "")
     return rows.withColumn("table", bare).withColumn("kind", F.when(F.col("table").isin(*entities), "entities").otherwise("relationships")).drop("name")
+
+
+def write_report(summary: DataFrame, samples: DataFrame, path: str) -> None:
+    """summary (few rows) and samples as JSON under path."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
+    samples.write.mode("overwrite").json(f"{path}/samples")
+
+
+def filtering_report(failures: DataFrame, stats: DataFrame, most: int = 5) -> DataFrame:
+    """server, markdown: a server's counts and its first failures, at most `most`, by combo."""
+    place = F.row_number().over(Window.partitionBy("server").orderBy("combo_id"))
+    few = failures.withColumn("place", place).filter(F.col("place") <= most)
+    listed = few.groupBy("server").agg(F.array_sort(F.collect_list(F.concat(F.lit("- "), "combo_id", F.lit(": "), F.coalesce("reason", F.lit("unknown"))))).alias("lines"))
+    head = F.concat(F.lit("## "), "server", F.lit("\n"), F.col("validated_combos").cast("string"), F.lit(" of "), F.col("total_combos").cast("string"), F.lit(" valid ("), "pass_rate", F.lit(")"))
+    return stats.join(listed, "server", "left").select("server", F.concat_ws("\n", F.concat(F.array(head), F.coalesce("lines", F.array().cast("array<string>")))).alias("markdown"))
+
+
+def new_assertions(tasks: DataFrame, made: DataFrame, key: str = "id") -> DataFrame:
+    """tasks with made's assertions where they have none; others keep theirs."""
+    joined = tasks.join(made.select(key, F.col("assertions").alias("made")), key, "left")
+    has = F.coalesce(F.size("assertions"), F.lit(0)) > 0
+    return joined.withColumn("assertions", F.when(has, F.col("assertions")).otherwise(F.col("made"))).drop("made")
