@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2_000_000
+#: Texts are worked on in chunks of so many bytes, or one by one if longer.
+CHUNK_BYTES = 1_000_000
+KEPT_POWERS = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,13 +33,21 @@ _R_INVERSE = pow(_R, -1, 1 << 64)
 _POWERS = {_R: np.ones(1, np.uint64), _R_INVERSE: np.ones(1, np.uint64)}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    if len(_POWERS[base]) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        steps = np.full(size, base, np.uint64)
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """A random-looking number for each byte."""
+    return _BYTE[data]
+
+
+def powers(n: int, base: int = _R) -> np.ndarray:
+    """base^0 ... base^(n - 1); up to KEPT_POWERS stay for the next call."""
+    kept = _POWERS[base]
+    if len(kept) < n:
+        steps = np.full(1 << max(10, (n - 1).bit_length()), base, np.uint64)
         steps[0] = 1
-        _POWERS[base] = np.cumprod(steps)
-    return _POWERS[base][:n]
+        kept = np.cumprod(steps)
+        if len(kept) <= KEPT_POWERS:
+            _POWERS[base] = kept
+    return kept[:n]
 
 
 def text_chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -70,10 +80,20 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
-def others(docs: DataFrame, *added: str) -> list[Column]:
-    """The columns of docs but those that an operator is about to add under the same name."""
+def others(docs: DataFrame, *added: str, prefix: str = "") -> list[Column]:
+    """The columns of docs but those that an operator is about to add under the same name. With a
+    prefix, they are taken out of the struct that an operator keeps its rows in meanwhile, so that no
+    column of docs can clash with one of the operator's own."""
     taken = {name.lower() for name in added}
-    return [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
+    return [F.col(f"{prefix}`{c}`").alias(c) for c in docs.columns if c.lower() not in taken]
+
+
+def with_text(rows: DataFrame, text: Column, docs: DataFrame, prefix: str = "") -> DataFrame:
+    """The columns of docs with a new text; n_chars, where there is one, is its length. Each row of docs is
+    in rows, its columns under the prefix."""
+    kept = rows.select(text.alias("text"), *([F.col(prefix[:-1]).alias("row")] if prefix else [F.struct("*").alias("row")]))
+    new = {"text": lambda kind: F.col("text"), "n_chars": lambda kind: F.length("text").cast(kind)}
+    return kept.select(*[(new[c](kind) if c in new else F.col(f"row.`{c}`")).alias(c) for c, kind in docs.dtypes])
 
 
 class Words:
@@ -108,7 +128,7 @@ class Words:
         if not len(self.start):
             return np.zeros(0, np.uint64)
         at = np.arange(self.start[0], len(self.data)) - np.repeat(self.start, np.diff(np.append(self.start, len(self.data))))
-        value = _BYTE[self.data[self.start[0] :]] * powers(_R, int(at.max()) + 1)[at]
+        value = _BYTE[self.data[self.start[0] :]] * powers(int(at.max()) + 1)[at]
         use = self._inside[self.start[0] :]
         if longest is not None:
             use = use & (at < longest)
@@ -121,8 +141,8 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(_R, len(hashes)), out=total[1:])
-    return mix((total[k:] - total[:n]) * powers(_R_INVERSE, n) + np.uint64(k))
+    np.cumsum(hashes * powers(len(hashes)), out=total[1:])
+    return mix((total[k:] - total[:n]) * powers(n, _R_INVERSE) + np.uint64(k))
 
 
 def whole_windows(first: np.ndarray, k: int) -> np.ndarray:
@@ -139,8 +159,8 @@ def whole_windows(first: np.ndarray, k: int) -> np.ndarray:
 def range_hash(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of hashes[start : end] for arrays of ranges."""
     total = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(_R, len(hashes)), out=total[1:])
-    inverse = powers(_R_INVERSE, len(hashes) + 1)
+    np.cumsum(hashes * powers(len(hashes)), out=total[1:])
+    inverse = powers(len(hashes) + 1, _R_INVERSE)
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
