@@ -1,18 +1,26 @@
 """HTML extraction by consensus of a host's pages.
 
-Every page scores its containers by the prose in them and votes for the tag-class paths of the
-best; votes are summed per host in Spark, and every page is extracted again at its host's winning
-path, or, where the page has no such element, at its own best container.
-
-Defined results: null html counts as empty and gives empty text; a null or odd url belongs to the
-host ''; equal sums of votes go to the smaller path; repeated rows are pages of their own; an
-empty table gives an empty table; other columns pass through, one named as the result is replaced.
+Every page scores its containers by the prose in them and votes for their generalised tag-class
+paths, one vote in all; votes are summed per host in Spark, and every page is extracted again at
+its host's winning path: all elements there, and articles that stand beside them. Where a page has
+no such element, or one with at most MINOR of the prose at its own best path, it is extracted there.
+The page itself is a container, so that text outside all others has a place.
+
+A page is read once by one scanner that never goes back, in time linear in its length. A path is
+written as the tag and a 64-bit hash of the whole path, so deep pages don't have long ones.
+
+Defined results: null html counts as empty and gives empty text; text without tags is one block; a
+null or odd url belongs to the host ''; equal sums of votes go to the smaller path; very long and
+deep pages are read whole; repeated rows are pages of their own; an empty table gives an empty
+table; other columns pass through, whatever their names; one named as the result is replaced.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 from html import unescape
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,17 +29,17 @@ from pyspark.sql import functions as F
 from weftline.llm.textops import others
 from weftline.session import materialize
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?][^>]*>|</?[a-zA-Z][^>]*>""",
-    re.S,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+STOP = re.compile("[\"'>]")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math select object".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 CONTAINERS = frozenset("article body div main section td".split())
+#: Weights of containers by their tag.
+PRIOR = {"article": 1.5, "main": 1.25}
 ASIDE_TAGS = frozenset("aside button dialog fieldset footer form head menu nav title".split())
 #: Never asides by name, whatever their classes tell of the page's layout or the article's topic.
 NEVER_ASIDE = frozenset("html body main article".split())
@@ -48,11 +56,7 @@ CLOSES_P = BLOCKS - {"html", "head", "body", "title", "tr", "td", "th", "tbody",
 SCOPE = frozenset("html body div article section main td th table ul ol dl blockquote aside nav form footer header".split())
 
 
-class Element:
-    __slots__ = ("tag", "path", "aside", "score", "parent", "taken", "number")
-
-    def __init__(self, tag: str, path: str, aside: bool, parent: "Element | None", taken: bool, number: int):
-        self.tag, self.path, self.aside, self.parent, self.taken, self.number, self.score = tag, path, aside, parent, taken, number, 0.0
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 
 
 def step_of(tag: str, names: str) -> str:
@@ -61,6 +65,20 @@ def step_of(tag: str, names: str) -> str:
     return ".".join([tag, *parts])
 
 
+def deeper(key: int, step: str) -> int:
+    """The hash of a path that is longer by a step."""
+    raw = step.encode("utf-8", "surrogatepass")
+    return (crc32(raw, key >> 32) << 32 | crc32(raw, key & 0xFFFFFFFF ^ 0x9E3779B9)) & (1 << 64) - 1
+
+
+def path_of(readable: str) -> str:
+    """The path as voted on, from one written out: /html/body/div.post."""
+    key, tag = 0, ""
+    for step in filter(None, readable.split("/")):
+        key, tag = deeper(key, step), step.split(".")[0]
+    return f"{tag}@{key:016x}"
+
+
 def is_aside(tag: str, names: str, within_article: bool) -> bool | None:
     """By the tag or a whole name; None if a name just begins or ends with one, so that it depends
     on the element's share of the page's prose."""
@@ -79,135 +97,226 @@ def is_aside(tag: str, names: str, within_article: bool) -> bool | None:
     return False
 
 
-def minor_elements(html: str) -> set[int]:
-    """The numbers of the elements that hold a small share of the page's prose, or none."""
-    weights: dict[int, float] = {}
-    made = read(html, weights=weights)[2]
-    return {i for i in range(made) if weights.get(i, 0.0) <= MINOR * weights.get(-1, 0.0)}
+@dataclass
+class Page:
+    """A page's elements in the order of their opening tags, number 0 the page itself, and its blocks of
+    text: (innermost element, [(element, text)], length of the text in links)."""
+
+    tag: list[str] = field(default_factory=lambda: [""])
+    parent: list[int] = field(default_factory=lambda: [0])
+    key: list[int] = field(default_factory=lambda: [0])
+    aside: list[bool | None] = field(default_factory=lambda: [False])
+    blocks: list[tuple[int, list[tuple[int, str]], int]] = field(default_factory=list)
+    texts: list[tuple[int, str, float]] = field(default_factory=list)
+
+    def path(self, i: int) -> str:
+        return f"{self.tag[i]}@{self.key[i]:016x}"
+
+    def settle(self) -> None:
+        """Decides the elements that are asides if they hold little, then joins the texts of what isn't one:
+        (innermost element, text, prose in it)."""
+        held = [0.0] * len(self.tag)
+        if None in self.aside:
+            for owner, parts, linked in self.blocks:
+                held[owner] += max(0.0, sum(len(t) for _, t in parts) - 2.0 * linked)
+            for i in range(len(held) - 1, 0, -1):
+                held[self.parent[i]] += held[i]
+        for i in range(1, len(self.tag)):
+            if self.aside[self.parent[i]]:
+                self.aside[i] = True
+            elif self.aside[i] is None:
+                self.aside[i] = held[i] <= MINOR * held[0]
+        for owner, parts, linked in self.blocks:
+            if not self.aside[owner]:
+                text = " ".join(unescape("".join(t for i, t in parts if not self.aside[i])).split())
+                if text:
+                    self.texts.append((owner, text, max(0.0, len(text) - 2.0 * linked)))
+
+    def containers(self) -> dict[int, float]:
+        """Scores: a block's prose counts for its container, half for the one around that, and so on."""
+        above = [0] * len(self.tag)  # the nearest container around each element, itself included
+        for i in range(1, len(self.tag)):
+            above[i] = i if self.tag[i] in CONTAINERS and not self.aside[i] else above[self.parent[i]]
+        scores: dict[int, float] = {}
+        for owner, _, gain in self.texts:
+            i = above[owner]
+            while gain >= 1:
+                scores[i] = scores.get(i, 0.0) + gain
+                gain *= 0.5
+                if not i:
+                    break
+                i = above[self.parent[i]]
+        return {i: x * PRIOR.get(self.tag[i], 1.0) for i, x in scores.items()}
+
+    def ballots(self) -> dict[str, float]:
+        """The scores summed by path."""
+        found: dict[str, float] = {}
+        for i, x in self.containers().items():
+            found[self.path(i)] = found.get(self.path(i), 0.0) + x
+        return found
+
+    def at(self, path: str) -> tuple[list[str], float]:
+        """The texts of all elements at the path, and of articles beside them; the prose in them."""
+        taken = [False] * len(self.tag)
+        within = set()
+        for i in range(len(self.tag)):
+            if (not i or self.tag[i] in CONTAINERS) and not self.aside[i] and self.path(i) == path:
+                taken[i] = True
+                if self.tag[i] == "article":
+                    within.add(self.parent[i])
+        for i in range(1, len(self.tag)):
+            taken[i] = not self.aside[i] and (taken[i] or taken[self.parent[i]] or self.tag[i] == "article" and self.parent[i] in within)
+        kept = [(text, prose) for owner, text, prose in self.texts if taken[owner]]
+        return [text for text, _ in kept], sum(prose for _, prose in kept)
+
+
+def tag_end(html: str, at: int, last: dict[str, int]) -> int:
+    """The place of the > that ends the tag, or -1. Quotes that nothing closes are plain characters;
+    last: where each of them occurs last."""
+    while True:
+        m = STOP.search(html, at)
+        if m is None:
+            return -1
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        if last[m[0]] >= at:
+            at = html.index(m[0], at) + 1
 
 
-def read(html: str, path: str | None = None, number: int | None = None, minor: set[int] | None = None, weights: dict[int, float] | None = None) -> tuple[list[Element], list[str], int]:
-    """All containers with their scores, the blocks of text inside the elements of that path (or the
-    one element of that number), and the number of elements. With weights, just the prose in each
-    element is added up there, under -1 that of the page."""
-    root = Element("", "", False, None, False, -1)
-    stack = [root]
-    containers: list[Element] = []
-    blocks: list[str] = []
-    buffer: list[str] = []
+def parse(html: str) -> Page:
+    page = Page()
+    stack, within = [0], [False]  # open elements; whether each lies in an article or main
+    open_at: dict[str, list[int]] = {}  # places in the stack by tag
+    scopes: list[int] = []
+    parts: list[tuple[int, str]] = []
     links = 0
+    last = {q: html.rfind(q) for q in "\"'"}
+    quoted = True  # until a tag has no end outside of quotes
 
     def flush() -> None:
+        nonlocal links, parts
+        if parts:
+            page.blocks.append((stack[-1], parts, links))
+            parts, links = [], 0
+
+    def text(raw: str) -> None:
         nonlocal links
-        if not buffer:
-            return
-        raw = "".join(buffer)
-        buffer.clear()
-        linked, links = links, 0
-        top = stack[-1]
-        if top.aside:
-            return
-        text = " ".join(unescape(raw).split())
-        if not text:
-            return
-        if weights is not None:
-            e = top
-            while e is not None:
-                weights[e.number] = weights.get(e.number, 0.0) + max(0.0, len(text) - 2.0 * linked)
-                e = e.parent
-            return
-        if top.taken:
-            blocks.append(text)
-        if path is None and number is None:
-            gain, e = max(0.0, len(text) - 2.0 * linked), top
-            while e is not None and gain >= 1:
-                if e.tag in CONTAINERS:
-                    e.score += gain
-                    gain *= 0.5
-                e = e.parent
-
-    at, made = 0, 0
-    while True:
-        m = TAG.search(html, at)
-        text = html[at : m.start() if m else len(html)]
-        if text and not stack[-1].aside:
-            buffer.append(text)
-            if any(e.tag == "a" for e in stack[-3:]):
-                links += len(text)
-        if not m:
+        if raw and page.aside[stack[-1]] is not True:
+            parts.append((stack[-1], raw))
+            if any(page.tag[i] == "a" for i in stack[-3:]):
+                links += len(raw)
+
+    def pop_to(depth: int) -> None:
+        while len(stack) > depth:
+            tag = page.tag[stack.pop()]
+            within.pop()
+            open_at[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
+
+    def innermost(tags, ignored=()) -> int:
+        """The place of the innermost open element of these tags that no scope closes off, or 0."""
+        at = max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+        scope = next((s for s in reversed(scopes) if page.tag[stack[s]] not in ignored), 0)
+        return at if at >= scope else 0
+
+    at, size = 0, len(html)
+    while at < size:
+        begin = html.find("<", at)
+        if begin < 0:
             break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        text(html[at:begin])
+        at = begin
+        if html.startswith("<!--", at) or html.startswith("<![CDATA[", at):
+            mark = "-->" if html[at + 2] == "-" else "]]>"
+            end = html.find(mark, at + 4)
+            at = size if end < 0 else end + len(mark)
             continue
-        if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag or (tag not in BLOCKS and stack[i].tag in SCOPE)), 0)
-            if depth and stack[depth].tag == tag:
+        if html.startswith(("<!", "<?"), at):
+            end = html.find(">", at)
+            if end < 0:
+                break
+            at = end + 1
+            continue
+        closing = html.startswith("/", at + 1)
+        named = NAME.match(html, at + 1 + closing)
+        if not named:
+            text("<")
+            at += 1
+            continue
+        end = tag_end(html, named.end(), last) if quoted else -1
+        if end < 0:
+            quoted = False
+            end = html.find(">", named.end())
+            if end < 0:
+                break
+        inside, at, tag = html[named.end() : end], end + 1, named[0].lower()
+        if closing:
+            depth = (open_at.get(tag) or [0])[-1] if tag in BLOCKS else innermost((tag,))
+            if depth:
                 if tag in BLOCKS:
                     flush()
-                del stack[depth:]
+                pop_to(depth)
             continue
         if tag == "br":
-            buffer.append("\n")
+            text("\n")
             continue
         if tag in BLOCKS:
             flush()
-            ends = ENDS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and not (tag in ("tr", "td", "th") and stack[i].tag in ("td", "th")):
-                    break
+            ends = ENDS.get(tag, frozenset()) | ({"p"} if tag in CLOSES_P else frozenset())
+            depth = innermost(ends, ("td", "th") if tag in ("tr", "td", "th") else ()) if ends else 0
+            if depth:
+                pop_to(depth)
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            close = RAW_END[tag].search(html, at)
+            at = close.end() if close else size
             continue
-        if m[3].rstrip().endswith("/") and tag not in BLOCKS:
+        if inside.rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        names = " ".join(a or b or c for a, b, c in NAMED.findall(m[3])) if m[3] else ""
+        names = " ".join(a or b or c for a, b, c in NAMED.findall(inside)) if inside else ""
         up = stack[-1]
-        here = f"{up.path}/{step_of(tag, names)}" if tag in BLOCKS else up.path
-        aside = up.aside or is_aside(tag, names, "/article" in up.path or "/main" in up.path)
-        if aside is None:
-            if weights is None and minor is None:
-                return read(html, path, number, minor_elements(html))
-            aside = weights is None and made in minor
-        taken = up.taken or (tag in CONTAINERS and not aside and (here == path or made == number))
-        e = Element(tag, here, aside, up, taken, made)
-        stack.append(e)
-        made += 1
-        if tag in CONTAINERS and not aside:
-            containers.append(e)
+        aside = True if page.aside[up] else is_aside(tag, names, within[-1])
+        page.tag.append(tag)
+        page.parent.append(up)
+        page.key.append(deeper(page.key[up], step_of(tag, names)) if tag in BLOCKS else page.key[up])
+        page.aside.append(aside)
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in SCOPE:
+            scopes.append(len(stack))
+        stack.append(len(page.tag) - 1)
+        within.append(within[-1] or tag in ("article", "main"))
+    text(html[at:])
     flush()
-    return containers, blocks, made
+    page.settle()
+    return page
 
 
-def ranked(containers: list[Element]) -> list[Element]:
-    prior = {"article": 1.5, "main": 1.25}
-    return sorted((e for e in containers if e.score > 0), key=lambda e: (-e.score * prior.get(e.tag, 1.0), e.number))
+def best(ballots: dict[str, float]) -> str | None:
+    return min(ballots, key=lambda p: (-ballots[p], p)) if ballots else None
 
 
-def votes_of(html: str, most: int = 3) -> list[tuple[str, float]]:
-    """The page's best paths with their shares of its score; a page has one vote in all."""
-    prior = {"article": 1.5, "main": 1.25}
-    best: dict[str, float] = {}
-    for e in ranked(read(html)[0]):
-        best[e.path] = best.get(e.path, 0.0) + e.score * prior.get(e.tag, 1.0)
-    top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:most]
-    total = sum(s for _, s in top)
-    return [(p, s / total) for p, s in top]
+def votes_of(html: str) -> list[tuple[str, float]]:
+    """The page's paths with their shares of its score, best first; a page has one vote in all."""
+    found = parse(html).ballots()
+    total = sum(found.values())
+    return [(p, x / total) for p, x in sorted(found.items(), key=lambda x: (-x[1], x[0]))]
 
 
 def text_at(html: str, path: str | None) -> str:
-    if path is not None:
-        blocks = read(html, path)[1]
-        if blocks:
-            return "\n".join(blocks)
-    own = ranked(read(html)[0])
-    return "\n".join(read(html, None, own[0].number)[1]) if own else ""
+    """The text at the path, or, if that holds nothing or but a minor share, at the page's own best."""
+    page = parse(html)
+    there, prose = page.at(path) if path is not None else ([], 0.0)
+    own = best(page.ballots())
+    if own is None:  # nothing but links and lone characters
+        return "\n".join(there) or "\n".join(text for _, text, _ in page.texts)
+    if own != path:
+        mine, more = page.at(own)
+        if not there or prose <= MINOR * more:
+            there = mine
+    return "\n".join(there)
 
 
 def host_of(url):
@@ -231,11 +340,12 @@ def winning_paths(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
 def extract(pages: DataFrame, html: str = "html", url: str = "url", name: str = "text") -> DataFrame:
     """pages plus the main text. The winners, one row a host, are written first, so that the join
     is planned by their real size: broadcast while it is small, by shuffle beyond that."""
-    winners = materialize(winning_paths(pages, html, url).select(F.col("host").alias("__host"), F.col("path").alias("__path")), "paths")
+    winners = materialize(winning_paths(pages, html, url).select("host", "path"), "paths")
 
     @F.arrow_udf("string")
     def extracted(column: pa.Array, paths: pa.Array) -> pa.Array:
         return pa.array([text_at(x or "", p) for x, p in zip(column.to_pylist(), paths.to_pylist())], pa.string())
 
-    joined = pages.withColumn("__host", host_of(F.col(url))).join(winners, "__host", "left")
-    return joined.select(*others(pages, name), extracted(F.col(html), F.col("__path")).alias(name))
+    rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"), F.struct("*").alias("row"))
+    joined = rows.join(winners, "host", "left")
+    return joined.select(*others(pages, name, prefix="row."), extracted(F.col("html"), F.col("path")).alias(name))
