@@ -154,7 +154,7 @@ def fill_template(template: Column, values: Column) -> Column:
 
 def fenced_code(text: Column, language: str = "python") -> Column:
     found = F.regexp_extract(text, rf"(?s)```{language}\s*\n(.*?)```", 1)
-    return F.trim(F.when(found != "", found).otherwise(text))
+    return F.regexp_replace(F.when(found != "", found).otherwise(text), r"^\s+|\s+$", "")
 
 
 def is_state_changing(tool: Column) -> Column:

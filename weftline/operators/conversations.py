@@ -28,8 +28,9 @@ def last_turns(turns: DataFrame, last: int, key: str = "conv_id") -> DataFrame:
 
 
 def swapped(messages: Column) -> Column:
-    """The other side's view: user and assistant change places, system and tool rows go."""
-    seen = F.filter(messages, lambda m: m["role"].isin("user", "assistant"))
+    """The other side's view: user and assistant change places; system and tool rows go, and those without
+    a text, which just call tools."""
+    seen = F.filter(messages, lambda m: m["role"].isin("user", "assistant") & (F.trim(F.coalesce(m["text"], F.lit(""))) != ""))
     return F.transform(seen, lambda m: m.withField("role", F.when(m["role"] == "user", "assistant").otherwise("user")))
 
 

@@ -71,3 +71,14 @@ def parameter_names(trajectories: DataFrame, tools: DataFrame, key: str = "id")
     wanted = trajectories.select(key, F.explode("trajectory").alias("tool")).distinct()
     found = wanted.join(tools.select(F.col("name").alias("tool"), F.array_sort(F.map_keys("parameters")).alias("params")), "tool", "left")
     return found.select(key, "tool", F.coalesce("params", F.array().cast("array<string>")).alias("params"))
+
+
+def first_superset(small: DataFrame, large: DataFrame, key: str, other: str, member: str) -> DataFrame:
+    """key, other: the first other (by its value) that has all of key's members; the first of all for a key
+    without members (its member is null); null where none has them."""
+    keys, first = small.select(key).distinct(), large.agg(F.min(other).alias("first"))
+    asked = small.filter(F.col(member).isNotNull()).distinct()
+    met = subset_join(asked, large, key, other, member).groupBy(key).agg(F.min(other).alias(other))
+    empty = keys.join(asked, key, "left_anti").withColumn("empty", F.lit(True))
+    found = keys.join(met, key, "left").join(empty, key, "left").join(F.broadcast(first), F.lit(True), "left")
+    return found.select(key, F.when(F.col("empty"), F.col("first")).otherwise(F.col(other)).alias(other))

@@ -120,7 +120,7 @@ def drawn_many(values: Column, least: int, most: int, *ident: str, seed: int = 0
 def named_table(tables: DataFrame, name: str, server: str | None = None) -> DataFrame:
     """Records (name, server, record) of a table asked for by name in any case or spelling of spaces and
     underscores; the server's own table comes before the global one (server null); none gives no rows."""
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[\\s_]+", "")
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[\s_]+", "")
     found = tables.filter(plain(F.col("name")) == plain(F.lit(name)))
     if server is None:
         return found

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as X
-from weftline.functions.hashing import record_hash, trajectory_hash
+from weftline.functions.hashing import record_hash, shard_prefix, trajectory_hash
 from weftline.functions.values import leaf_values, mismatched_keys, normalised, values_match
 from weftline.operators import conversations as C
 from weftline.operators import graph as G
@@ -25,6 +25,7 @@ from weftline.operators import tools
 from weftline.operators import trajectories as TR
 from weftline.plans.sampling import Plan, Requirement, run_plan
 from weftline.session import table
+from weftline.sources import readers
 from weftline.sources.sinks import first_wins, upserted
 from weftline.streaming import sessions
 
@@ -148,7 +149,7 @@ def sample_join(spark, d):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def pending_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    return readers.pending(table(spark, d, "customer"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -165,6 +166,14 @@ def subset_theta_join(spark, d):
     return M.subset_join(needs, calls(spark, d).select("user_id", "event_type").distinct(), "need", "user_id", "event_type")
 
 
+@query(
+    "WITH m AS (SELECT DISTINCT user_id, event_type FROM events), n AS (SELECT user_id, count(DISTINCT event_type) FILTER (event_type IN ('view', 'purchase')) AS k FROM m GROUP BY 1) SELECT 'buy' AS need, (SELECT min(user_id) FROM n WHERE k = 2)::VARCHAR AS combo UNION ALL SELECT 'none', (SELECT min(user_id) FROM n)::VARCHAR UNION ALL SELECT 'never', NULL"
+)
+def known_info_match(spark, d):
+    needs = spark.createDataFrame([("buy", "view"), ("buy", "purchase"), ("none", None), ("never", "teleport")], "need string, event_type string")
+    return M.first_superset(needs, calls(spark, d).select("user_id", "event_type").distinct(), "need", "user_id", "event_type").select("need", F.col("user_id").cast("string").alias("combo"))
+
+
 def gold_and_actual(spark, d):
     """Even lines are golden calls, odd ones actual: id the order, name the return flag."""
     li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("name"), F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("quantity"))
@@ -260,11 +269,11 @@ def db_fusion_union(spark, d):
     return one.unionByName(two).join(F.broadcast(nation), "n_nationkey").groupBy("kind", F.col("n_name").alias("name")).agg(F.count("*").alias("n"))
 
 
-@query("WITH t AS (SELECT event_type, min(strftime(ts, '%Y-%m-%d')) AS first_day, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT event_type, first_day, users > 1 AS shared FROM t")
+@query("WITH t AS (SELECT event_type, min(strftime(ts, '%Y-%m-%d')) AS first_day, arg_min(user_id, (strftime(ts, '%Y-%m-%d'), user_id)) AS home, count(DISTINCT user_id) AS users FROM events GROUP BY 1) SELECT event_type, first_day, home, users > 1 AS shared FROM t")
 def tool_routes(spark, d):
     e = table(spark, d, "events").withColumn("server", F.col("user_id")).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     first = e.groupBy("event_type").agg(F.min("day").alias("first_day"))
-    return tools.routes(e, "server", "event_type", "day").join(first, "event_type").select("event_type", "first_day", "shared")
+    return tools.routes(e, "server", "event_type", "day").join(first, "event_type").select("event_type", "first_day", "home", "shared")
 
 
 # Set operations and states
@@ -376,7 +385,7 @@ def role_counts(spark, d):
     return C.role_counts(table(spark, d, "conversations"))
 
 
-@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'assistant' ELSE 'user' END, ',' ORDER BY turn, role, text) AS roles FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1")
+@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'assistant' ELSE 'user' END, ',' ORDER BY turn, role, text) AS roles FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '' GROUP BY 1")
 def role_swap(spark, d):
     rows = C.as_array(table(spark, d, "conversations")).select("conv_id", C.swapped(F.col("messages")).alias("m")).filter(F.size("m") > 0)
     return rows.select("conv_id", F.array_join(F.transform("m", lambda m: m["role"]), ",").alias("roles"))
@@ -463,7 +472,7 @@ def camel_to_snake(spark, d):
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, substr(md5(props), 1, 4) AS shard FROM events")
 def json_args_normalise(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.substring(F.md5("props"), 1, 4).alias("shard"))
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), shard_prefix(F.col("props")).alias("shard"))
 
 
 @query("SELECT c_custkey, n_regionkey % 2 = c_custkey % 2 AS equivalent FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -517,24 +526,24 @@ def session_gaps(spark, d):
     return sessions.gaps(table(spark, d, "events"), 3600).groupBy("user_id").agg((F.max("session") + 1).alias("n_sessions"))
 
 
-@query()
+@query("SELECT event_id, true AS matches, (json_extract_string(props, '$.k') <> '1')::INT AS n_mismatched FROM events")
 def values_match_udf(spark, d):
     e = table(spark, d, "events").withColumn("other", F.regexp_replace("props", '"k": ([0-9]+)', '"K": 1, "k": $1.00001'))
     return e.select("event_id", values_match()(F.col("props"), F.col("other")).alias("matches"), F.size(mismatched_keys()(F.col("props"), F.lit('{"k": 1}'))).alias("n_mismatched"))
 
 
-@query()
+@query("SELECT event_id, json_extract_string(props, '$.k') AS leaves, props AS normalised FROM events")
 def leaf_values_udf(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(leaf_values(F.col("props")), ",").alias("leaves"), normalised(F.col("props")).alias("normalised"))
 
 
-@query()
+@query("SELECT o_orderkey, md5('{\"priority\":\"' || o_orderpriority || '\",\"status\":\"' || o_orderstatus || '\"}') AS digest FROM orders")
 def record_hashes(spark, d):
     fields = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("priority"), F.col("o_orderpriority"))
     return table(spark, d, "orders").select("o_orderkey", record_hash(fields).alias("digest"))
 
 
-@query()
+@query("SELECT item_id, sha256('Summarise: ' || text) AS prompt_hash, '{\"answer\": \"' || substr(sha256('Summarise: ' || text), 1, 16) || '\"}' AS answer FROM benchmark")
 def model_answers(spark, d):
     rows = table(spark, d, "benchmark").withColumn("prompt", F.concat(F.lit("Summarise: "), "text"))
     return models.answered(rows, "prompt").select("item_id", "prompt_hash", "answer")

@@ -42,7 +42,7 @@ def queries(spark: SparkSession, path: str) -> DataFrame:
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """name (of the file, without extension), text."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1).alias("name"), F.col("value").alias("text"))
 
 
@@ -65,7 +65,7 @@ def pending(tasks: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 def blueprints(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A row for each blueprint of files that hold an array of them, or an object with the array under `blueprints`."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("text"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.trim("value").alias("text"))
     inner = F.when(F.startswith("text", F.lit("[")), F.col("text")).otherwise(F.get_json_object("text", "$.blueprints"))
     return whole.select("file", F.explode(F.from_json(inner, f"array<struct<{schema}>>")).alias("b")).select("file", "b.*")
 
