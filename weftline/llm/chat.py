@@ -11,9 +11,10 @@ of its length. A template whose attribute `stateless` is true declares that a tu
 other turns: its conversations are streamed, and those of more than BLOCK turns go on in blocks,
 each rendered after its first and its last preceding turn, which gives the same.
 
-Defined results: null text and null role count as empty; turns with equal numbers (null first)
+Defined results: null text and null role count as empty; very long texts are rendered whole; turns with equal numbers (null first)
 are ordered by role, then text; repeated rows are turns of their own; a null conv_id is one
-conversation; no rows give no rows; other columns are dropped.
+conversation; no rows give no rows; other
+columns are dropped, whatever their names.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ FRAME_BYTES 8-bit PCM samples travel in SimpleBlocks, several to a block by fixe
 lacing. The reader is general: element ids and sizes of any width, unknown sizes for Segment and
 Cluster, SimpleBlock and BlockGroup, no / Xiph / EBML / fixed lacing.
 
-Defined results: null text is stored as empty text; an empty payload is still one 64-byte frame;
-a null or malformed file has no packets, and features() names it "malformed".
+Defined results: null text is stored as empty text; an empty payload is still one 64-byte frame; very long
+texts are one file of many clusters; equal texts give equal files, and repeated rows a file each; a null or
+malformed file has no packets, and features() names it "malformed"; an empty table gives an empty table.
+store_texts() drops other columns; features() passes them through, those named as its results are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.textops import others
+
 #: Fixed values of the format.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
@@ -283,5 +287,6 @@ def features(files: DataFrame, key: str = "doc_id", media: str = "media") -> Dat
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), f"codec={codecs.get(packets[0].track)};packets={len(packets)};clusters={clusters};cues={good};ms={len(payload) * 1000 // SAMPLE_RATE};{tail}"))
         return pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
-    got = files.withColumn("__read", read_back(F.col(media)))
-    return got.select(*[c for c in files.columns if c != media], "__read.payload_bytes", "__read.payload_sha256", "__read.tail_crc32", F.length(media).cast("long").alias("media_bytes"), F.sha2(F.col(media), 256).alias("media_sha256"), "__read.feature")
+    read = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    got = files.select(read_back(F.col(media)).alias("found"), F.length(media).cast("long").alias("media_bytes"), F.sha2(F.col(media), 256).alias("media_sha256"), F.struct("*").alias("row"))
+    return got.select(*others(files, media, *read, prefix="row."), *[x if x.startswith("media") else f"found.{x}" for x in read])
