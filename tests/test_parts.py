@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import domains, hashing, text, values
-from weftline.operators import conversations, graph, models, selection, state, tools, trajectories
+from weftline.operators import conversations, evaluation, graph, models, progress, selection, state, tools, trajectories
 from weftline.sources import readers, sinks
 from weftline.streaming import sessions
 
@@ -183,3 +183,46 @@ def test_the_stream_ends_where_the_batch_does(spark, small, tmp_path):
 def test_paths_of_a_small_graph(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "source string, target string")
     assert sorted(r.path for r in graph.simple_paths(edges).collect()) == [["a", "b", "c"], ["a", "c"]]
+
+
+def test_routes_and_bindings(spark):
+    listed = spark.createDataFrame([("Bank", "find"), ("Shop", "find"), ("Shop", "buy")], "server string, name string")
+    calls = spark.createDataFrame([("Shop.find",), ("find",), ("Bank.gone",), ("none",)], "name string")
+    assert {r.name: r.server for r in tools.routed_calls(calls, listed).collect()} == {"Shop.find": "Shop", "find": "Bank", "Bank.gone": "Bank", "none": None}
+    wanted = spark.createDataFrame([(1, k) for k in ("S.t.a", "S.t.b", "S.t.owner_user_id", "S.t.confirm", "S.t.z")], "id int, key string")
+    samples = spark.createDataFrame([(1, "S.t.a", "exact")], "id int, key string, value string")
+    fields = spark.createDataFrame([(1, "a", "no"), (1, "b", "field"), (1, "user_id", "u1")], "id int, field string, value string")
+    found = {r.key: (r.value, r.source) for r in tools.bound_values(wanted, samples, fields).collect()}
+    assert found == {"S.t.a": ("exact", "sample"), "S.t.b": ("field", "field"), "S.t.owner_user_id": ("u1", "alike"), "S.t.confirm": ("true", "fixed"), "S.t.z": (None, None)}
+    rows = spark.createDataFrame([("A", ["x", "y"], None), ("B", None, "z")], "server string, tools array<string>, tool string")
+    assert sorted(tools.all_tools(rows).collect()) == [("A", "x"), ("A", "y"), ("B", "z")]
+    params = spark.createDataFrame([("A", "f", "p"), ("A", "f", "q")], "server string, function string, param string")
+    classes = spark.createDataFrame([("A", "f", "p", True, "note")], "server string, function string, param string, ignore boolean, category string")
+    assert {r.param: (r.ignore_in_eval, r.param_category) for r in tools.with_eval_markers(params, classes).collect()} == {"p": (True, "note"), "q": (False, None)}
+
+
+def test_topics_accumulate_to_the_target(spark):
+    old = spark.createDataFrame([("Bank",), ("Shop",)], "topic string")
+    new = spark.createDataFrame([(1, "bank"), (2, "Desk"), (3, "Farm"), (4, "desk "), (5, "Mill")], "pos int, topic string")
+    assert {r.topic for r in selection.accumulated(old, new, "topic", ["pos"], 4).collect()} == {"Bank", "Shop", "Desk", "Farm"}
+
+
+def test_small_reports(spark):
+    rows = spark.createDataFrame([("A", "h"), ("A", "h"), ("B", "g")], "server string, trajectory_hash string")
+    assert sorted(progress.by_server(rows).collect()) == [("A", 2, 1), ("B", 1, 1)]
+    lists = spark.createDataFrame([(1, ["a", "b"]), (2, None)], "id int, items array<string>")
+    fit, over = progress.within_limit(lists, "items", 1)
+    assert [r.id for r in fit.collect()] == [2] and [r.id for r in over.collect()] == [1]
+    judged = evaluation.judged_scores(spark.createDataFrame([(1, 4, True), (2, 2, None)], "id int, rating int, rude boolean"), "rating", ["rude"])
+    assert sorted((r.id, r.evaluator, r.score, r.passed, r.n_issues) for r in evaluation.unified(judged, judged.limit(0)).collect()) == [(1, "subjective", 0.8, True, 1), (2, "subjective", 0.4, False, 0)]
+    assert evaluation.mean_scores(judged, ["rating"]).first() == (2, 3.0)
+    one = spark.range(1).select(
+        text.with_policy_markers(F.lit("rules"), F.array(F.struct(F.lit("buy").alias("tool"), F.lit("pay first").alias("content")))).alias("p"),
+        selection.entity_set(F.lit("A"), F.array(F.lit("B"), F.lit("A"))).alias("e"),
+        tools.offered_tools(F.lit("no_tool"), F.array(F.lit("a")), F.array(F.lit("b"))).alias("t"),
+        progress.duration_seconds(F.to_timestamp(F.lit("2024-01-01 00:00:00")), F.to_timestamp(F.lit("2024-01-01 00:01:05"))).alias("s"),
+    )
+    row = one.first()
+    assert (row.e, row.t, row.s) == (["A", "B"], [], 65)
+    back = one.select(text.policy_sections(F.col("p")).alias("s"), text.global_rules(F.col("p")).alias("r"), domains.tool_names(F.col("p")).alias("n")).first()
+    assert [(x.tool, x.content.strip()) for x in back.s] == [("buy", "pay first")] and back.r.strip() == "rules" and back.n == ["buy"]

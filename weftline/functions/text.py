@@ -115,17 +115,22 @@ def domain_set(names: Column) -> Column:
     return F.array_sort(F.array_distinct(names))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def policy_sections(policy: Column) -> Column:
     """(tool, content) of each marked section, in order."""
     found = r"(?s)<!-- TOOL: (\S+) -->(.*?)<!-- TOOL_END: \1 -->"
     return F.transform(
         F.arrays_zip(F.regexp_extract_all(policy, F.lit(found), F.lit(1)).alias("tool"), F.regexp_extract_all(policy, F.lit(found), F.lit(2)).alias("content")),
-        lambda s: F.struct(s["tool"].alias("tool"), F.trim(s["content"]).alias("content")),
+        lambda s: F.struct(s["tool"].alias("tool"), stripped(s["content"]).alias("content")),
     )
 
 
 def global_rules(policy: Column) -> Column:
-    return F.trim(F.regexp_extract(policy, r"(?s)<!-- POLICY_START -->(.*?)<!-- GLOBAL_RULES_END -->", 1))
+    return stripped(F.regexp_extract(policy, r"(?s)<!-- POLICY_START -->(.*?)<!-- GLOBAL_RULES_END -->", 1))
 
 
 def policy_for(policy: Column, trajectory: Column) -> Column:
@@ -154,7 +159,7 @@ def fill_template(template: Column, values: Column) -> Column:
 
 def fenced_code(text: Column, language: str = "python") -> Column:
     found = F.regexp_extract(text, rf"(?s)```{language}\s*\n(.*?)```", 1)
-    return F.regexp_replace(F.when(found != "", found).otherwise(text), r"^\s+|\s+$", "")
+    return stripped(F.when(found != "", found).otherwise(text))
 
 
 def is_state_changing(tool: Column) -> Column:
@@ -208,3 +213,9 @@ def test_counts(summary: Column) -> Column:
     """(passed, failed, errors) of a test run's last line."""
     number = lambda word: F.coalesce(F.nullif(F.regexp_extract(summary, rf"(\d+) {word}", 1), F.lit("")).cast("long"), F.lit(0))
     return F.struct(number("passed").alias("passed"), number("failed").alias("failed"), number("error").alias("errors"))
+
+
+def with_policy_markers(rules: Column, sections: Column) -> Column:
+    """Policy text with markers from its global rules and an array of (tool, content)."""
+    body = F.transform(sections, lambda s: F.concat(F.lit("<!-- TOOL: "), s["tool"], F.lit(" -->\n"), s["content"], F.lit("\n<!-- TOOL_END: "), s["tool"], F.lit(" -->")))
+    return F.concat(F.lit("<!-- POLICY_START -->\n"), rules, F.lit("\n<!-- GLOBAL_RULES_END -->\n"), F.array_join(body, "\n"), F.lit("\n<!-- POLICY_END -->"))

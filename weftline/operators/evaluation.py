@@ -108,3 +108,14 @@ def filtering_stats(combos: DataFrame, group: list[str] = ()) -> DataFrame:
         F.count_distinct(F.when(F.col("valid"), F.col("trajectory_hash"))).alias("trajectories_validated"),
         rate.alias("pass_rate"),
     )
+
+
+def unified(subjective: DataFrame, simulated: DataFrame) -> DataFrame:
+    """id, evaluator, score, passed, n_issues of both judges (rows of judged_scores) in one table."""
+    side = lambda rows, name: rows.select("id", F.lit(name).alias("evaluator"), F.col("share").alias("score"), "passed", "n_issues")
+    return side(subjective, "subjective").unionByName(side(simulated, "user_simulation"))
+
+
+def mean_scores(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """n and the mean of each dimension over judged rows, null where none is."""
+    return rows.agg(F.count("*").alias("n"), *[F.avg(d).alias(d) for d in dims])

@@ -70,3 +70,18 @@ def unique_names(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
     taken = rows.select(F.col(name).alias("unique")).distinct().withColumn("taken", F.lit(True))
     fixed = F.when(F.col("taken") & (F.col("unique") != F.col(name)), F.regexp_replace("unique", "([0-9]+)$", "_$1")).otherwise(F.col("unique"))
     return numbered.join(taken, "unique", "left").withColumn("unique", fixed).drop("taken")
+
+
+def by_server(combos: DataFrame) -> DataFrame:
+    """server, n, trajectories: validated combos of each server."""
+    return combos.groupBy("server").agg(F.count("*").alias("n"), F.count_distinct("trajectory_hash").alias("trajectories"))
+
+
+def duration_seconds(start: Column, end: Column) -> Column:
+    return F.timestamp_diff("SECOND", start, end)
+
+
+def within_limit(rows: DataFrame, items: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose array holds at most `most`, the others); a null array holds none."""
+    fits = F.coalesce(F.size(items), F.lit(0)) <= most
+    return rows.filter(fits), rows.filter(~fits)

@@ -176,3 +176,20 @@ def merged_dependencies(explicit: Column, implicit: Column) -> Column:
 def missing_domains(expected: Column, domains: Column) -> Column:
     """Expected keys (Server.tool.param) that the map lacks; null values count as there."""
     return F.array_except(expected, F.map_keys(domains))
+
+
+def accumulated(existing: DataFrame, new: DataFrame, name: str, order: list[str], target: int) -> DataFrame:
+    """name of existing topics and of as many new ones, by order, as bring them to the target; spelling
+    differs in case alone. The new ones are numbered in one window over distinct names, which are few."""
+    low = F.lower(F.trim(name))
+    held = existing.select(low.alias("low")).distinct()
+    fresh = new.withColumn("low", low).filter(F.col("low") != "").groupBy("low").agg(F.min(F.struct(*order, name)).alias("first")).join(held, "low", "left_anti")
+    n = held.agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.orderBy(*[F.col(f"first.{o}") for o in order], "low"))
+    added = fresh.withColumn("place", place).join(F.broadcast(n), F.lit(True)).filter(F.col("place") + F.col("n") <= target)
+    return existing.select(name).distinct().unionByName(added.select(F.col(f"first.{name}").alias(name)))
+
+
+def entity_set(core: Column, peripheral: Column) -> Column:
+    """The core entity and the peripheral ones, in that order, once each."""
+    return F.array_distinct(F.concat(F.array_compact(F.array(core)), F.coalesce(peripheral, F.array().cast("array<string>"))))

@@ -50,3 +50,50 @@ def calls_of(messages: DataFrame, key: str = "id") -> DataFrame:
 
 def relation_tuples(blueprints: DataFrame) -> DataFrame:
     return blueprints.select("MCP_server_name", F.explode("relationships").alias("r")).select("MCP_server_name", "r.name", "r.attributes")
+
+
+def all_tools(rows: DataFrame, key: str = "server") -> DataFrame:
+    """key, tool: lists of tools and single ones (columns tools and tool) as rows."""
+    every = F.concat(F.coalesce("tools", F.array().cast("array<string>")), F.array_compact(F.array("tool")))
+    return rows.select(key, F.explode(every).alias("tool"))
+
+
+def with_eval_markers(functions: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row a parameter (server, function, param, ...) plus ignore_in_eval and param_category, where a
+    classification (server, function, param, ignore, category) has one."""
+    found = classes.select("server", "function", "param", F.col("ignore").alias("ignore_in_eval"), F.col("category").alias("param_category"))
+    return functions.join(found, ["server", "function", "param"], "left").withColumn("ignore_in_eval", F.coalesce("ignore_in_eval", F.lit(False)))
+
+
+def routed_calls(calls: DataFrame, tools: DataFrame) -> DataFrame:
+    """calls (name) plus server: the tool of the full name first, then of the short name, then any tool of the
+    server that the name begins with; null if none. Short names of several servers go to the first by name."""
+    full = tools.select(F.concat_ws(".", "server", "name").alias("full"), F.col("server").alias("by_full")).distinct()
+    short = tools.groupBy(F.col("name").alias("short")).agg(F.min("server").alias("by_short"))
+    servers = tools.select(F.col("server").alias("prefix"), F.col("server").alias("by_server")).distinct()
+    own = calls.withColumns({"full": F.col("name"), "short": F.element_at(F.split("name", r"\."), -1), "prefix": F.split("name", r"\.")[0]})
+    found = own.join(full, "full", "left").join(short, "short", "left").join(servers, "prefix", "left")
+    return found.select(*calls.columns, F.coalesce("by_full", "by_short", "by_server").alias("server"))
+
+
+def offered_tools(mode: Column, right: Column, wrong: Column) -> Column:
+    """The tools that a sample's mode lets a model see."""
+    none = F.array().cast("array<string>")
+    return F.when(mode == "positive", right).when(mode == "wrong_tool", wrong).otherwise(none)
+
+
+def bound_values(wanted: DataFrame, samples: DataFrame, fields: DataFrame) -> DataFrame:
+    """wanted (id, key `Server.tool.param`) plus value, source, confirmed: the sample of the exact key, or else the
+    entity field of the parameter's name, or else, for a name that ends in _id, a field whose name ends alike;
+    confirm is always true."""
+    param = F.element_at(F.split("key", r"\."), -1)
+    own = wanted.withColumn("param", param)
+    exact = samples.select("id", "key", F.col("value").alias("exact"))
+    named = fields.groupBy("id", F.col("field").alias("param")).agg(F.min("value").alias("named"))
+    tail = F.element_at(F.split(F.regexp_replace("param", "_id$", ""), "_"), -1)
+    alike = fields.filter(F.endswith("field", F.lit("_id"))).withColumn("param", F.col("field")).groupBy("id", tail.alias("tail")).agg(F.min("value").alias("alike"))
+    found = own.withColumn("tail", F.when(F.endswith("param", F.lit("_id")), tail)).join(exact, ["id", "key"], "left").join(named, ["id", "param"], "left").join(alike, ["id", "tail"], "left")
+    is_confirm = F.col("param") == "confirm"
+    value = F.coalesce("exact", "named", "alike", F.when(is_confirm, "true"))
+    source = F.when(F.col("exact").isNotNull(), "sample").when(F.col("named").isNotNull(), "field").when(F.col("alike").isNotNull(), "alike").when(is_confirm, "fixed")
+    return found.select("id", "key", value.alias("value"), source.alias("source"))

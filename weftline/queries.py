@@ -456,12 +456,12 @@ def placeholder_flags(spark, d):
     return table(spark, d, "part").select("p_partkey", X.is_placeholder(name).alias("placeholder"))
 
 
-@query("SELECT doc_id, 2::BIGINT AS n_sections, 'rules' AS rules, trim('rules' || chr(10) || chr(10) || lang || chr(10) || chr(10) || trim(coalesce(text, '') || '.')) AS chosen FROM documents")
+@query(r"SELECT doc_id, 2::BIGINT AS n_sections, 'rules' AS rules, 'rules' || chr(10) || chr(10) || lang || chr(10) || chr(10) || regexp_replace(coalesce(text, '') || '.', '^\s+', '') AS chosen FROM documents")
 def policy_sections(spark, d):
     text = F.concat(F.lit("<!-- POLICY_START -->rules<!-- GLOBAL_RULES_END --><!-- TOOL: Buy -->"), F.coalesce("text", F.lit("")), F.lit(".<!-- TOOL_END: Buy --><!-- TOOL: view -->"), "lang", F.lit("<!-- TOOL_END: view -->"))
     rows = table(spark, d, "documents").select("doc_id", text.alias("p"))
     chosen = X.policy_for(F.col("p"), F.array(F.lit("S.view"), F.lit("S.buy"), F.lit("S.none")))
-    return rows.select("doc_id", F.size(X.policy_sections(F.col("p"))).cast("long").alias("n_sections"), X.global_rules(F.col("p")).alias("rules"), F.trim(chosen).alias("chosen"))
+    return rows.select("doc_id", F.size(X.policy_sections(F.col("p"))).cast("long").alias("n_sections"), X.global_rules(F.col("p")).alias("rules"), chosen.alias("chosen"))
 
 
 @query("SELECT p_partkey, lower(regexp_replace(regexp_replace(n, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake, array_to_string(list_transform(regexp_extract_all(n, '[A-Z][a-z]*'), lambda w: w[1]), '') AS abbreviation FROM (SELECT p_partkey, 'Get' || replace(p_brand, '#', 'Item') AS n FROM part)")
