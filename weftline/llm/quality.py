@@ -1,25 +1,33 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every rule states which measures it needs and a condition that rejects a document. A bounded
-sample gives each rule's rejection share and its cost (its measures' unit costs times the mean
-size of a text), and the rules then run in order of rejection per cost: a document that an early
-rule rejects is never measured for the later ones. The order decides the cost, never the verdict.
-
-Defined results: null text counts as empty; an empty text has no words and fails the base rule;
-repeated rows and ties are judged row by row; an empty table gives an empty table; other columns
-pass through untouched, and measures are added under the names of MEASURES, in place of columns of
-those names; so are base_failed and kept.
+Every rule states which measures it needs and a condition that rejects a document. On a bounded sample
+each measure's cost is timed, one job that throws its result away for each, and every rule is judged for
+every row. The order follows greedily: next comes the rule with the most rejections among the rows
+that the rules before it leave, per second of measures that none before it has taken. A document that
+an early rule rejects is never measured for the later ones. The order decides the cost, never the verdict.
+
+`judge` reports the base measures of every row; the measures of the other rules are taken inside the
+cascade alone, after the base rules. `keep_good` takes all measures inside the cascade.
+
+Defined results: null text counts as empty; an empty text has no words and fails the base rule; very long
+texts are measured whole; repeated rows and ties are judged row by row; an empty table gives an empty
+table; other columns pass through untouched, whatever their names; measures are added under the names of
+BASE, in place of columns of those names; so are base_failed and kept.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.textops import others
+from weftline.session import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -68,15 +76,20 @@ def repeated_window_words(words: Column, k: int = 3) -> Column:
     )
 
 
-#: name: (cost in ns for a character of text, measure from text and words)
-MEASURES: dict[str, tuple[float, Callable[[Column, Column], Column]]] = {
-    "n_words": (0.5, lambda text, words: F.size(words).cast("long")),
-    "word_chars": (1.0, lambda text, words: F.length(F.array_join(words, "")).cast("long")),
-    "n_symbols": (6.0, lambda text, words: F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long")),
-    "n_lines": (3.0, lambda text, words: F.size(lines_of(text)).cast("long")),
-    "n_dup_lines": (4.0, lambda text, words: let(lines_of(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")),
-    "n_repeat_words": (60.0, lambda text, words: repeated_window_words(words)),
+#: name: measure from text and words
+MEASURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, words: F.size(words).cast("long"),
+    "word_chars": lambda text, words: F.length(F.array_join(words, "")).cast("long"),
+    "n_symbols": lambda text, words: F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
+    "n_dup_lines": lambda text, words: let(lines_of(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+    "n_repeat_words": lambda text, words: repeated_window_words(words),
+    "n_lines": lambda text, words: F.size(lines_of(text)).cast("long"),
+    "n_distinct": lambda text, words: F.size(F.array_distinct(words)).cast("long"),
+    "n_bullet_lines": lambda text, words: F.size(F.filter(lines_of(text), lambda x: x.rlike(r"^[\x20\t]*[-*\u2022\u00b7]"))).cast("long"),
+    "n_open_lines": lambda text, words: F.size(F.filter(lines_of(text), lambda x: x.rlike(r"(\.\.\.|\u2026)[\x20\t\r]*$"))).cast("long"),
 }
+#: Reported for every row.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -95,28 +108,60 @@ RULES: tuple[Rule, ...] = (
     Rule("dup_lines", ("n_lines", "n_dup_lines"), lambda m: 100 * m["n_dup_lines"] > 60 * m["n_lines"]),
     Rule("short_words", ("n_words", "word_chars"), lambda m: m["word_chars"] < 2 * m["n_words"]),
     Rule("long_words", ("n_words", "word_chars"), lambda m: m["word_chars"] > 15 * m["n_words"]),
+    Rule("few_distinct", ("n_words", "n_distinct"), lambda m: 100 * m["n_distinct"] < 5 * m["n_words"]),
+    Rule("bullet_lines", ("n_lines", "n_bullet_lines"), lambda m: 100 * m["n_bullet_lines"] > 90 * m["n_lines"]),
+    Rule("open_lines", ("n_lines", "n_open_lines"), lambda m: 100 * m["n_open_lines"] > 50 * m["n_lines"]),
 )
 
 
-def with_measures(docs: DataFrame, names: tuple[str, ...] = tuple(MEASURES), text: str = "text") -> DataFrame:
-    """docs plus the named measures. The words are split once for all of them."""
-    own = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumn("__text", own).withColumn("__words", words_of(F.col("__text")))
-    return split.select(*others(docs, *names), *[MEASURES[n][1](F.col("__text"), F.col("__words")).alias(n) for n in names])
+def split_once(docs: DataFrame, text: str) -> DataFrame:
+    """row, text and words of every document."""
+    own = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct("*").alias("row"))
+    return own.select("row", "text", words_of(F.col("text")).alias("words"))
+
+
+def measured(names=tuple(MEASURES)) -> dict[str, Column]:
+    """The named measures over the columns of split_once."""
+    return {n: MEASURES[n](F.col("text"), F.col("words")) for n in names}
+
+
+def timed(sample: DataFrame) -> dict[str, float]:
+    """Seconds that each measure takes over the sample, by a job that throws its result away, beyond those of
+    a job that takes none."""
+
+    def run(column: Column) -> float:
+        began = time.perf_counter()
+        sample.select(column).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    plain = min(run(F.size("words")), run(F.size("words")))
+    return {n: max(run(m) - plain, 1e-4) for n, m in measured().items()}
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7, text: str = "text") -> list[tuple[str, float, float]]:
-    """(rule, share rejected, ns a document), best rejection per cost first. The estimates come
-    from a sample of about `sample_rows` rows and steer only the order of evaluation."""
+    """(rule, share rejected among the rows left to it, seconds of measures that it adds), in the order of
+    evaluation. Rules that reject nothing more come last, the cheaper first."""
     total = docs.count()
     if not total:
         return [(r.name, 0.0, 0.0) for r in rules]
-    sample = with_measures(docs.select(text).sample(fraction=min(1.0, sample_rows / total), seed=seed), text=text)
-    m = {n: F.col(n) for n in MEASURES}
-    row = sample.agg(F.avg(F.length(F.coalesce(F.col(text), F.lit("")))).alias("chars"), *[F.avg(F.coalesce(r.rejects(m), F.lit(False)).cast("int")).alias(r.name) for r in rules]).first()
-    chars = row["chars"] or 0.0
-    rated = [(r.name, row[r.name] or 0.0, chars * sum(MEASURES[n][0] for n in r.needs) + 1.0) for r in rules]
-    return sorted(rated, key=lambda x: (-x[1] / x[2], x[2], x[0]))
+    sample = materialize(split_once(docs.select(text).sample(fraction=min(1.0, sample_rows / total), seed=seed), text).select("text", "words"), "sample")
+    cost = timed(sample)
+    m = measured()
+    verdicts = sample.select(*[F.coalesce(r.rejects(m), F.lit(False)).alias(r.name) for r in rules]).toPandas().to_numpy(bool)
+    left, taken, order, rest = np.ones(len(verdicts), bool), set(), [], list(rules)
+    while rest:
+
+        def rated(r: Rule) -> tuple[float, float]:
+            added = sum(cost[n] for n in r.needs if n not in taken) or 1e-5
+            share = float(verdicts[left, rules.index(r)].mean()) if left.any() else 0.0
+            return share, added
+
+        best = min(rest, key=lambda r: (-rated(r)[0] / rated(r)[1], rated(r)[1], r.name))
+        order.append((best.name, *rated(best)))
+        rest.remove(best)
+        taken.update(best.needs)
+        left &= ~verdicts[:, rules.index(best)]
+    return order
 
 
 def cascade(order: list[str], measures: dict[str, Column], rules: tuple[Rule, ...] = RULES) -> Column:
@@ -130,15 +175,18 @@ def cascade(order: list[str], measures: dict[str, Column], rules: tuple[Rule, ..
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with all measures, base_failed and kept."""
+    """docs with the base measures, base_failed and kept."""
     order = [name for name, _, _ in order_rules(docs, rules, text=text)]
-    measured = with_measures(docs, text=text)
-    m = {n: F.col(n) for n in MEASURES}
+    split = split_once(docs, text)
+    own = split.select("*", *[m.alias(n) for n, m in measured(BASE).items()])
+    m = {n: F.col(n) if n in BASE else make(F.col("text"), F.col("words")) for n, make in MEASURES.items()}
     base = F.lit(False)
     for r in rules:
         if r.base:
             base = base | r.rejects(m)
-    return measured.withColumn("base_failed", base).withColumn("kept", cascade(order, m, rules))
+    others_ = [r.name for r in rules if not r.base]
+    verdict = F.when(base, F.lit(False)).otherwise(cascade([n for n in order if n in others_], m, rules))
+    return own.select(*others(docs, *BASE, "base_failed", "kept", prefix="row."), *BASE, base.alias("base_failed"), verdict.alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
@@ -146,4 +194,4 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     taken only if no rule before it rejects."""
     own = F.coalesce(F.col(text), F.lit(""))
     order = [name for name, _, _ in order_rules(docs, rules, text=text)]
-    return docs.filter(let(words_of(own), lambda w: cascade(order, {n: make(own, w) for n, (_, make) in MEASURES.items()}, rules)))
+    return docs.filter(let(words_of(own), lambda w: cascade(order, {n: make(own, w) for n, make in MEASURES.items()}, rules)))

@@ -81,11 +81,14 @@ m AS (SELECT w.doc_id, text, len(words)::BIGINT AS n_words,
              coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
              (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-             len(lines)::BIGINT AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+             len(lines)::BIGINT AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+             len(list_distinct(words))::BIGINT AS n_distinct,
+             len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\t]*[-*\x{2022}\x{00b7}]')))::BIGINT AS n_bullet_lines,
+             len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\t\r]*$')))::BIGINT AS n_open_lines
       FROM w LEFT JOIN rep ON w.doc_id IS NOT DISTINCT FROM rep.doc_id),
 q AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 """
-QUALITY_KEPT = "NOT base_failed AND NOT 100 * n_symbols > 10 * n_words AND NOT 100 * n_dup_lines > 60 * n_lines AND NOT word_chars < 2 * n_words AND NOT word_chars > 15 * n_words"
+QUALITY_KEPT = "NOT base_failed AND NOT 100 * n_symbols > 10 * n_words AND NOT 100 * n_dup_lines > 60 * n_lines AND NOT word_chars < 2 * n_words AND NOT word_chars > 15 * n_words AND NOT 100 * n_distinct < 5 * n_words AND NOT 100 * n_bullet_lines > 90 * n_lines AND NOT 100 * n_open_lines > 50 * n_lines"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska": op1_matroska,
