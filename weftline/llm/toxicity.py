@@ -2,32 +2,41 @@
 
 Features of a text are the presence of its lower-cased words and of their first bytes, as
 many as each of PREFIXES says.
-Where a labelled text mentions an identity term, a copy with the term swapped for another of its
-group is made, and the squared change of the score between the two is penalised: a mention alone
-can then not move the score, which keeps neutral mentions from being flagged.
+Identity terms are words that stand in for each other: a seed of groups (IDENTITY_GROUPS), and pairs
+learned from the labelled texts (`interchangeable`): words that are about as frequent in both labels and
+occur in like contexts. Where a labelled text mentions such a term, a copy with the term swapped for
+another of its group is made, and the squared change of the score between the two is penalised: a
+mention alone can then not move the score, which keeps neutral mentions from being flagged.
 
 The classifier is fitted on the driver on at most `max_rows` labelled rows, those with the
 smallest hashes of their ids; scoring covers every text.
 
-Defined results: null and empty texts have no features and get the score of the intercept;
-repeated rows get equal scores; without labelled rows every score is 0; an empty table gives an
-empty table; other columns pass through.
+Defined results: null and empty texts have no features and get the score of the intercept; very long texts
+are scored whole, in chunks; ties of words go by the alphabet; repeated rows get equal scores; without
+labelled rows every score is 0; an empty table gives an empty table; other columns pass through, one
+named as the result is replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textops import Words, lower_ascii, mix, text_buffers, text_chunks
+from weftline.llm.textops import Words, bounded, lower_ascii, mix, others, text_buffers, text_chunks
+from weftline.session import materialize
 
 BITS, PREFIXES = 18, (4, 6)
 MAX_ROWS = 12_000
+#: Learned pairs: words in this share of the labelled rows, as frequent in one label as in the other but for
+#: this factor, whose contexts have this cosine; so many words are tried, each by so many frequent neighbours.
+SHARE, BALANCE, ALIKE, TRIED, NEIGHBOURS = (0.01, 0.4), 1.5, 0.6, 300, 300
 
 #: Terms of one group stand in for each other in counterfactuals.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -60,14 +69,16 @@ def feature_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def swapped(text: str, turn: int) -> str | None:
-    """text with each identity term replaced by another of its group; None if it has none. `turn` picks which."""
-    import re
+Groups = tuple[tuple[str, ...], ...]
 
-    place = {t: (g, i) for g in IDENTITY_GROUPS for i, t in enumerate(g)}
-    hit = False
 
-    def other(m):
+def swapped(text: str, groups: Groups = IDENTITY_GROUPS) -> str | None:
+    """text with each identity term replaced by another of its group; None if it has none. The text
+    itself picks which."""
+    place = {t: (g, i) for g in groups for i, t in enumerate(g)}
+    turn, hit = crc32(text.encode()), False
+
+    def other(m: re.Match) -> str:
         nonlocal hit
         found = place.get(m[0].lower())
         if not found:
@@ -80,10 +91,51 @@ def swapped(text: str, turn: int) -> str | None:
     return out if hit else None
 
 
+def interchangeable(texts: DataFrame) -> Groups:
+    """Pairs of words of the labelled texts (toxic, text) that may stand in for each other, the most alike
+    first; a word is in one pair at most. Counting is Spark's; what comes to the driver is bounded by
+    TRIED and NEIGHBOURS."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
+    rows = texts.select("toxic", words.alias("words"))
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not toxic or toxic == n:
+        return ()
+    held = rows.select("toxic", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("bad"))
+    bad, good = F.col("bad") * (n - toxic), (F.col("df") - F.col("bad")) * toxic
+    fit = held.filter((F.col("df") >= max(5.0, SHARE[0] * n)) & (F.col("df") <= SHARE[1] * n) & (bad <= BALANCE * good) & (good <= BALANCE * bad))
+    tried = fit.orderBy(F.desc("df"), "word").limit(TRIED).select("word")
+    near = held.orderBy(F.desc("df"), "word").limit(NEIGHBOURS).select(F.col("word").alias("near"))
+    places = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.get("words", i - 1).alias("before"), F.get("words", i + 1).alias("after")))
+    each = rows.select(F.explode(places).alias("p")).select("p.*").join(F.broadcast(tried), "word")
+    sides = each.select("word", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("near")), F.struct(F.lit(1).alias("side"), F.col("after").alias("near")))).alias("c"))
+    counts = sides.select("word", "c.side", "c.near").join(F.broadcast(near), "near").groupBy("word", "side", "near").count().toPandas()
+    if counts.empty:
+        return ()
+    names = sorted(counts["word"].unique())
+    context = sorted(set(zip(counts["side"], counts["near"])))
+    at, column = {w: i for i, w in enumerate(names)}, {c: i for i, c in enumerate(context)}
+    matrix = np.zeros((len(names), len(context)))
+    for word, side, other, k in counts[["word", "side", "near", "count"]].itertuples(index=False):
+        matrix[at[word], column[side, other]] = np.sqrt(k)
+    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+    like = np.triu(matrix @ matrix.T, 1)
+    pairs, used = [], set()
+    for i, j in sorted(zip(*np.nonzero(like >= ALIKE)), key=lambda x: (-like[x], x)):
+        if i not in used and j not in used:
+            used |= {i, j}
+            pairs.append((names[i], names[j]))
+    return tuple(pairs)
+
+
 @dataclass
 class Model:
+    """pairs: labelled texts that had a counterfactual; change: the mean change of the score's logit between the two."""
+
     weights: np.ndarray
     intercept: float
+    groups: Groups = ()
+    pairs: int = 0
+    change: float = 0.0
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Probability of toxic for each text."""
@@ -153,7 +205,9 @@ def fit(rows: Examples, rounds: int = 100, rate: float = 0.1, l2: float = 1e-3,
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return Model(w[place], float(b))
+    delta = sum(sign * row_sums(w[f], c) for f, c, sign in changed)
+    pairs = int(np.count_nonzero(rows.lost[1] + rows.gained[1]))
+    return Model(w[place], float(b), pairs=pairs, change=float(np.abs(delta).sum() / n_pairs))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -166,14 +220,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **how) -
     chosen = labels.filter(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    names = ["doc_id", "toxic", "features", "lost", "gained"]
+    texts = materialize(texts, "labelled")
+    groups = IDENTITY_GROUPS + interchangeable(texts)
+    names = ["digest", "toxic", "features", "lost", "gained"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
                 own = part.column(2).to_pylist()
-                other = [swapped(t, int(k or 0)) for t, k in zip(own, part.column(0).to_pylist())]
+                other = [swapped(t, groups) for t in own]
                 sets = []
                 for column in (part.column(2), pa.array([o or "" for o in other], pa.string())):
                     row, feature = feature_ids(column)
@@ -183,15 +239,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **how) -
                 made = [pa.array([x.astype(np.int32).tobytes() for x in col], pa.binary()) for col in (sets[0], lost, gained)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names)
 
-    got = texts.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, toxic int, features binary, lost binary, gained binary")
-    rows = got.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    got = texts.select(F.sha2("text", 256).alias("digest"), "toxic", "text").mapInArrow(run, "digest string, toxic int, features binary, lost binary, gained binary")
+    rows = got.toArrow().sort_by([("digest", "ascending"), ("toxic", "ascending")])
 
     def flat(name: str) -> tuple[np.ndarray, np.ndarray]:
         column = rows.column(name)
         parts = [np.frombuffer(x.as_buffer(), np.int32) for c in column.chunks for x in c]
         return np.concatenate([np.zeros(0, np.int32), *parts]), np.array([len(x) for x in parts], np.int64)
 
-    return fit(Examples(rows.column("toxic").to_numpy().astype(np.float64), flat("features"), flat("lost"), flat("gained")), **how)
+    model = fit(Examples(rows.column("toxic").to_numpy().astype(np.float64), flat("features"), flat("lost"), flat("gained")), **how)
+    return replace(model, groups=groups)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
@@ -201,4 +258,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array(model.scores(texts), pa.float64())
 
-    return docs.withColumn(name, scored(F.coalesce(F.col(text), F.lit(""))))
+    return bounded(docs).select(*others(docs, name), scored(F.coalesce(F.col(text), F.lit(""))).alias(name))
