@@ -7,6 +7,9 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,12 +64,30 @@ def scratch(spark: SparkSession) -> str:
 
 
 _SCRATCH: set[str] = set()
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized within, but for those to keep, are deleted at the end."""
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: lineage ends here, and
     the rows survive the loss of any executor."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    made = _MADE.get()
+    if made is not None and not keep:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
