@@ -2,47 +2,46 @@
 
 Each stage takes the documents that the one before kept, in the columns of documents; the last
 returns the packed pieces. Stages that change a text keep n_chars, where there is one, in step.
+
+Defined results, all stages: null text counts as empty; an empty table gives an empty table; very long
+texts are taken whole; ties go as the stage's operator says; other columns pass through, whatever their
+names. Repeated rows: each is judged, cut, masked and packed; the n-gram Jaccard join keeps one of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import jaccard, packing, pii, quality, substring
+from weftline.llm.textops import with_text
 from weftline.session import materialize
 
 
-def with_text(docs: DataFrame, text: Column, columns: list[str]) -> DataFrame:
-    kinds = dict(docs.dtypes)
-    own = docs.withColumn("__text", text)
-    return own.select(*[F.col("__text").alias(c) if c == "text" else F.length("__text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects. Null and empty texts have too few words and go; rows are judged one by one."""
     return quality.keep_good(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The document with the smallest doc_id of each group of near duplicates, one of a group without any;
+    documents without words link with nothing and stay."""
     return jaccard.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that occur earlier; a text that loses nothing stays as it is."""
-    cut = substring.parsed(docs)
-    return with_text(cut, F.when(F.col("__cut.n_removed") > 0, F.col("__cut.kept")).otherwise(F.col("text")), docs.columns)
+    """Texts without passages that occur earlier; a text that loses nothing, a null one too, stays as it is, and
+    one that loses all its words stays as an empty text."""
+    return substring.shortened(docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by [KIND]."""
-    masked = pii.mask(docs)
-    return with_text(masked, F.col("text"), docs.columns)
+    """Texts with personal data replaced by [KIND]; null stays null."""
+    return with_text(pii.mask(docs), F.col("text"), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their sequences and offsets."""
+    """Token pieces of all documents with their sequences and offsets; an empty or null text is one piece of the end id."""
     return packing.pack(packing.pieces(docs))
 
 
