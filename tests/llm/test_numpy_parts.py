@@ -3,6 +3,7 @@
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +132,17 @@ def test_prefixes_put_frequent_shingles_last():
     assert sizes.tolist() == [3, 0, 1] and prefix.tolist() == [3, 4, 5, 20]
 
 
+def test_longest_factors():
+    places = np.array([(0, 5, 1, 0, 10), (5, 3, 1, 0, 15), (8, 2, 1, 0, 30), (12, 1, 1, 0, 34), (13, 2, 2, 0, 35)])
+    assert substring.longest(places).tolist() == [[0, 8, 1, 0, 10], [8, 2, 1, 0, 30], [12, 1, 1, 0, 34], [13, 2, 2, 0, 35]]
+    assert len(substring.longest(places[:0])) == 0
+
+
+def test_earliest_rows_of_a_key():
+    key, doc = np.array([7, 9, 7, 7], np.uint64), np.array([3, 1, 2, 2])
+    assert substring.earliest(key, doc, np.zeros(4, np.int64), np.array([0, 0, 5, 4])).tolist() == [3, 1, 3, 3]
+
+
 def test_substring_parse_marks_repeats_within_a_document():
     text = " ".join(f"w{i}" for i in range(25))
     p = substring.Parsed(pa.array([text + " z " + text]), 20, 8)
@@ -156,69 +168,117 @@ def model():
     return pii.train(pii.labelled_examples())
 
 
-def labels_of(model, texts, decode):
-    w = textops.Words(*textops.text_buffers(pa.array(texts, pa.string())))
-    return w, decode(model, pii.shapes(w), w.first)
+def words_of(texts):
+    return textops.Words(*textops.text_buffers(pa.array(texts, pa.string())))
 
 
 def test_crf_pruned_decoding_equals_viterbi_over_all(model):
-    texts = [t for t, _ in pii.labelled_examples(200, 5)] + ["", "1 2 3 4 5 6 7 8 9", "(555) 123-4567"]
-    w, pruned = labels_of(model, texts, pii.decode)
-    scores = model.scores(pii.shapes(w), w.first)
+    w = words_of([t for t, _ in pii.labelled_examples(200, 5)] + ["", "1 2 3 4 5 6 7 8 9", "(555) 123-4567"])
+    scores = model.scores(w)
     full = [x for a, b in zip(w.first, w.first[1:]) if b > a for x in pii.viterbi(scores[None, a:b], model.step)[0].tolist()]
-    assert pruned.tolist() == full
+    assert pii.decode(model, w).tolist() == full
 
 
 def test_crf_on_held_out_sentences(model):
-    right = total = 0
-    for text, spans in pii.labelled_examples(300, 77):
-        w, labels = labels_of(model, [text], pii.decode)
-        for kind, a, b in spans:
-            hit = {pii.LABELS[x] for x, s, e in zip(labels, w.start, w.end) if s < b and e > a}
-            right, total = right + (hit == {kind}), total + 1
-    assert right / total > 0.85
+    hit, miss, wrong = Counter(), Counter(), Counter()
+    for text, spans in pii.labelled_examples(600, 77):
+        found = set(next(pii.spans_of(pa.array([text]), model))[2])
+        for s in spans:
+            (hit if s in found else miss)[s[0]] += 1
+        for s in found - set(spans):
+            wrong[s[0]] += 1
+    # Random cards fail their checksum and are rightly not found.
+    share = lambda kind: hit[kind] / (hit[kind] + miss[kind])
+    assert min(share(k) for k in ("secret", "id", "ip", "email")) > 0.9 and share("phone") > 0.75 and share("address") > 0.6 and share("name") > 0.4
+    assert all(wrong[k] <= 0.1 * (hit[k] + miss[k]) for k in ("secret", "id", "email", "address", "name"))
+
+
+def test_crf_finds_secrets_in_any_coat(model):
+    value = "3fdf5a35c7b8d733c0b5c7d364eda8ac88d929d1"
+    for text in (f'la que token = "{value}" de', f'TOKEN = "{value.upper()}"!! OF!!', f'the&&& token = "{value}"### el%%%', f"é ü api_key: {value} and"):
+        own, base, every = next(pii.spans_of(pa.array([text]), model))
+        assert base == [] and [(k, own[a:b].lower()) for k, a, b in every] == [("secret", value)]
+    clean = "The token was read. A password is a word. Version 2.0 of RFC-2119, in 2024; see (page 12). En la casa. De la."
+    assert next(pii.spans_of(pa.array([clean]), model))[2] == []
 
 
 def plain_viterbi_score(model, word):
     scores = model.scores
-    worst = min(scores.values()) - sentencepiece_trie.UNKNOWN_PENALTY
     best = [0.0] + [None] * len(word)
     for end in range(1, len(word) + 1):
-        best[end] = max(best[s] + (scores.get(word[s:end], worst if end - s == 1 else None)) for s in range(end) if scores.get(word[s:end]) is not None or end - s == 1)
+        best[end] = max(best[s] + (scores.get(word[s:end], model.unknown_score if end - s == 1 else None)) for s in range(end) if scores.get(word[s:end]) is not None or end - s == 1)
     return best[-1]
 
 
-def test_sentencepiece_equals_the_library():
+def short_texts(n=500):
+    rng = random.Random(4)
+    return ["", " ", "   a  b", "Hello  world\nfoo\t\n", *["".join(rng.choices("aeiothnsrl  ▁.1é한\n\t🙂ABC", k=rng.randrange(60))) for _ in range(n)]]
+
+
+def library(kind):
+    """The library with the model as published, or with our scores and Viterbi."""
     import public_tokenizers
     import sentencepiece
-
-    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece_trie.MODEL))
-    own = sentencepiece_trie.pieces(sentencepiece_trie.MODEL)
-    rng = random.Random(4)
-    texts = ["", " ", "   a  b", "Hello  world\nfoo\t\n", *["".join(rng.choices("aeiothnsrl  ▁.1é한\n\t🙂ABC", k=rng.randrange(60))) for _ in range(500)]]
-    for t in texts:
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(public_tokenizers.path(sentencepiece_trie.MODEL), "rb") as f:
+        proto.ParseFromString(f.read())
+    own = sentencepiece_trie.pieces(sentencepiece_trie.MODEL, kind)
+    if kind == sentencepiece_trie.UNIGRAM:
+        proto.trainer_spec.model_type = kind
+        for p in proto.pieces:
+            if p.piece in own.scores and p.type in (sentencepiece_trie.NORMAL, sentencepiece_trie.USER):
+                p.score = own.scores[p.piece] / sentencepiece_trie.RANK_UNITS
+    return own, sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+
+@pytest.mark.parametrize("kind", [sentencepiece_trie.UNIGRAM, None])
+def test_sentencepiece_equals_the_library(kind):
+    own, lib = library(kind)
+    for t in short_texts():
         table = own.encode_words(set(own.words(t)))
         got = np.frombuffer(b"".join(table[w] for w in own.words(t)), np.int32).tolist()
         assert got == lib.encode(t), t
         assert own.decode(got) == lib.decode(got) == t.replace("▁", " ")
 
 
+def test_sentencepiece_shares_the_scores_of_common_prefixes():
+    """The sorted traversal computes each distinct prefix once, and gives what every word gives alone."""
+    own = sentencepiece_trie.pieces(sentencepiece_trie.MODEL, sentencepiece_trie.UNIGRAM)
+    words = {"▁" + "".join(random.Random(i).choices("therain", k=i % 12 + 1)) for i in range(300)}
+    together = own.encode_words(words)
+    assert all(own.encode_words([w])[w] == ids for w, ids in together.items())
+    made = 0
+
+    class Counted(sentencepiece_trie.Pieces):
+        def _unigram_states(self, word, scores, sizes, ids):
+            nonlocal made
+            before = len(scores)
+            super()._unigram_states(word, scores, sizes, ids)
+            made += len(scores) - before
+
+    counted = Counted(**{k: getattr(own, k) for k in own.__dataclass_fields__})
+    assert counted.encode_words(words) == together
+    assert made == len({w[:k] for w in words for k in range(1, len(w) + 1)})
+
+
 def test_sentencepiece_unigram_finds_the_best_sum():
-    own = sentencepiece_trie.Pieces.load(__import__("public_tokenizers").path(sentencepiece_trie.MODEL), sentencepiece_trie.UNIGRAM)
+    own = sentencepiece_trie.pieces(sentencepiece_trie.MODEL, sentencepiece_trie.UNIGRAM)
     rng = random.Random(6)
     words = {"▁" + "".join(rng.choices("therainsomé", k=rng.randrange(1, 12))) for _ in range(60)}
     names = {i: p for p, i in own.ids.items()}
-    worst = min(own.scores.values()) - sentencepiece_trie.UNKNOWN_PENALTY
     for word, packed in own.encode_words(words).items():
         ids = np.frombuffer(packed, np.int32).tolist()
         if all(i in names for i in ids):
             assert "".join(names[i] for i in ids) == word
-            assert sum(own.scores.get(names[i], worst) for i in ids) == pytest.approx(plain_viterbi_score(own, word))
+            assert sum(own.scores.get(names[i], own.unknown_score) for i in ids) == plain_viterbi_score(own, word)
 
 
 def test_toxicity_swaps_identity_terms():
-    assert toxicity.swapped("the Muslim man", 0) == "the christian woman"
-    assert toxicity.swapped("no term", 0) is None
+    out = toxicity.swapped("the Muslim man", (("muslim", "sikh"), ("man", "woman")))
+    assert out == "the sikh woman" == toxicity.swapped("the Muslim man", (("muslim", "sikh"), ("man", "woman")))
+    assert toxicity.swapped("no term") is None
 
 
 def test_counterfactuals_cut_false_positives():
@@ -240,8 +300,8 @@ def test_counterfactuals_cut_false_positives():
     def learn(fairness):
         sets = lambda t: np.unique(toxicity.feature_ids(pa.array([t]))[1])
         made = []
-        for i, (t, y) in enumerate(rows):
-            other = toxicity.swapped(t, i)
+        for t, y in rows:
+            other = toxicity.swapped(t)
             a, b = sets(t), sets(other or t)
             made.append((a, y, np.setdiff1d(a, b), np.setdiff1d(b, a)))
         return toxicity.fit(toxicity.Examples.of(made), fairness=fairness, l2=1e-4)
@@ -300,7 +360,7 @@ def test_lower_bounds_hold_against_exhaustive_packing():
 
 
 def test_token_ids_as_by_the_tokenizer():
-    exact = packing.encoders("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")[0]
+    exact = packing.tokenizer("byte_bpe_50k.json")
     for t in ["", "a<|endoftext|>b", "\x85\xa0　 x  \n\n y", "Éé 1²३ ßﬁ 👩‍👩‍👧 ​", "''ll 'S 's", "x" * 5000]:
         assert packing.token_ids(t).tolist() == exact.encode(t, add_special_tokens=False).ids
 
@@ -313,9 +373,72 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p>";</sc
 
 def test_html_text_of_a_page():
     want = "Head & line\nOne two three\nfour <five> six"
-    assert html_consensus.text_at(PAGE, None) == want
-    assert html_consensus.text_at(PAGE, html_consensus.votes_of(PAGE)[0][0]) == want
-    assert html_consensus.votes_of(PAGE)[0][0] == "/html/body/div.c#.col.story-#"
+    best = html_consensus.path_of("/html/body/div.c#.col.story-#")
+    assert html_consensus.text_at(PAGE, None) == html_consensus.text_at(PAGE, best) == want
+    votes = html_consensus.votes_of(PAGE)
+    assert votes[0][0] == best and sum(x for _, x in votes) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p>plain paragraph</p>", "plain paragraph"),
+        ("plain <b>text</b> without tags", "plain text without tags"),
+        ("<body><article class=a><p>One two three.</p></article><article class=b><p>Four five six.</p></article></body>", "One two three.\nFour five six."),
+        ("<body><div class='ad-free article'><p>The whole article.</p></div></body>", "The whole article."),
+        ("<body><nav>menu</nav><div class=box><div class=box><p>a b c d</p></div></div><footer>end</footer></body>", "a b c d"),
+        ("<p>one<p>two<br>lines &lt;x&gt;", "one\ntwo lines <x>"),
+    ],
+)
+def test_html_loses_no_text(html, want):
+    assert html_consensus.text_at(html, None) == want
+
+
+def plain_article(html):
+    """The text of a page by the library's own tree of tags: all blocks but those of menus, adverts and the like."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        out, skip, part = [], 0, ""
+        outside = {"nav", "footer", "aside", "script", "style", "head", "form", "title"}
+
+        def handle_starttag(self, tag, attrs):
+            self.cut(tag)
+            if self.skip or tag in self.outside or {"ad", "comments", "cookie", "sidebar", "related", "share", "newsletter"} & set((dict(attrs).get("class") or "").split()):
+                self.skip += tag not in html_consensus.VOID
+
+        def handle_endtag(self, tag):
+            self.cut(tag)
+            self.skip = max(0, self.skip - (tag not in html_consensus.VOID))
+
+        def handle_data(self, data):
+            self.part += "" if self.skip else data
+
+        def cut(self, tag):
+            if tag in html_consensus.BLOCKS:
+                self.out.append(" ".join(self.part.split()))
+                self.part = ""
+            elif tag == "br":
+                self.part += " "
+
+    reader = Reader()
+    reader.out = []
+    reader.feed(html)
+    reader.cut("p")
+    return "\n".join(x for x in reader.out if x)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<style ", "<div>x", '<a ">" ', "<p title='x>", "<b>", "<td>", "<", "</"])
+def test_html_is_read_in_linear_time(unit):
+    import time
+
+    took = []
+    for size in (100_000, 400_000):
+        html = unit * (size // len(unit))
+        began = time.process_time()
+        html_consensus.text_at(html, None)
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
 
 
 @pytest.mark.parametrize("names", [("single has-sidebar", "post"), ("no-sidebar", "category-social tag-search"), ("", "post related share")])
