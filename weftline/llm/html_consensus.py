@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textops import others
+from weftline.llm.textops import bounded, others
 from weftline.session import materialize
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -331,7 +331,7 @@ def winning_paths(pages: DataFrame, html: str = "html", url: str = "url") -> Dat
         rows = [[{"path": p, "share": s} for p, s in votes_of(x or "")] for x in column.to_pylist()]
         return pa.array(rows, pa.list_(pa.struct([("path", pa.string()), ("share", pa.float64())])))
 
-    cast = pages.select(host_of(F.col(url)).alias("host"), F.explode(vote(F.col(html))).alias("v")).select("host", "v.path", F.round(F.col("v.share") * 1_000_000).cast("long").alias("share"))
+    cast = bounded(pages).select(host_of(F.col(url)).alias("host"), F.explode(vote(F.col(html))).alias("v")).select("host", "v.path", F.round(F.col("v.share") * 1_000_000).cast("long").alias("share"))
     counted = cast.groupBy("host", "path").agg(F.sum("share").alias("votes"))
     first = F.min(F.struct((-F.col("votes")).alias("less"), "path")).alias("first")
     return counted.groupBy("host").agg(first).select("host", F.col("first.path").alias("path"), (-F.col("first.less")).alias("votes"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textops import Words, byte_values, lower_ascii, mix, others, powers, text_buffers, text_chunks
+from weftline.llm.textops import Words, bounded, byte_values, lower_ascii, mix, others, powers, text_buffers, text_chunks
 
 #: The kinds of the patterns, and those that just the CRF finds.
 KINDS = ("email", "ip", "card", "phone")
@@ -468,7 +468,7 @@ def find(docs: DataFrame, model: Crf | None = None, text: str = "text") -> DataF
         return pa.StructArray.from_arrays([pa.array(base, SPANS), pa.array(every, SPANS)], ["base", "spans"])
 
     own = [search(F.col(text)).alias("found"), F.struct("*").alias("row")]
-    return docs.select(*own).select(*others(docs, "base", "spans", prefix="row."), "found.base", "found.spans")
+    return bounded(docs).select(*own).select(*others(docs, "base", "spans", prefix="row."), "found.base", "found.spans")
 
 
 def replaced(text: str, spans: list[Span]) -> str:
@@ -490,4 +490,4 @@ def mask(docs: DataFrame, model: Crf | None = None, text: str = "text") -> DataF
         out = [replaced(own, spans) for own, _, spans in spans_of(texts, model)]
         return pa.array([x if ok else None for x, ok in zip(out, texts.is_valid().to_pylist())], pa.string())
 
-    return docs.select(*[masked(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return bounded(docs).select(*[masked(F.col(text)).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.textops import text_chunks
+from weftline.llm.textops import bounded, text_chunks
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -279,7 +279,7 @@ def encode(docs: DataFrame, text: str = "text", name: str = "ids", model: str =
         values = pa.array(np.frombuffer(b"".join(packed), np.int32))
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=texts.is_null() if texts.null_count else None)
 
-    return docs.withColumn(name, encoded(F.col(text)))
+    return bounded(docs).withColumn(name, encoded(F.col(text)))
 
 
 def decode(docs: DataFrame, ids: str = "ids", name: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -296,4 +296,4 @@ def decode(docs: DataFrame, ids: str = "ids", name: str = "decoded", model: str
             done = part[-1]
         return pa.array([t if ok else None for t, ok in zip(texts, column.is_valid().to_pylist())], pa.string())
 
-    return docs.withColumn(name, decoded(F.col(ids)))
+    return bounded(docs).withColumn(name, decoded(F.col(ids)))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: Texts are worked on in chunks of so many bytes, or one by one if longer.
 CHUNK_BYTES = 1_000_000
 KEPT_POWERS = 1 << 19
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,6 +81,16 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, after bounding the session's Arrow batches: texts are held several times over on their way to
+    Python and back, and Spark's default of 10,000 rows is far more than a task needs at once. A setting
+    of the session's own stays."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH) == "10000":
+        conf.set(BATCH, str(BATCH_ROWS))
+    return docs
+
+
 def others(docs: DataFrame, *added: str, prefix: str = "") -> list[Column]:
     """The columns of docs but those that an operator is about to add under the same name. With a
     prefix, they are taken out of the struct that an operator keeps its rows in meanwhile, so that no
