@@ -10,8 +10,14 @@ that link share a shingle among the first n - ceil(THRESHOLD% of n) + 1 of each,
    each group every class meets the group's first. Of a group's pairs the one met in most buckets is
    verified first, the others if that leaves them in different components. These pairs are few and
    join what is alike into components.
-3. Groups of a bucket are expanded to their classes, and all pairs of classes that no component
-   joins as yet, and that have enough shingles from the shared one on, are verified as well.
+3. What a large bucket still holds in different components is compared by way of a pivot, the member that
+   has the least of its own. A set is near the pivot from a similarity of 2 THRESHOLD - 100 percent. By the
+   triangle inequality one that isn't can't link to one that links to the pivot. Two near ones share
+   all of the pivot but what either has lost, and what both have gained: unless both link to the pivot,
+   they link only if they share enough of what they have lost or gained. That is a prefix join on
+   these differences, which edits in different places don't share.
+4. All other pairs of a bucket's classes that no component joins as yet, and that have enough
+   shingles from the shared one on, are verified as well.
 
 A pair is verified by its sketches first, counts of shingles by parts of the hash space, which bound
 what two sets can share, and then by the sets.
@@ -20,9 +26,9 @@ So no link between different components is missed, while a bucket of thousands o
 costs as many comparisons as it has members and not their square.
 
 Defined results: null text counts as empty; a document without words is its own component and
-links with nothing; one of fewer than K words has one shingle, all its words; repeated rows and
-equal texts share a component; texts that share a doc_id count as one document that links as any of
-them does; documents with null doc_id are told apart by their texts, link
+links with nothing; one of fewer than K words has one shingle, all its words; very long
+texts are taken whole; repeated rows and equal texts share a component; texts that share a doc_id
+count as one document that links as any of them does and has the size of the largest; documents with null doc_id are told apart by their texts, link
 like others and are left out of component ids, which are null where no linked document has a
 doc_id; an empty table gives an empty table; other columns pass through, those named as the
 results are replaced.
@@ -38,16 +44,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import components
-from weftline.llm.textops import Words, lower_ascii, mix, others, signed, text_buffers, text_chunks, whole_windows, window_hashes
-from weftline.session import materialize
+from weftline.llm.textops import Words, bounded, lower_ascii, mix, others, range_hash, signed, text_buffers, text_chunks, whole_windows, window_hashes
+from weftline.session import materialize, temporary
 
 K, THRESHOLD = 5, 75
-#: Shingles in this many documents of one batch count as frequent; at most so many are told apart.
-FREQUENT, FREQUENT_MOST = 8, 1 << 17
+#: Shingles in this many different texts of one chunk count as frequent; at most so many are told apart.
+FREQUENT, FREQUENT_MOST = 4, 1 << 17
 #: Up to so many ids (16 MB) are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Shingles of pairs that are compared at once.
-COMPARED = 1_000_000
+#: Buckets of so many classes are compared by way of a pivot; in smaller ones all pairs are no more.
+PIVOT_FROM = 64
 
 
 def shingle_sets(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -56,14 +62,13 @@ def shingle_sets(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     words = Words(lower_ascii(data), offsets)
     hashes = words.hashes()
     counts = words.counts()
-    whole = window_hashes(hashes, k)[whole_windows(words.first, k)]
-    sizes = np.maximum(counts - k + 1, 0)
-    for r in np.flatnonzero((counts > 0) & (counts < k)).tolist():
-        a = hashes[words.first[r] : words.first[r + 1]]
-        at = int(sizes[:r].sum())
-        whole = np.insert(whole, at, window_hashes(a, len(a))[0])
-        sizes[r] = 1
+    sizes = np.where(counts > 0, np.maximum(counts - k + 1, 1), 0)
     ends = np.cumsum(sizes)
+    whole = np.empty(int(sizes.sum()), np.uint64)
+    few = (counts > 0) & (counts < k)
+    longer = np.repeat(~few, sizes)
+    whole[longer] = window_hashes(hashes, k)[whole_windows(words.first, k)]
+    whole[ends[few] - 1] = range_hash(hashes, words.first[:-1][few], words.first[1:][few])
     for a, b in zip((ends - sizes).tolist(), ends.tolist()):
         whole[a:b].sort()
     new = np.ones(len(whole), bool)
@@ -109,8 +114,8 @@ def placed_prefixes(tokens: np.ndarray, counts: np.ndarray, frequent: np.ndarray
 
 def sketches(tokens: np.ndarray, counts: np.ndarray) -> pa.Array:
     """For each row how many of its shingles fall into each of 2^j cells of the hash space, one byte
-    a cell, two to four shingles a cell on average."""
-    bits = np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / 4)), 3).astype(np.uint64)
+    a cell, one shingle to one and two cells on average."""
+    bits = np.maximum(np.ceil(np.log2(np.maximum(counts, 1))), 3).astype(np.uint64)
     ends = np.cumsum(np.int64(1) << bits.astype(np.int64))
     begins = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else ends
     cell = np.repeat(begins, counts) + (tokens >> np.repeat(np.uint64(64) - bits, counts)).astype(np.int64)
@@ -141,17 +146,15 @@ def frequent_shingles(docs: DataFrame, k: int = K) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0)
-            sets = [shingle_sets(texts.slice(lo, hi - lo), k) for lo, hi in text_chunks(texts)]
-            if not sets:
-                continue
-            tokens, counts = (np.concatenate(x) for x in zip(*sets))
-            # A text counts once however many copies of it there are.
-            keys = row_sums(mix(tokens), counts)
-            once = np.zeros(len(counts), bool)
-            once[np.unique(keys, return_index=True)[1]] = True
-            found, times = np.unique(tokens[np.repeat(once, counts)], return_counts=True)
-            often = times >= FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(signed(found[often])), pa.array(times[often].astype(np.int64))], ["token", "times"])
+            for lo, hi in text_chunks(texts):
+                tokens, counts = shingle_sets(texts.slice(lo, hi - lo), k)
+                # A text counts once however many copies of it there are.
+                keys = row_sums(mix(tokens), counts)
+                once = np.zeros(len(counts), bool)
+                once[np.unique(keys, return_index=True)[1]] = True
+                found, times = np.unique(tokens[np.repeat(once, counts)], return_counts=True)
+                often = times >= FREQUENT
+                yield pa.RecordBatch.from_arrays([pa.array(signed(found[often])), pa.array(times[often].astype(np.int64))], ["token", "times"])
 
     counted = docs.select("text").mapInArrow(run, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     top = counted.orderBy(F.desc("times"), "token").limit(FREQUENT_MOST).select("token").toArrow()
@@ -251,9 +254,9 @@ def in_reach(n: Column, pos: Column, m: Column, at: Column, threshold: int) -> C
     return F.lit(100 + threshold) * F.least(n - pos, m - at) >= F.lit(threshold) * (n + m)
 
 
-def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, threshold: int, k: int) -> DataFrame:
-    """The (a, b) of candidates whose sets link, by their full intersection. Pairs whose sketches
-    rule that out go first; just the texts of the others are turned into sets."""
+def compared(docs: DataFrame, classes: DataFrame, candidates: DataFrame, threshold: int, k: int) -> DataFrame:
+    """a, b, ta, tb: the candidates and their sets, but for those whose sketches rule out a similarity of
+    threshold percent. Just the texts of the others are turned into sets."""
 
     @F.arrow_udf("boolean")
     def may_link(n: pa.Array, m: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
@@ -263,7 +266,7 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, thresho
 
     side = lambda name: classes.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
     possible = candidates.join(side("a"), "a").join(side("b"), "b").filter(may_link("n_a", "n_b", "sketch_a", "sketch_b"))
-    pairs = materialize(possible.select("a", "b"), "pairs")
+    pairs = materialize(possible.select("a", "b").distinct(), "pairs")
     ids = materialize(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,26 +280,25 @@ def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, thresho
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = docs.select("id", "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
     sets = materialize(chosen.mapInArrow(tokens, "id long, tokens array<long>"), "tokens")
-
-    @F.arrow_udf("boolean")
-    def links(left: pa.Array, right: pa.Array) -> pa.Array:
-        na, nb = left.value_lengths().to_numpy(), right.value_lengths().to_numpy()
-        part = np.cumsum(na + nb, dtype=np.int64) // COMPARED
-        out = []
-        for lo, hi in zip(*(np.searchsorted(part, np.unique(part), how).tolist() for how in ("left", "right"))):
-            ca, cb = na[lo:hi], nb[lo:hi]
-            # Equal values of one pair stand side by side once sorted.
-            row = np.concatenate((np.repeat(np.arange(hi - lo), ca), np.repeat(np.arange(hi - lo), cb)))
-            value = np.concatenate((left.slice(lo, hi - lo).flatten().to_numpy(), right.slice(lo, hi - lo).flatten().to_numpy()))
-            order = np.lexsort((value, row))
-            same = (value[order[1:]] == value[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
-            both = np.bincount(row[order[1:]][same], minlength=hi - lo)
-            out.append(100 * both >= threshold * (ca + cb - both))
-        return pa.array(np.concatenate([np.zeros(0, bool), *out]))
-
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    return materialize(pairs.join(left, "a").join(right, "b").filter(links("ta", "tb")).select("a", "b").distinct(), "links")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, threshold: int, k: int) -> DataFrame:
+    """The (a, b) of candidates whose sets link, by their full intersection."""
+    found = compared(docs, classes, candidates, threshold, k)
+    sized = found.select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("shared"))
+    return materialize(sized.filter((100 + threshold) * F.col("shared") >= threshold * F.col("n")).select("a", "b").distinct(), "links")
+
+
+def differences(docs: DataFrame, classes: DataFrame, candidates: DataFrame, threshold: int, k: int) -> DataFrame:
+    """a, b, size, gained, lost for the candidates of at least that similarity: the size of b's set,
+    and the shingles of a that b lacks and those of b that a lacks."""
+    found = compared(docs, classes, candidates, threshold, k)
+    sides = found.select("a", "b", F.size("ta").alias("n"), F.size("tb").alias("size"), F.array_except("ta", "tb").alias("gained"), F.array_except("tb", "ta").alias("lost"))
+    enough = 100 * (F.col("size") - F.size("lost")) >= threshold * (F.col("n") + F.size("lost"))
+    return materialize(sides.filter(enough).select("a", "b", F.col("size").cast("long"), "gained", "lost"), "differences")
 
 
 def apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
@@ -324,9 +326,10 @@ def row_id(text: Column, key: Column) -> Column:
 def join_classes(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(id, n, class) of every document with words, and of every class its component's first id, a
     doc_id if it has any, and smallest doc_id."""
-    own = docs.select(row_id(F.col(text), F.col(key)).alias("id"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = bounded(docs).select(row_id(F.col(text), F.col(key)).alias("id"), F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     frequent = frequent_shingles(own, k)
     rows = materialize(signed_rows(own, frequent, threshold, k), "sets")
+    twice = not rows.groupBy("id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo <> hi").isEmpty()
     shared = materialize(buckets(prefix_rows(own, frequent, threshold, k), threshold), "buckets")
     of_set = ["n", "s1", "s2"]
     classes = rows.filter("n > 0").groupBy(*of_set).agg(F.min("id").alias("class"), F.min("doc_id").alias("doc_id"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch"))
@@ -346,40 +349,125 @@ def join_classes(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text:
     placed = united(placed, verified(own, classes, likeliest.unionByName(inside), threshold, k))
     placed = united(placed, verified(own, classes, apart(between.select("a", "b"), placed), threshold, k))
 
-    # All other pairs in different components, found at the first shingle that they share.
+    # Pairs in different components that share a bucket, by way of the bucket's pivot.
     whole = groups.filter("classes > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).cast("long").alias("pos"))
-    members = shared.select("token", "grp", "pos").unionByName(whole).join(placed, "grp").select("token", "class", "n", "pos", "label")
-    mixed = members.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    left = materialize(members.join(mixed, "token", "left_semi"), "mixed")
-    right = left.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("at"), F.col("label").alias("other"))
-    crossing = left.join(right, "token").filter((F.col("label") < F.col("other")) & in_reach(F.col("n"), F.col("pos"), F.col("nb"), F.col("at"), threshold))
+    members = shared.select("token", "grp", "pos").unionByName(whole)
+    mixed = materialize(in_mixed_buckets(members, placed), "mixed")
+    # The fewer rare shingles come before its first shared one, the less of its own a set has.
+    own_part = mixed.groupBy("class").agg(F.min("pos").alias("own"), (-F.count("*")).alias("less"))
+    first = F.min_by(F.struct("class", "n"), F.struct("own", "less", "class")).alias("p")
+    large = mixed.join(own_part, "class").groupBy("token").agg(first, F.count("*").alias("members")).filter(F.col("members") >= PIVOT_FROM)
+    pivots = materialize(large.select("token", F.col("p.class").alias("pivot"), F.col("p.n").alias("m")), "pivots")
+    near = max(2 * threshold - 100, 0)
+    alike = 100 * F.least("n", "m") >= near * F.greatest("n", "m")
+    beside = mixed.join(pivots, "token").filter((F.col("class") != F.col("pivot")) & alike)
+    close = differences(own, classes, beside.select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct(), near, k)
+    close = weighed(close.select(F.col("a").alias("class"), F.col("b").alias("pivot"), "size", "gained", "lost"), threshold)
+    placed = united(placed, close.filter("weight <= slack").select(F.col("class").alias("a"), F.col("pivot").alias("b")))
+    centred = materialize(weighed(recentred(close), threshold), "centred")
+    least = centred.groupBy("pivot").agg(F.min(F.struct("weight", "class")).alias("least")).select("pivot", F.col("least.weight").alias("least"), F.col("least.class").alias("b"))
+    centred = centred.join(least, "pivot")
+    placed = united(placed, centred.filter("class <> b AND weight + least <= slack").select(F.col("class").alias("a"), "b"))
+    placed = united(placed, verified(own, classes, changed_alike(centred, placed, threshold), threshold, k))
+
+    # All others, found at the first shingle that they share. rank: 2 links to the pivot, 1 is near it, 0 isn't.
+    rank = F.when(F.col("class") == F.col("pivot"), 2).when(F.col("weight").isNull(), 0).when(F.col("weight") <= F.col("slack"), 2).otherwise(1)
+    ranked = in_mixed_buckets(members, placed).join(pivots.select("token", "pivot"), "token", "left").join(close.select("class", "pivot", "weight", "slack"), ["class", "pivot"], "left")
+    left = materialize(ranked.select("token", "class", "n", "pos", "label", rank.alias("rank")), "ranked")
+    right = left.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("at"), F.col("label").alias("other"), F.col("rank").alias("of_b"))
+    open_ = (F.col("label") < F.col("other")) & (F.col("rank") + F.col("of_b") <= 1)
+    crossing = left.join(right, "token").filter(open_ & in_reach(F.col("n"), F.col("pos"), F.col("nb"), F.col("at"), threshold))
     crossing = crossing.select(F.col("class").alias("a"), "b").distinct()
     placed = united(placed, verified(own, classes, crossing, threshold, k))
+
     members = rows.filter("n > 0").join(classes.select(*of_set, "class"), of_set).select("id", "n", "class")
-    labels = placed.select("class", "label").join(classes.select("class", "doc_id"), "class")
+    if twice:
+        placed = united(placed, of_one_id(members))
+    labels = placed.select("class", "label").distinct().join(classes.groupBy("class").agg(F.min("doc_id").alias("doc_id")), "class")
     smallest = labels.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return members, labels.join(smallest, "label").select("class", F.coalesce("component_id", "label").alias("first"), "component_id").distinct()
 
 
+def in_mixed_buckets(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """token, class, n, pos, label of the buckets that hold more than one component."""
+    found = members.join(placed, "grp").select("token", "class", "n", "pos", "label")
+    mixed = found.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
+    return found.join(mixed, "token", "left_semi")
+
+
+def weighed(close: DataFrame, threshold: int) -> DataFrame:
+    """close plus weight and slack: two sets that share no change link if their weights' sum is within the slack."""
+    weight = 100 * F.size("lost") + threshold * F.size("gained")
+    return close.withColumns({"weight": weight.cast("long"), "slack": ((100 - threshold) * F.col("size")).cast("long")})
+
+
+def recentred(close: DataFrame) -> DataFrame:
+    """The pivot and what is near it by their changes against the shingles that most of them have, so that
+    a pivot's own peculiarities aren't changes that all others share."""
+    count = close.groupBy("pivot").agg((F.count("*") + 1).alias("members"))
+
+    def most(column: str) -> DataFrame:
+        each = close.select("pivot", F.explode(column).alias("shingle")).groupBy("pivot", "shingle").agg(F.count("*").alias("times"))
+        return each.join(count, "pivot").filter("2 * times > members").groupBy("pivot").agg(F.collect_list("shingle").alias(f"most_{column}"))
+
+    none = F.array().cast("array<long>")
+    common = count.join(most("gained"), "pivot", "left").join(most("lost"), "pivot", "left").select("pivot", F.coalesce("most_gained", none).alias("g"), F.coalesce("most_lost", none).alias("l"))
+    itself = close.groupBy("pivot").agg(F.first("size").alias("size")).select(F.col("pivot").alias("class"), "pivot", "size", none.alias("gained"), none.alias("lost"))
+    rows = close.select("class", "pivot", "size", "gained", "lost").unionByName(itself).join(common, "pivot")
+    swap = lambda own, mine, other, theirs: F.array_sort(F.array_union(F.array_except(own, mine), F.array_except(theirs, other)))
+    return rows.select("class", "pivot", (F.col("size") + F.size("g") - F.size("l")).alias("size"), swap("gained", "g", "lost", "l").alias("gained"), swap("lost", "l", "gained", "g").alias("lost"))
+
+
+def changed_alike(centred: DataFrame, placed: DataFrame, threshold: int) -> DataFrame:
+    """The (a, b) near one pivot, in different components, that may share enough of their changes. Sets
+    that have lost M and M' of the centre's C shingles, and gained E and E', share at least
+    (100 (M + M') + t (E + E') - (100 - t) C) / (100 + t) changes if they link at t percent."""
+    labelled = centred.join(placed.select("class", "label").distinct(), "class").withColumn("changes", F.concat("gained", "lost"))
+    spare = F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("least") - F.col("slack")) / (100 + threshold))).cast("int")
+    count = F.size("changes")
+    prefix = F.slice("changes", 1, F.greatest(F.lit(0), count - spare + 1))
+    rows = labelled.select("pivot", "class", "label", "weight", "slack", count.alias("count"), F.posexplode(prefix).alias("pos", "change"))
+    other = rows.select("pivot", "change", *[F.col(c).alias(f"{c}_b") for c in ("class", "label", "weight", "count", "pos")])
+    rest = F.least(F.col("count") - F.col("pos"), F.col("count_b") - F.col("pos_b"))
+    enough = (100 + threshold) * rest >= F.col("weight") + F.col("weight_b") - F.col("slack")
+    found = rows.join(other, ["pivot", "change"]).filter((F.col("label") < F.col("label_b")) & enough)
+    return found.select(F.col("class").alias("a"), F.col("class_b").alias("b")).distinct()
+
+
+def of_one_id(members: DataFrame) -> DataFrame:
+    """The (a, b) of classes that hold texts of one document."""
+    found = members.groupBy("id").agg(F.min("class").alias("b"), F.max("class").alias("top")).filter("b <> top")
+    return materialize(members.join(found, "id").filter("class <> b").select(F.col("class").alias("a"), "b").distinct(), "same")
+
+
 def placed_rows(docs: DataFrame, threshold: int, k: int, text: str, key: str) -> DataFrame:
-    """docs plus __row, __n, __first and __component, null for documents without words."""
-    members, labels = join_classes(docs, threshold, k, text, key)
-    found = members.join(labels, "class").select(F.col("id").alias("__id"), F.col("n").alias("__n"), F.col("first").alias("__first"), F.col("component_id").alias("__component"))
-    # Equal ids: the same text, or texts that share a doc_id.
-    return docs.withColumn("__row", row_id(F.col(text), F.col(key))).join(found.dropDuplicates(["__id"]), F.col("__row") == F.col("__id"), "left")
+    """row_id, n, first and component of every document with words, once each."""
+    with temporary(docs.sparkSession):
+        members, labels = join_classes(docs, threshold, k, text, key)
+        return materialize(first_of(members, labels), "near", keep=True)
+
+
+def first_of(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "class").groupBy(F.col("id").alias("row_id")).agg(F.max("n").alias("n"), F.min("first").alias("first"), F.min("component_id").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs plus n_shingles and component_id, the smallest doc_id reachable by links."""
-    joined = placed_rows(docs, threshold, k, text, key)
-    own = F.when(F.col("__n").isNull(), F.col(key).cast("long")).otherwise(F.col("__component"))
-    return joined.select(*others(docs, "n_shingles", "component_id"), F.coalesce("__n", F.lit(0)).alias("n_shingles"), own.alias("component_id"))
+    rows = docs.select(row_id(F.col(text), F.col(key)).alias("row_id"), F.col(key).cast("long").alias("number"), F.struct("*").alias("row"))
+    joined = rows.join(placed_rows(docs, threshold, k, text, key), "row_id", "left")
+    own = F.when(F.col("n").isNull(), F.col("number")).otherwise(F.col("component"))
+    return joined.select(*others(docs, "n_shingles", "component_id", prefix="row."), F.coalesce("n", F.lit(0)).alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_first(docs: DataFrame, threshold: int = THRESHOLD, k: int = K) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, or one of those without
-    any if the component has none; columns unchanged."""
-    found = placed_rows(docs.select("doc_id", "text"), threshold, k, "text", "doc_id")
-    first = found.filter(F.coalesce("__first", "__row") == F.col("__row")).select("__row").distinct()
-    kept = docs.withColumn("__row", row_id(F.col("text"), F.col("doc_id"))).join(first, "__row", "left_semi")
-    return kept.select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    any if the component has none; of repeated rows that differ in other columns, the one with the
+    least digest; columns unchanged."""
+    rows = docs.select(row_id(F.col("text"), F.col("doc_id")).alias("row_id"), F.struct("*").alias("row"))
+    gone = placed_rows(docs.select("doc_id", "text"), threshold, k, "text", "doc_id").filter("first <> row_id").select("row_id")
+    kept = rows.join(gone, "row_id", "left_anti")
+    # Rows that share an id are few as a rule: just they are grouped with their texts.
+    repeated = materialize(rows.groupBy("row_id").count().filter("count > 1").select("row_id"), "repeated")
+    once = kept.join(repeated, "row_id", "left_anti").select("row")
+    again = kept.join(repeated, "row_id", "left_semi").groupBy("row.doc_id", "row.text").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return once.unionByName(again.select("row")).select(*others(docs, prefix="row."))
