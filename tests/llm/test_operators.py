@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -194,6 +195,14 @@ def test_cascade_verdict_does_not_depend_on_order(spark, docs):
     assert kept == sorted((r.doc_id, r.text) for r in quality.judge(docs).filter("kept").collect())
 
 
+def test_quality_equals_its_sql(spark, small):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{small}/documents.parquet')")
+    got = queries.op4_quality_rules(spark, small)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLES['op4_quality_rules']})").fetchall()
+    assert sorted(tuple(map(int, r)) for r in got.collect()) == sorted(tuple(map(int, r)) for r in want)
+
+
 def test_order_is_greedy_by_rejections_of_the_rest_and_measured_cost(docs, monkeypatch):
     monkeypatch.setattr(quality, "timed", lambda sample: {n: 10.0 if n == "n_words" else 1.0 for n in quality.MEASURES})
     order = quality.order_rules(docs)
