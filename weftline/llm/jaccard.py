@@ -53,7 +53,7 @@ FREQUENT, FREQUENT_MOST = 4, 1 << 17
 #: Up to so many ids (16 MB) are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Buckets of so many classes are compared by way of a pivot; in smaller ones all pairs are no more.
-PIVOT_FROM = 64
+PIVOT_FROM = 16
 
 
 def shingle_sets(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +114,8 @@ def placed_prefixes(tokens: np.ndarray, counts: np.ndarray, frequent: np.ndarray
 
 def sketches(tokens: np.ndarray, counts: np.ndarray) -> pa.Array:
     """For each row how many of its shingles fall into each of 2^j cells of the hash space, one byte
-    a cell, one shingle to one and two cells on average."""
-    bits = np.maximum(np.ceil(np.log2(np.maximum(counts, 1))), 3).astype(np.uint64)
+    a cell, one to two shingles a cell on average."""
+    bits = np.maximum(np.ceil(np.log2(np.maximum(counts, 1) / 2)), 3).astype(np.uint64)
     ends = np.cumsum(np.int64(1) << bits.astype(np.int64))
     begins = np.concatenate(([0], ends[:-1])).astype(np.int64) if len(ends) else ends
     cell = np.repeat(begins, counts) + (tokens >> np.repeat(np.uint64(64) - bits, counts)).astype(np.int64)
