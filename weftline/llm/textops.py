@@ -7,10 +7,11 @@ depend on nothing but the words, so that equal word sequences hash alike in ever
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in chunks of so many bytes, or one by one if longer.
@@ -91,6 +92,17 @@ def bounded(docs: DataFrame) -> DataFrame:
     return docs
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs that run within; the session's setting is put back."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def others(docs: DataFrame, *added: str, prefix: str = "") -> list[Column]:
     """The columns of docs but those that an operator is about to add under the same name. With a
     prefix, they are taken out of the struct that an operator keeps its rows in meanwhile, so that no
@@ -108,11 +120,13 @@ def with_text(rows: DataFrame, text: Column, docs: DataFrame, prefix: str = "")
 
 
 class Words:
-    """The words of some texts: byte ranges start..end, and first[i]..first[i + 1] those of row i."""
+    """The words of some texts: byte ranges start..end, and first[i]..first[i + 1] those of row i.
+    inside: which bytes belong to words, where that is not all but white space."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
-        inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        if inside is None:
+            inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
         before = np.zeros(len(data), bool)
         before[1:] = inside[:-1]
         after = np.zeros(len(data), bool)
