@@ -206,7 +206,7 @@ def state_tables(spark, d):
 # Policies
 
 
-STATED = ["level ∈ {low, \"mid\", high}", "size in [1, 9]", "rate float within [0.5, 2.5]", "tone: string (warm|cold)", "flag is boolean", "level in {other}"]
+STATED = ["level ∈ {low, \"mid\", high}", "size in [1, 9]", "rate float within [0.5, 2.5]", "tone: string (warm|cold)", "flag is boolean", "level in {other}", "tags must be an array of 1 to 3 items chosen from: red, 'blue' green"]
 
 
 def policies(spark, d):
@@ -218,13 +218,13 @@ def policies(spark, d):
 
 
 @query(
-    "SELECT conv_id, turn, p.param AS param, p.kind AS kind, p.v AS v FROM conversations, (VALUES ('level', 'enum', 'low,mid,high'), ('size', 'range', '1,9'), ('rate', 'range', '0.5,2.5'), ('tone', 'enum', 'warm,cold'), ('flag', 'boolean', ''), ('kind', 'enum', 'a'), ('none', NULL, NULL)) p(param, kind, v)"
+    "SELECT conv_id, turn, p.param AS param, p.kind AS kind, p.v AS v, CASE WHEN p.param = 'tags' THEN '1 to 3' ELSE '' END AS counts FROM conversations, (VALUES ('level', 'enum', 'low,mid,high'), ('size', 'range', '1,9'), ('rate', 'range', '0.5,2.5'), ('tone', 'enum', 'warm,cold'), ('flag', 'boolean', ''), ('kind', 'enum', 'a'), ('tags', 'array_choice', 'red,blue,green'), ('none', NULL, NULL)) p(param, kind, v)"
 )
 def value_domains(spark, d):
     rows = policies(spark, d)
-    wanted = rows.select("conv_id", "turn", "key", F.lit("buy").alias("tool"), F.explode(F.array(*[F.lit(p) for p in ("level", "size", "rate", "tone", "flag", "kind", "none")])).alias("param"))
+    wanted = rows.select("conv_id", "turn", "key", F.lit("buy").alias("tool"), F.explode(F.array(*[F.lit(p) for p in ("level", "size", "rate", "tone", "flag", "kind", "tags", "none")])).alias("param"))
     found = P.domain_for(P.policy_domains(rows, "key"), wanted.select("key", "tool", "param"), "key")
-    return wanted.select("conv_id", "turn", "key", "param").join(found.drop("tool"), ["key", "param"]).select("conv_id", "turn", "param", "kind", F.array_join("values", ",").alias("v"))
+    return wanted.select("conv_id", "turn", "key", "param").join(found.drop("tool"), ["key", "param"]).select("conv_id", "turn", "param", "kind", F.array_join("values", ",").alias("v"), F.concat_ws(" to ", "least", "most").alias("counts"))
 
 
 @query("SELECT conv_id, turn, true AS marked, 'buy' AS tools, length(coalesce(text, ''))::BIGINT AS n_text FROM conversations")
@@ -260,7 +260,7 @@ def last_completed_step(spark, d):
 
 @query(f"WITH {LEDGER} SELECT id, pos, name, status IN ('in_progress', 'failed') AS resumable, status = 'completed' OR pos >= 5 AS done, NOT EXISTS (SELECT 1 FROM l b WHERE b.id = l.id AND b.pos < l.pos AND b.status <> 'completed') AS ready FROM l")
 def resumable_steps(spark, d):
-    rows = L.resumable_from(ledger(spark, d).dropDuplicates(["id", "pos", "name", "status"]))
+    rows = L.resumable_from(ledger(spark, d))
     return rows.select("id", "pos", "name", L.can_resume(F.col("status")).alias("resumable"), L.is_complete(F.col("status"), F.col("pos"), F.lit(5)).alias("done"), "ready")
 
 

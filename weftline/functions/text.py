@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,6 +103,20 @@ def name_abbreviation(name: Column) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(name, F.lit("([A-Z][a-z]*)"), F.lit(1)), lambda w: F.substring(w, 1, 1)), "")
 
 
+def short_name(name: Column, most: int = 8) -> Column:
+    """The initials of a camel-case name's words in lower case; if they are more than `most`, two letters of the
+    first and the last word and the initials between, up to `most`; a name without capitals is cut."""
+
+    def of(words: Column) -> Column:
+        initials_ = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(w, 1, 1)), "")
+        ends = F.concat(F.substring(F.element_at(words, 1), 1, 2), F.substring(F.element_at(words, -1), 1, 2))
+        between = F.slice(words, 2, F.size(words) - 2)
+        long = F.concat(ends, F.substr(initials_(between), F.lit(1), F.greatest(F.lit(0), F.lit(most) - F.length(ends))))
+        return F.when(F.size(words) == 0, F.substring(name, 1, most)).when((F.size(words) > most), long).otherwise(initials_(words))
+
+    return F.lower(let(F.regexp_extract_all(name, F.lit("([A-Z][a-z]*)"), F.lit(1)), of))
+
+
 def bare_tool(name: Column) -> Column:
     """The last dotted part."""
     return F.element_at(F.split(name, r"\."), -1)
@@ -117,16 +133,25 @@ def domain_set(names: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\v\f\r"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def policy_sections(policy: Column) -> Column:
-    """(tool, content) of each marked section, in order."""
-    found = r"(?s)<!-- TOOL: (\S+) -->(.*?)<!-- TOOL_END: \1 -->"
-    return F.transform(
-        F.arrays_zip(F.regexp_extract_all(policy, F.lit(found), F.lit(1)).alias("tool"), F.regexp_extract_all(policy, F.lit(found), F.lit(2)).alias("content")),
-        lambda s: F.struct(s["tool"].alias("tool"), stripped(s["content"]).alias("content")),
-    )
+    """(tool, content) of each marked section, in order. The policy is gone through once."""
+    whole = F.regexp_extract_all(policy, F.lit(r"(?s)<!-- TOOL: (\S+) -->.*?<!-- TOOL_END: \1 -->"), F.lit(0))
+
+    def section(s: Column) -> Column:
+        tool = F.substring_index(F.substr(s, F.lit(len("<!-- TOOL: ") + 1)), " -->", 1)
+        around = F.length(tool) + len("<!-- TOOL:  -->")
+        body = F.substr(s, around + 1, F.length(s) - 2 * around - len("_END"))
+        return F.struct(tool.alias("tool"), stripped(body).alias("content"))
+
+    return F.transform(whole, section)
 
 
 def global_rules(policy: Column) -> Column:
@@ -136,12 +161,15 @@ def global_rules(policy: Column) -> Column:
 def policy_for(policy: Column, trajectory: Column) -> Column:
     """Global rules and the sections of a trajectory's tools, in its order; names match exactly
     or else in any case."""
-    sections = policy_sections(policy)
-    of_tool = lambda t: F.coalesce(
-        F.get(F.filter(sections, lambda s: s["tool"] == t), F.lit(0)), F.get(F.filter(sections, lambda s: F.lower(s["tool"]) == F.lower(t)), F.lit(0))
-    )
-    chosen = F.filter(F.transform(F.array_distinct(F.transform(trajectory, bare_tool)), of_tool), lambda s: s.isNotNull())
-    return F.array_join(F.filter(F.concat(F.array(global_rules(policy)), F.transform(chosen, lambda s: s["content"])), lambda x: x != ""), "\n\n")
+
+    def contents(sections: Column) -> Column:
+        of_tool = lambda t: F.coalesce(
+            F.get(F.filter(sections, lambda s: s["tool"] == t), F.lit(0)), F.get(F.filter(sections, lambda s: F.lower(s["tool"]) == F.lower(t)), F.lit(0))
+        )
+        chosen = F.filter(F.transform(F.array_distinct(F.transform(trajectory, bare_tool)), of_tool), lambda s: s.isNotNull())
+        return F.transform(chosen, lambda s: s["content"])
+
+    return F.array_join(F.filter(F.concat(F.array(global_rules(policy)), let(policy_sections(policy), contents)), lambda x: x != ""), "\n\n")
 
 
 def control_flags(text: Column) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.session import materialize
+
 
 def action_names(gold: DataFrame, actual: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
     """gold plus found: some actual call of the sample has the name. One call may serve many."""
@@ -26,25 +31,63 @@ def action_scores(matches: DataFrame, key: str = "id") -> DataFrame:
     return matches.groupBy(key).agg(F.count("*").alias("n_gold"), F.count_if("found").alias("n_found"), F.count_if(full).alias("n_full"), F.bool_and("found").alias("passed"))
 
 
+#: Agreeing fields are tried by sets as long as there are so few of them.
+MOST_SETS = 64
+
+
 def closest_records(left: DataFrame, right: DataFrame, group: list[str], key: str, other: str, fields: list[str]) -> DataFrame:
-    """For each left record the right record of its group with the fewest differing fields, then
-    the smallest key. Candidates meet on a shared value of some field and the group, never all
-    with all; a record that shares no value with any other of its group gets the group's smallest
-    other key, all fields differing. Keys are distinct and not null."""
-    one = left.select(*group, F.col(key), *[F.col(f).cast("string").alias(f) for f in fields])
-    two = right.select(*group, F.col(key).alias(other), *[F.col(f).cast("string").alias(f"__{f}") for f in fields])
-    shared = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in fields])).alias("on")
-    other_shared = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"__{f}").alias("v")) for f in fields])).alias("on")
-    pairs = one.select(*group, key, shared).join(two.select(*group, other, other_shared), [*group, "on"]).filter(F.col(key) != F.col(other))
-    counted = pairs.groupBy(key, other).agg((F.lit(len(fields)) - F.count("*")).alias("differing"))
-    best = counted.groupBy(key).agg(F.min(F.struct("differing", other)).alias("best"))
-    # A group's two smallest keys: one of them is another record's.
-    least = two.groupBy(*group).agg(F.min(other).alias("__first"))
-    second = two.join(least, group).filter(F.col(other) != F.col("__first")).groupBy(*group).agg(F.min(other).alias("__second"))
-    rows = one.select(*group, key).join(best, key, "left").join(least, group, "left").join(second, group, "left")
-    rest = F.when(F.col(key) != F.col("__first"), F.col("__first")).otherwise(F.col("__second"))
-    found = rows.select(key, F.coalesce(f"best.{other}", rest).alias(other), F.coalesce("best.differing", F.lit(len(fields))).alias("differing"))
-    return found.filter(F.col(other).isNotNull())
+    """key, other, differing: for each left record the right record of its group, with another key, that differs in the
+    fewest fields, of equals the smallest key. Nulls agree with nulls. Keys are distinct and not null.
+
+    Tried for 0, 1, 2 ... differing fields; a record that has found its closest takes no further part. Records that
+    differ in k fields agree in all others, and none are closer when k is tried, so for each set of the others the
+    two smallest keys of each combination of values decide: no pair is formed, however many records share a value.
+    Where there are more than MOST_SETS such sets, pigeonholes replace them: k + 1 blocks of fields, one of which
+    must agree; unlike records meet in them pair by pair."""
+    marks = lambda f: F.coalesce(F.concat(F.lit("="), F.col(f).cast("string")), F.lit("-"))
+    values = F.array(*[marks(f) for f in fields]).alias("values")
+    one = left.select(F.struct(*group).alias("of"), F.col(key).alias("key"), values)
+    two = materialize(right.select(F.struct(*group).alias("of"), F.col(key).alias("other"), values), "records")
+    pending, found = one, []
+    for k in range(len(fields) + 1):
+        sets = math.comb(len(fields), k) <= MOST_SETS
+        best = materialize((_by_sets if sets else _by_blocks)(pending, two, len(fields), k), "closest")
+        found.append(best.withColumn("differing", F.lit(k)))
+        if k < len(fields):
+            pending = materialize(pending.join(best.select("key"), "key", "left_anti"), "pending")
+            if pending.isEmpty():
+                break
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.select(F.col("key").alias(key), F.col("other").alias(other), "differing")
+
+
+def _by_sets(pending: DataFrame, right: DataFrame, n: int, k: int) -> DataFrame:
+    """key, other: the smallest other key that agrees in some n - k fields."""
+    chosen = [set(c) for c in combinations(range(n), n - k)]
+    held = F.explode(F.array(*[F.array(*[F.get("values", i) if i in c else F.lit("") for i in range(n)]) for c in chosen])).alias("held")
+    place = F.row_number().over(Window.partitionBy("of", "held").orderBy("other"))
+    least = right.select("of", "other", held).withColumn("place", place).filter("place <= 2").groupBy("of", "held").agg(F.min("other").alias("first"), F.max("other").alias("last"))
+    met = pending.select("of", "key", held).join(least, ["of", "held"])
+    other = F.when(F.col("first") != F.col("key"), F.col("first")).when(F.col("last") != F.col("key"), F.col("last"))
+    return met.groupBy("key").agg(F.min(other).alias("other")).filter(F.col("other").isNotNull())
+
+
+def _by_blocks(pending: DataFrame, right: DataFrame, n: int, k: int) -> DataFrame:
+    """key, other: the smallest other key that differs in k fields. Equal records are compared once, by their two smallest keys."""
+    blocks = [set(range(n)[i :: k + 1]) for i in range(k + 1)]
+    held = F.explode(F.array(*[F.array(*[F.get("values", i) if i in b else F.lit("") for i in range(n)]) for b in blocks])).alias("held")
+    alike = pending.select("of", F.col("values").alias("mine")).distinct().select("of", "mine", F.col("mine").alias("values")).select("of", "mine", held)
+    place = F.row_number().over(Window.partitionBy("of", "values").orderBy("other"))
+    unlike = right.withColumn("place", place).filter("place <= 2").groupBy("of", "values").agg(F.min("other").alias("first"), F.max("other").alias("last"))
+    pairs = alike.join(unlike.select("of", "values", "first", "last", held), ["of", "held"])
+    differing = F.size(F.filter(F.arrays_zip(F.col("mine").alias("a"), F.col("values").alias("b")), lambda x: x["a"] != x["b"]))
+    near = pairs.filter((differing <= k) & (F.col("mine") != F.col("values"))).select("of", "mine", F.explode(F.array("first", "last")).alias("other")).distinct()
+    place = F.row_number().over(Window.partitionBy("of", "mine").orderBy("other"))
+    least = near.withColumn("place", place).filter("place <= 2").groupBy("of", F.col("mine").alias("values")).agg(F.min("other").alias("first"), F.max("other").alias("last"))
+    other = F.when(F.col("first") != F.col("key"), F.col("first")).when(F.col("last") != F.col("key"), F.col("last"))
+    return pending.join(least, ["of", "values"]).select("key", other.alias("other")).filter(F.col("other").isNotNull())
 
 
 def subset_join(small: DataFrame, large: DataFrame, key: str, other: str, member: str) -> DataFrame:

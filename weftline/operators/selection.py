@@ -159,13 +159,25 @@ def met_by_constraint(rows: DataFrame, pool: DataFrame, on: list[str], key: str,
 
 
 def without_overlap(rows: DataFrame, taken: DataFrame, on: list[str], start: str, end: str, bucket: float) -> DataFrame:
-    """rows whose interval meets none of `taken` of the same key. Intervals meet in the buckets of time that
-    they touch, which are few while an interval isn't much longer than a bucket."""
-    touch = lambda df: df.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor(F.col(end) / bucket))))
-    held = touch(taken.select(*on, start, end)).select(*on, "bucket", F.col(start).alias("from_"), F.col(end).alias("to_"))
-    mine = touch(rows.withColumn("row_id", F.monotonically_increasing_id()))
-    hit = mine.join(held, [*on, "bucket"]).filter((F.col(start) < F.col("to_")) & (F.col("from_") < F.col(end)))
-    return mine.join(hit.select("row_id").distinct(), "row_id", "left_anti").drop("bucket").dropDuplicates(["row_id"]).drop("row_id")
+    """rows whose interval meets none of `taken` of the same key. An interval meets a taken one if, of those that
+    begin before it ends, the one that reaches furthest ends after it begins: a running maximum over the starts,
+    within stretches of time of length `bucket` first and then over these, so that a hot key is several groups.
+    Null intervals and null keys meet nothing."""
+    mine = rows.select(*on, F.col(end).cast("double").alias("x"), F.lit(None).cast("double").alias("reach"), F.lit(0).alias("late"), F.col(start).cast("double").alias("from_"), F.struct("*").alias("row"))
+    held = taken.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    for c in on:
+        held = held.filter(F.col(c).isNotNull())
+    held = held.select(*on, F.col(start).cast("double").alias("x"), F.col(end).cast("double").alias("reach"), F.lit(1).alias("late"))
+    points = mine.unionByName(held, allowMissingColumns=True).withColumn("stretch", F.floor(F.col("x") / bucket))
+    within = Window.partitionBy(*on, "stretch").orderBy("x", "late").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*on).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = points.groupBy(*on, "stretch").agg(F.max("reach").alias("reach")).select(*[F.col(c).alias(f"__{c}") for c in on], F.col("stretch").alias("__stretch"), F.max("reach").over(before).alias("earlier"))
+    here = points.withColumn("reach", F.max("reach").over(within)).filter("late = 0")
+    same = F.col("stretch").eqNullSafe(F.col("__stretch"))
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    meets = F.coalesce(F.greatest("reach", "earlier") > F.col("from_"), F.lit(False))
+    return here.join(stretches, same, "left").filter(~meets).select("row.*")
 
 
 def merged_dependencies(explicit: Column, implicit: Column) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.text import is_placeholder
+from weftline.functions.text import UUID, is_placeholder
+
+# Fixed values.
+CREATION_DATES = ("opening_date", "registration_date", "creation_date")
 
 
 def changes(initial: DataFrame, final: DataFrame, key: list[str], digest: str = "digest") -> DataFrame:
@@ -45,14 +48,13 @@ def is_dynamic(field: Column, value: Column, entity_ids: list[str], timestamps:
     """Fields that a comparison leaves out: marked ones, free text, ids of no entity, timestamps,
     numeric texts in *number* fields, dates of creation."""
     low = F.lower(field)
-    born = F.lit(False)
-    for x in ("opening_date", "registration_date", "creation_date"):
-        born = born | F.contains(low, F.lit(x))
-    return (
-        F.when(field.isin(*ignored), True)
-        .when(field.isin(*free_text) & ~F.lower(value).rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), True)
-        .when(F.endswith(low, F.lit("_id")) & ~low.isin(*entity_ids), True)
-        .when(low.isin(*timestamps), True)
-        .when(F.contains(low, F.lit("number")) & value.rlike("^[0-9]+$"), True)
-        .otherwise(born)
-    )
+    uuid = F.lower(value).rlike(f"^{UUID}$")
+    left_out = [
+        F.contains(low, F.lit("number")) & value.rlike("^[0-9]+$"),
+        low.isin(*timestamps),
+        F.endswith(low, F.lit("_id")) & ~low.isin(*entity_ids),
+        field.isin(*free_text) & ~uuid,
+        field.isin(*ignored),
+        *[F.contains(low, F.lit(x)) for x in CREATION_DATES],
+    ]
+    return F.exists(F.array(*left_out), lambda x: F.coalesce(x, F.lit(False)))

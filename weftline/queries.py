@@ -571,3 +571,4 @@ def latest_and_chunks(spark, d):
 
 
 from weftline import evaluation_queries  # noqa: E402, F401  registers its queries here
+from weftline import structure_queries  # noqa: E402, F401  registers its queries here
