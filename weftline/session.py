@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -64,14 +65,18 @@ def scratch(spark: SparkSession) -> str:
 
 
 _SCRATCH: set[str] = set()
-_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
+#: The tables of each scope that is open, from the outermost on.
+_MADE: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
+#: After a table of so many bytes the shuffle files behind it are let go.
+LARGE = 32_000_000
 
 
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables that are materialized within, but for those to keep, are deleted at the end."""
+    """Tables that are materialized within, but for those to keep, are deleted at the end. What a scope within
+    another keeps belongs to the outer one."""
     made: list[str] = []
-    token = _MADE.set(made)
+    token = _MADE.set((*_MADE.get(), made))
     try:
         yield
     finally:
@@ -86,8 +91,20 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     the rows survive the loss of any executor."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    made = _MADE.get()
-    if made is not None and not keep:
-        made.append(path)
+    scopes = _MADE.get()[:-1] if keep else _MADE.get()
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength() >= LARGE:
+        del df
+        release(spark)
+    return table
+
+
+def release(spark: SparkSession) -> None:
+    """Spark keeps shuffle files until the driver collects the objects that stand for them, which a driver with memory
+    to spare may not do for long, while the executors' disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
