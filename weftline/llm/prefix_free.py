@@ -211,17 +211,17 @@ def dictionary_texts(own: DataFrame, marks: DataFrame, window: int) -> DataFrame
                         parts.append((i, lo, raw[lo : min(lo + SORT_BYTES, p + n) + window - 1]))
                         size += len(parts[-1][2])
                         if size >= SORT_BYTES:
-                            yield windows(batch, parts, known)
+                            yield from windows(batch, parts, known)
                             parts, size = [], 0
             if parts:
-                yield windows(batch, parts, known)
+                yield from windows(batch, parts, known)
             if row:
                 of = pa.array(row)
                 lists = pa.ListArray.from_arrays(np.arange(len(row) + 1, dtype=np.int32), np.array(place))
                 yield pa.RecordBatch.from_arrays([pa.array(trigger), batch.column(0).take(of), batch.column(1).take(of), lists, pa.array(contents, pa.binary())], names)
 
-    def windows(batch: pa.RecordBatch, parts: list[tuple[int, int, np.ndarray]], known: Known) -> pa.RecordBatch:
-        """A row for each distinct window of each document."""
+    def windows(batch: pa.RecordBatch, parts: list[tuple[int, int, np.ndarray]], known: Known) -> Iterator[pa.RecordBatch]:
+        """A row for each distinct window of each document that is not settled, and one for each document's settled ones."""
         data = np.concatenate([part for _, _, part in parts])
         offsets = np.concatenate(([0], np.cumsum([len(part) for _, _, part in parts])))
         start = whole_windows(offsets, window)
@@ -234,9 +234,24 @@ def dictionary_texts(own: DataFrame, marks: DataFrame, window: int) -> DataFrame
         of = pa.array(row[begin])
         ids, subs = batch.column(0).take(of), batch.column(1).take(of)
         gone = known.settled(hashes[begin], numbers(ids), numbers(subs), place[begin])
-        lists = pa.ListArray.from_arrays(np.append(begin, len(order)).astype(np.int32), place << 32 | 1)
-        contents = pa.array([None if g else data[i : i + window].tobytes() for i, g in zip(start[begin].tolist(), gone.tolist())], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(signed(hashes[begin]), mask=gone), ids, subs, lists, contents], names)
+        many = np.diff(np.append(begin, len(order)))
+        settled, rest = np.repeat(gone, many), pa.array(np.flatnonzero(~gone))
+        if settled.any():
+            of_row, at = row[settled], place[settled]
+            back = np.lexsort((at, of_row))
+            of_row, at = of_row[back], at[back]
+            new = np.ones(len(at), bool)
+            new[1:] = (of_row[1:] != of_row[:-1]) | (at[1:] != at[:-1] + 1)
+            first = np.flatnonzero(new)
+            of_row, at = of_row[first], at[first] << 32 | np.diff(np.append(first, len(at)))
+            docs = np.flatnonzero(np.concatenate(([True], of_row[1:] != of_row[:-1])))
+            lists = pa.ListArray.from_arrays(np.append(docs, len(at)).astype(np.int32), at)
+            of = pa.array(of_row[docs])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(docs), pa.int64()), batch.column(0).take(of), batch.column(1).take(of), lists, pa.nulls(len(docs), pa.binary())], names)
+        if len(rest):
+            lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(many[~gone]))).astype(np.int32), place[~settled] << 32 | 1)
+            contents = pa.array([data[i : i + window].tobytes() for i in start[begin][~gone].tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[begin][~gone])), ids.take(rest), subs.take(rest), lists, contents], names)
 
     texts = own.alias("d").join(places.alias("p"), same_row("d", "p")).select("d.doc_id", "d.sub", "d.text", "p.places")
     return texts.mapInArrow(run, SUFFIX)
