@@ -3,8 +3,9 @@
 The patterns find the base spans. The CRF is trained on the driver from a small labelled table
 (`labelled_examples`, or one of the caller's) and adds what patterns can't state: secrets, names,
 street addresses, numbers of documents, national phone numbers, addresses with (at) or [dot]. Its
-features are a word's shape, its pattern of character classes, its first and last three bytes,
-the word itself, and the shapes and words beside it; values that the labelled table has fewer than
+features are a word's cues (a salutation before it, a street word near it, a number or the same word beside
+it), its shape, its pattern of character classes, its first and last three bytes, the word itself, and the
+shapes and words beside it. A name without a salutation and an address without a street word are held back. Values that the labelled table has fewer than
 LEAST times are one unknown value. Words whose score for "other" exceeds every other label's by more
 than the transitions can ever make good must be "other" on the best path, so Viterbi runs, in
 numpy batches, just over the stretches between them, with the same result.
@@ -21,9 +22,11 @@ one; an empty table gives an empty table; other columns pass through, those name
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -116,16 +119,23 @@ _LETTER = (_CLASS == 1) | (_CLASS == 2)
 #: Values that the labelled table has less often count as unknown.
 LEAST = 4
 #: What a word's score for another label must exceed the one for "other" by: rather missed than wrongly found.
-CAUTION = 1.5
+CAUTION = 0.5
 KNOWN = ("word", "head", "tail", "pattern")
+#: Words that come before a name, and words and ends of words in an address.
+SALUTATIONS = ("mr", "mrs", "ms", "dr", "dear", "herr", "frau", "señor", "señora", "madame", "monsieur", "prof")
+STREETS, STREET_ENDS = ("street", "road", "avenue", "lane", "drive", "rue", "calle"), ("straße", "strasse")
+#: Bits of the cue feature: a salutation one or two words before, a street word at most two words off, a number beside, the same word beside.
+SALUTED, STREET, NUMBERED, REPEATED = 1, 2, 4, 8
+#: What a name without a salutation and an address without a street word are held back by.
+UNCUED = 12.0
 #: (feature, how many words before this one)
-SLOTS = (("shape", 0), ("word", 0), ("head", 0), ("tail", 0), ("pattern", 0), ("runs", 0), ("shape", 1), ("pattern", 1), ("word", 1), ("word", 2), ("shape", -1), ("word", -1))
+SLOTS = (("cue", 0), ("shape", 0), ("word", 0), ("head", 0), ("tail", 0), ("pattern", 0), ("runs", 0), ("shape", 1), ("pattern", 1), ("word", 1), ("word", 2), ("shape", -1), ("word", -1))
 
 
-def described(words: Words) -> dict[str, np.ndarray]:
-    """The features of every word; those of KNOWN are 64-bit hashes."""
+def described(words: Words, cued: bool = True) -> dict[str, np.ndarray]:
+    """The features of every word; those of KNOWN are 64-bit hashes. Cues can be left out."""
     if not len(words):
-        return {n: np.zeros(0, np.uint64 if n in KNOWN else np.int64) for n in ("shape", "runs", *KNOWN)}
+        return {n: np.zeros(0, np.uint64 if n in KNOWN else np.int64) for n in ("cue", "shape", "runs", *KNOWN)}
     data, inside = words.data[words.start[0] :], words._inside[words.start[0] :]
     at, lengths = words.start - words.start[0], words.end - words.start
     kinds = np.where(inside, _CLASS[data], 0)
@@ -141,21 +151,42 @@ def described(words: Words) -> dict[str, np.ndarray]:
     summed = lambda x, use: mix(np.add.reduceat(np.where(use, x, np.uint64(0)), first))
     back = np.repeat(lengths, lengths) - 1 - place
     run = _RUN[raw]
+    large = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97))  # capital letters of two bytes
+    run[large] = run[large + 1] = ord("A")
     change = np.ones(len(raw), bool)
     change[1:] = run[1:] != run[:-1]
     change[first] = True
     before = np.cumsum(change)
     rank = before - np.repeat(before[first], lengths)
+    word, tail = summed(value, _LETTER[raw]), summed(low * powers(3)[np.minimum(back, 2)], back < 3)
     return {
+        "cue": cues(words, word, tail, classes == 2) if cued else shape,
         "shape": shape,
         "runs": np.minimum(np.add.reduceat(change.astype(np.int64), first), 15),
-        "word": summed(value, _LETTER[raw]),
+        "word": word,
         "head": summed(value, place < 3),
-        "tail": summed(low * powers(3)[np.minimum(back, 2)], back < 3),
+        "tail": tail,
         "pattern": summed(byte_values(run) * powers(int(rank.max()) + 1)[rank], change),
     }
 
 
+@lru_cache(maxsize=1)
+def cue_words() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of salutations, of street words and of the ends of these."""
+    hashed = lambda texts, what: described(Words(*text_buffers(pa.array([" ".join(texts)]))), cued=False)[what]
+    return hashed(SALUTATIONS, "word"), hashed(STREETS, "word"), hashed(STREET_ENDS, "tail")
+
+
+def cues(words: Words, word: np.ndarray, tail: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """For each word which of the cues it has."""
+    greets, streets, ends = cue_words()
+    at = lambda x, *places: np.logical_or.reduce([shifted(x, words.first, by, False) for by in places])
+    saluted = at(np.isin(word, greets), 1, 2)
+    street = at(np.isin(word, streets) | np.isin(tail, ends), -2, -1, 0, 1, 2)
+    same = (shifted(word, words.first, 1, 0) == word) | (shifted(word, words.first, -1, 0) == word)
+    return saluted * SALUTED + street * STREET + at(number, -1, 1) * NUMBERED + same * REPEATED
+
+
 def shifted(x: np.ndarray, first: np.ndarray, by: int, outside: int) -> np.ndarray:
     """The value of the word `by` places before (after, if negative) in the same row."""
     if not by:
@@ -233,7 +264,7 @@ def labelled_examples(n: int = 2000, seed: int = 11) -> list[tuple[str, list[Spa
             digits(int(rng.integers(1, 6))), f"{digits(2)}.{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"({word()})", f"{word(2, 5)}-{word(2, 5)}/{digits(2)}",
             f"version {digits(1)}.{digits(1)}.", f"Licensed under the {word(4, 8).capitalize()} License, Version 2.0.", f"under CC BY-NC {digits(1)}.0.", f"https://{word(3, 7)}.org/{word(2, 6)}", f"{digits(2)}:{digits(2)}", f"${digits(2)}.{digits(2)}",
             f"the token {prose()}", f"a password {prose()}", f"Dear {word(3, 8)}", f"the street {prose()}", f"({digits(3)})", f"{word(2, 5).upper()}-{digits(4)}", f"{prose()} | {prose()} |", f"{word()} = {word()}", f'"{word()}"', f"{word(3, 8).capitalize()} {word(3, 8).capitalize()}", f"in {digits(4)}",
-            " ".join([word(2, 9).capitalize()] * int(rng.integers(2, 14))), f"{digits(2)} {word(3, 8).capitalize()}", f"{word(2, 6)} {word(2, 3)}. {word(3, 8).capitalize()} {word()}", f"{word(1, 3).capitalize()}. {word(3, 9).capitalize()}", f"{word(3, 7)}.{word(1, 4).capitalize()}. {prose()}",
+            " ".join([word(2, 9).capitalize() + pick(["", "", ".", ","])] * int(rng.integers(2, 14))), f"Dear {word(2, 5)} {word(3, 8)}", f"{digits(2)} {word(4, 8).capitalize()} {word(4, 8).capitalize()}", f"{digits(2)} {word(3, 8).capitalize()}", f"{word(2, 6)} {word(2, 3)}. {word(3, 8).capitalize()} {word()}", f"{word(1, 3).capitalize()}. {word(3, 9).capitalize()}", f"{word(3, 7)}.{word(1, 4).capitalize()}. {prose()}",
         ])
 
     made = {"email": email, "phone": phone, "card": card, "ip": ip, "secret": secret, "name": name, "address": address, "id": identity}
@@ -302,7 +333,7 @@ def train(examples: list[tuple[str, list[Span]]], rounds: int = 100, rate: float
         values, times = np.unique(found[name], return_counts=True)
         known[name] = values[times >= LEAST]
     k = len(LABELS)
-    size = {"shape": N_SHAPES, "runs": 16} | {name: len(v) + 1 for name, v in known.items()}
+    size = {"cue": 16, "shape": N_SHAPES, "runs": 16} | {name: len(v) + 1 for name, v in known.items()}
     model = Crf(known, [np.zeros((size[name] + 1, k), np.float32) for name, _ in SLOTS], np.zeros((k, k), np.float32))
     slots = model.ids(words)
     n, longest = len(examples), int(words.counts().max())
@@ -341,9 +372,13 @@ def train(examples: list[tuple[str, list[Span]]], rounds: int = 100, rate: float
         for j, (p, g) in enumerate(zip(params, grads)):
             m[j], v[j] = 0.9 * m[j] + 0.1 * g, 0.999 * v[j] + 0.001 * g * g
             p += (rate * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    model.weights[0][:, 0] += CAUTION
+    cue, shape = (model.weights[SLOTS.index((name, 0))] for name in ("cue", "shape"))
+    have = np.arange(len(cue))
+    cue[have & SALUTED == 0, ORDER["name"]] -= UNCUED
+    cue[have & STREET == 0, ORDER["address"]] -= UNCUED
+    shape[:, 0] += CAUTION
     # A shape never seen in training is "other": nothing speaks for personal data.
-    model.weights[0][~np.isin(np.arange(N_SHAPES + 1), slots[0])] = np.where(np.arange(k) == 0, 12.0, 0.0)
+    shape[~np.isin(np.arange(N_SHAPES + 1), slots[SLOTS.index(("shape", 0))])] = np.where(np.arange(k) == 0, 12.0, 0.0)
     return model
 
 
@@ -417,8 +452,10 @@ def code_points(words: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def crf_spans(text: str, starts: np.ndarray, ends: np.ndarray, labels: np.ndarray, taken: list[Span]) -> list[Span]:
-    """Runs of one label as spans (code points), trimmed; those that overlap `taken` or fail their checksum fall away."""
+    """Runs of one label as spans (code points), trimmed; those that overlap `taken` (by start) or fail their checksum fall away."""
     out = []
+    begins = [x for _, x, _ in taken]
+    reach = list(accumulate((y for _, _, y in taken), max))  # how far the spans up to each go
     change = np.flatnonzero(np.diff(labels, prepend=-1))
     for i, j in zip(change.tolist(), [*change[1:].tolist(), len(labels)]):
         if not labels[i]:
@@ -429,7 +466,8 @@ def crf_spans(text: str, starts: np.ndarray, ends: np.ndarray, labels: np.ndarra
         while a < b and text[b - 1] in EDGE:
             b -= 1
         kind = LABELS[labels[i]]
-        if a < b and passes(kind, text[a:b]) and not any(a < y and x < b for _, x, y in taken):
+        before = bisect_left(begins, b)
+        if a < b and passes(kind, text[a:b]) and not (before and reach[before - 1] > a):
             out.append((kind, a, b))
     return out
 
