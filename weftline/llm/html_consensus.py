@@ -30,9 +30,11 @@ from weftline.llm.textops import bounded, others
 from weftline.session import materialize
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 STOP = re.compile("[\"'>]")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose content is no text of the page's. Only scripts and styles take all that follows if nothing ends them.
+CODE = frozenset(("script", "style"))
 RAW = frozenset("script style noscript template textarea iframe svg math select object".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -40,14 +42,19 @@ BLOCKS = frozenset(
 CONTAINERS = frozenset("article body div main section td".split())
 #: Weights of containers by their tag.
 PRIOR = {"article": 1.5, "main": 1.25}
-ASIDE_TAGS = frozenset("aside button dialog fieldset footer form head menu nav title".split())
+ASIDE_TAGS = frozenset("aside button footer head menu nav title".split())
+#: These are asides, by tag or name, up to MOST of the page's prose; one that holds more is what the page is about, as a form
+#: around a whole page.
+SHARED_TAGS = frozenset("dialog fieldset form".split())
+SHARED_NAMES = frozenset("dialog form modal search widget".split())
+MOST = 0.5
 #: Never asides by name, whatever their classes tell of the page's layout or the article's topic.
 NEVER_ASIDE = frozenset("html body main article".split())
 #: An element whose names just begin or end with an aside's is one up to this share of the page's prose.
 MINOR = 0.2
 #: Names of what isn't the article, in class, id or role.
 ASIDE_NAMES = frozenset(
-    "ad ads advert advertisement adverts alert author-box banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert advertisement adverts alert author-box banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu nav navbar navigation newsletter notice pager pagination popup promo related share sharing sidebar signup social sponsor sponsored subscribe toolbar".split()
 )
 HEADER_NAMES = frozenset(("header", "topbar"))
 #: An opening tag ends an open element of these before it.
@@ -56,7 +63,7 @@ CLOSES_P = BLOCKS - {"html", "head", "body", "title", "tr", "td", "th", "tbody",
 SCOPE = frozenset("html body div article section main td th table ul ol dl blockquote aside nav form footer header".split())
 
 
-RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+RAW_END = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 
 
 def step_of(tag: str, names: str) -> str:
@@ -79,22 +86,24 @@ def path_of(readable: str) -> str:
     return f"{tag}@{key:016x}"
 
 
-def is_aside(tag: str, names: str, within_article: bool) -> bool | None:
-    """By the tag or a whole name; None if a name just begins or ends with one, so that it depends
-    on the element's share of the page's prose."""
+def is_aside(tag: str, names: str, within_article: bool) -> float:
+    """Up to which share of the page's prose the element is an aside: 1 by its tag or a whole name, MOST for what may hold
+    a whole page as well, MINOR if a name just begins or ends with an aside's, 0 for all others."""
     if tag in ASIDE_TAGS or tag == "header" and not within_article:
-        return True
-    if not names or tag in NEVER_ASIDE:
-        return False
+        return 1.0
+    if tag in NEVER_ASIDE:
+        return 0.0
     known = ASIDE_NAMES if within_article else ASIDE_NAMES | HEADER_NAMES
     whole = names.lower().split()
     if not known.isdisjoint(whole):
-        return True
+        return 1.0
+    if tag in SHARED_TAGS or not SHARED_NAMES.isdisjoint(whole):
+        return MOST
     for name in whole:
         parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
-        if parts and (parts[0] in known or parts[-1] in known):
-            return None
-    return False
+        if parts and not (known | SHARED_NAMES).isdisjoint((parts[0], parts[-1])):
+            return MINOR
+    return 0.0
 
 
 @dataclass
@@ -105,7 +114,7 @@ class Page:
     tag: list[str] = field(default_factory=lambda: [""])
     parent: list[int] = field(default_factory=lambda: [0])
     key: list[int] = field(default_factory=lambda: [0])
-    aside: list[bool | None] = field(default_factory=lambda: [False])
+    aside: list[float] = field(default_factory=lambda: [0.0])
     blocks: list[tuple[int, list[tuple[int, str]], int]] = field(default_factory=list)
     texts: list[tuple[int, str, float]] = field(default_factory=list)
 
@@ -116,16 +125,16 @@ class Page:
         """Decides the elements that are asides if they hold little, then joins the texts of what isn't one:
         (innermost element, text, prose in it)."""
         held = [0.0] * len(self.tag)
-        if None in self.aside:
+        if any(0 < share < 1 for share in self.aside):
             for owner, parts, linked in self.blocks:
                 held[owner] += max(0.0, sum(len(t) for _, t in parts) - 2.0 * linked)
             for i in range(len(held) - 1, 0, -1):
                 held[self.parent[i]] += held[i]
         for i in range(1, len(self.tag)):
             if self.aside[self.parent[i]]:
-                self.aside[i] = True
-            elif self.aside[i] is None:
-                self.aside[i] = held[i] <= MINOR * held[0]
+                self.aside[i] = 1.0
+            elif 0 < self.aside[i] < 1:
+                self.aside[i] = float(held[i] <= self.aside[i] * held[0])
         for owner, parts, linked in self.blocks:
             if not self.aside[owner]:
                 text = " ".join(unescape("".join(t for i, t in parts if not self.aside[i])).split())
@@ -193,6 +202,7 @@ def parse(html: str) -> Page:
     links = 0
     last = {q: html.rfind(q) for q in "\"'"}
     quoted = True  # until a tag has no end outside of quotes
+    endless: set[str] = set()  # raw elements that nothing ends from here on
 
     def flush() -> None:
         nonlocal links, parts
@@ -202,7 +212,7 @@ def parse(html: str) -> Page:
 
     def text(raw: str) -> None:
         nonlocal links
-        if raw and page.aside[stack[-1]] is not True:
+        if raw and page.aside[stack[-1]] < 1:
             parts.append((stack[-1], raw))
             if any(page.tag[i] == "a" for i in stack[-3:]):
                 links += len(raw)
@@ -270,15 +280,24 @@ def parse(html: str) -> Page:
                 pop_to(depth)
         if tag in VOID:
             continue
+        empty = inside.rstrip().endswith("/")
         if tag in RAW:
-            close = RAW_END[tag].search(html, at)
-            at = close.end() if close else size
+            if empty and tag not in CODE:
+                continue
+            close = None if tag in endless else RAW_END[tag].search(html, at)
+            end = html.find(">", close.end()) if close else -1
+            if end >= 0:
+                at = end + 1
+            elif tag in CODE and not empty:
+                at = size
+            else:
+                endless.add(tag)
             continue
-        if inside.rstrip().endswith("/") and tag not in BLOCKS:
+        if empty and tag not in BLOCKS:
             continue
         names = " ".join(a or b or c for a, b, c in NAMED.findall(inside)) if inside else ""
         up = stack[-1]
-        aside = True if page.aside[up] else is_aside(tag, names, within[-1])
+        aside = 1.0 if page.aside[up] == 1 else is_aside(tag, names, within[-1])
         page.tag.append(tag)
         page.parent.append(up)
         page.key.append(deeper(page.key[up], step_of(tag, names)) if tag in BLOCKS else page.key[up])
