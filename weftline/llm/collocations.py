@@ -3,19 +3,19 @@
 Three passes over the texts, per language:
 
 1. Each task counts its words and pairs of words into a count-min sketch: DEPTH rows of saturating one-byte counters.
-   The sketches are merged cell by cell, in two rounds so that no task gets a cell of all tasks. A merged counter
-   is never below the true count, so what stays below `least` in any row is rare for certain. Of the merged sketch
-   a bit for each cell is left: whether it reached `least`.
+   It sends the cells that it has counted in, and the sketches are merged cell by cell, in two rounds so that no task
+   gets a cell of all tasks. A merged counter is never below the true count, so what stays below `least` in any row is
+   rare for certain. Of the merged sketch a bit for each cell is left: whether it reached `least`.
 2. The same for runs of three and four words, but only those whose pairs all survived: a run is no more frequent
-   than its pairs.
+   than its pairs. This pass also marks the words of surviving pairs, as no other word is part of a phrase.
 3. The survivors alone are counted exactly, by their text, and those below `least` go. So nothing frequent is lost,
    and nothing that only shares its cells with others stays.
 
 Then each phrase is scored by its weakest cut, and phrases that live mostly inside a longer one are subsumed.
 
-The bits of both sketches are broadcast: DEPTH * width / 8 bytes each, and width is MAX_WIDTH at most. The width follows
-the bytes of the texts up to there; a corpus that fills the widest sketch with counts of `least` has more
-survivors, whose exact counts then take more of the work; the result stays the same.
+The bits of both sketches are broadcast: (DEPTH + 1) * WIDTH / 8 bytes each, whatever the corpus. A corpus that fills
+the sketch with counts of `least` has more survivors, whose exact counts then take more of the work, and calls for a
+wider one; the result stays the same.
 
 Defined results: null text is empty and has no words; a null language counts as `und`; very long texts are taken in
 one piece of work each; ties end by phrase in byte order; repeated rows count each; an empty table gives an
@@ -26,11 +26,13 @@ hashes, between tasks by their text.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +40,12 @@ from weftline.llm.textops import Words, lower_ascii, mix, small_batches, text_bu
 from weftline.session import materialize, temporary
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-DEPTH, MIN_WIDTH, MAX_WIDTH = 2, 1 << 16, 1 << 26
+DEPTH, WIDTH = 3, 1 << 24
 #: Counters are merged by slices of so many cells, after a first merge within each of so many groups of tasks.
-SLICE, GROUPS = 1 << 16, 16
-#: A task sends its exact counts on when it holds so many phrases.
-HELD = 1 << 19
+SLICE, GROUPS = 1 << 16, 4
+#: A task sends its exact counts on when it holds so many phrases, as lists by this many buckets of hashes; where
+#: buckets meet, lists are added up whenever they hold so many phrases.
+HELD, BUCKETS = 1 << 19, 1 << 10
 SUBSUMED, SCALE = 80, 2_000_000
 
 _ENDS = np.zeros(256, bool)
@@ -86,7 +89,8 @@ def cells(hashes: np.ndarray, width: int) -> Iterator[np.ndarray]:
 
 @dataclass(frozen=True)
 class Survivors:
-    """For each row of a sketch one bit a cell: whether its merged counter reached the least count."""
+    """For each row of a sketch one bit a cell: whether its merged counter reached the least count. The row after the last
+    has the marked words."""
 
     width: int
     bits: list[np.ndarray]
@@ -94,20 +98,32 @@ class Survivors:
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         alive = np.ones(len(hashes), bool)
         for bits, cell in zip(self.bits, cells(hashes, self.width)):
-            alive &= (bits[cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8)) & np.uint8(1) == 1
+            alive &= is_set(bits, cell)
         return alive
 
+    def marked(self, hashes: np.ndarray) -> np.ndarray:
+        return is_set(self.bits[DEPTH], next(cells(hashes, self.width)))
 
-def surviving(pieces: Pieces, upto: int, pairs: Survivors | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """k, first words and hashes of the runs of 1 or 2 words, or of 3 words and more whose pairs all survived."""
-    if pairs is None:
+
+def is_set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bits[cell >> np.uint32(3)] >> (cell & np.uint32(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def good_pairs(pieces: Pieces, pairs: Survivors) -> np.ndarray:
+    """For each word whether it and the next are a surviving pair."""
+    first, hashes = pieces.runs(2)
+    good = np.zeros(len(pieces.hashes), bool)
+    good[first[pairs(hashes)]] = True
+    return good
+
+
+def surviving(pieces: Pieces, upto: int, good: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """k, first words and hashes of the runs of 1 or 2 words, or of 3 words and more whose pairs are all good."""
+    if good is None:
         for k in (1, 2):
             yield k, *pieces.runs(k)
         return
-    first, hashes = pieces.runs(2)
-    good = np.zeros(len(pieces.hashes) + 1, np.int64)
-    good[first[pairs(hashes)] + 1] = 1
-    good = np.cumsum(good)
+    good = np.concatenate(([0], np.cumsum(good)))
     for k in range(3, upto + 1):
         first, hashes = pieces.runs(k)
         alive = good[first + k - 1] - good[first] == k - 1
@@ -121,87 +137,83 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
             yield Pieces(langs.slice(lo, hi - lo), texts.slice(lo, hi - lo))
 
 
-def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sums of one-byte counters, which stop at 255."""
-    return np.where(a > 255 - b, 255, a + b).astype(np.uint8)
+PART = "row int, slice int, cells binary, counts binary"
+PART_NAMES = [x.split()[0] for x in PART.split(", ")]
+
+
+def parts(row: int, at: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The cells of a slice that hold anything, and their counts."""
+    cell = np.flatnonzero(counts)
+    if len(cell):
+        yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([at], pa.int32()), pa.array([cell.astype(np.uint16).tobytes()]), pa.array([counts[cell].tobytes()])], PART_NAMES)
 
 
 def sketch(own: DataFrame, width: int, least: int, upto: int, pairs: Survivors | None) -> Survivors:
-    """The survivors of a merged sketch of all runs of 1 and 2 words, or of longer ones given the pairs."""
+    """The survivors of a merged sketch of all runs of 1 and 2 words, or of longer ones given the pairs; then the words of
+    surviving pairs are marked as well."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.zeros(width, np.uint8) for _ in range(DEPTH)]
+        rows = [np.zeros(width, np.uint8) for _ in range(DEPTH + 1)]
         for pieces in chunks(batches):
-            for _, _, hashes in surviving(pieces, upto, pairs):
+            good = None if pairs is None else good_pairs(pieces, pairs)
+            for _, _, hashes in surviving(pieces, upto, good):
                 for row, cell in zip(rows, cells(hashes, width)):
                     found, n = np.unique(cell, return_counts=True)
                     row[found] = np.minimum(row[found] + n, 255)
+            if good is not None:
+                of = good.copy()
+                of[1:] |= good[:-1]
+                first, hashes = pieces.runs(1)
+                rows[DEPTH][next(cells(hashes[of[first]], width))] = 255
         for i, row in enumerate(rows):
             for at in range(0, width, SLICE):
-                part = row[at : at + SLICE]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at // SLICE], pa.int32()), pa.array([part.tobytes()])], ["row", "slice", "counts"])
+                yield from parts(i, at // SLICE, row[at : at + SLICE])
 
-    def merge(final: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by row and slice: adds up what they count, one slice at a time."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, total = None, None
-
-            def done() -> pa.RecordBatch:
-                out = np.packbits(total >= least, bitorder="little") if final else total
-                return pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in at] + [pa.array([out.tobytes()])], ["row", "slice", "counts"])
-
-            for batch in batches:
-                for row, part, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                    counts = np.frombuffer(counts, np.uint8)
-                    if at == (row, part):
-                        total = merged(total, counts)
-                    else:
-                        if at is not None:
-                            yield done()
-                        at, total = (row, part), counts
-            if at is not None:
-                yield done()
-
-        return run
-
-    schema = "row int, slice int, counts binary"
-    parts = own.mapInArrow(count, schema).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
-    some = parts.repartition("row", "slice", "group").sortWithinPartitions("row", "slice").mapInArrow(_bare(merge(False)), schema)
-    bits = [np.zeros(max(width // 8, 1), np.uint8) for _ in range(DEPTH)]
-    # One bit a cell comes to the driver: DEPTH * width / 8 bytes, whatever the corpus.
-    for found in some.repartition("row", "slice").sortWithinPartitions("row", "slice").mapInArrow(merge(True), schema).collect():
-        part = np.frombuffer(found["counts"], np.uint8)
-        bits[found["row"]][found["slice"] * SLICE // 8 :][: len(part)] = part
+        at, total = None, np.zeros(SLICE, np.uint8)
+        for batch in batches:
+            for row, part, cell, counts in zip(*(batch.column(name).to_pylist() for name in PART_NAMES)):
+                if at != (row, part):
+                    if at is not None:
+                        yield from parts(*at, total)
+                    at, total = (row, part), np.zeros(SLICE, np.uint8)
+                cell = np.frombuffer(cell, np.uint16)
+                total[cell] = np.minimum(total[cell] + np.frombuffer(counts, np.uint8).astype(np.uint16), 255)
+        if at is not None:
+            yield from parts(*at, total)
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in merge(batches):
+            row, at = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+            cell, counts = np.frombuffer(batch.column(2)[0].as_py(), np.uint16), np.frombuffer(batch.column(3)[0].as_py(), np.uint8)
+            on = np.zeros(SLICE, bool)
+            on[cell[counts >= least]] = True
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([at], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()])], ["row", "slice", "bits"])
+
+    made = own.mapInArrow(count, PART).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    some = made.repartition("row", "slice", "group").sortWithinPartitions("row", "slice").mapInArrow(merge, PART)
+    bits = [np.zeros(max(width, SLICE) // 8, np.uint8) for _ in range(DEPTH + 1)]
+    # One bit a cell comes to the driver, whatever the corpus.
+    for found in some.repartition("row", "slice").sortWithinPartitions("row", "slice").mapInArrow(reached, "row int, slice int, bits binary").collect():
+        bits[found["row"]][found["slice"] * SLICE // 8 :][: SLICE // 8] = np.frombuffer(found["bits"], np.uint8)
     return Survivors(width, bits)
 
 
-def _bare(run: Callable) -> Callable:
-    """Without the group that rows were dealt by."""
-    return lambda batches: run(batch.select(["row", "slice", "counts"]) for batch in batches)
-
-
 def exact(own: DataFrame, least: int, upto: int, pairs: Survivors, longer: Survivors) -> DataFrame:
-    """lang, phrase, k, f of all phrases of 1 to `upto` words that occur `least` times, and rows with phrase null and the
-    number of the language's words as f."""
+    """lang, phrase, k, f of all phrases of 2 to `upto` words that occur `least` times and of their words, and rows with
+    phrase null and the number of the language's words as f."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], dict[int, list]] = {}
         total: dict[str, int] = {}
-
-        def sent() -> pa.RecordBatch:
-            rows = [(lang, phrase, k, f) for (lang, k), found in held.items() for f, phrase in found.values()]
-            lang, phrase, k, f = zip(*rows) if rows else ([],) * 4
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(k, pa.int32()), pa.array(f, pa.int64())], ["lang", "phrase", "k", "f"])
-
         for pieces in chunks(batches):
             raw = pieces.data.tobytes()
             for lang, n in zip(pieces.langs, np.bincount(pieces.lang, minlength=len(pieces.langs)).tolist()):
                 total[lang] = total.get(lang, 0) + n
-            for known, alive in ((None, pairs), (pairs, longer)):
-                for k, first, hashes in surviving(pieces, upto, known):
-                    keep = alive(hashes)
+            for good, alive in ((None, pairs), (good_pairs(pieces, pairs), longer)):
+                for k, first, hashes in surviving(pieces, upto, good):
+                    keep = alive(hashes) & longer.marked(hashes) if k == 1 else alive(hashes)
                     hashes, at, n = np.unique(hashes[keep], return_index=True, return_counts=True)
                     first = first[keep][at]
                     for lang, h, i, f in zip(pieces.lang[first].tolist(), hashes.tolist(), first.tolist(), n.tolist()):
@@ -212,25 +224,60 @@ def exact(own: DataFrame, least: int, upto: int, pairs: Survivors, longer: Survi
                         else:
                             seen[0] += f
             if sum(map(len, held.values())) >= HELD:
-                yield sent()
+                yield from in_buckets(held)
                 held.clear()
-        yield sent()
+        yield from in_buckets(held)
         words = [(lang, n) for lang, n in total.items() if n]
         if words:
             lang, n = zip(*words)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.nulls(len(words), pa.string()), pa.array([0] * len(words), pa.int32()), pa.array(n, pa.int64())], ["lang", "phrase", "k", "f"])
+            yield bucket(0, lang, [None] * len(words), [0] * len(words), n)
+
+    def bucket(at: int, *columns) -> pa.RecordBatch:
+        lists = [pa.array([list(c)], pa.list_(kind)) for c, kind in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *lists], ["bucket", *NAMES])
+
+    def in_buckets(held: dict[tuple[str, int], dict[int, list]]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((h * BUCKETS >> 64, lang, phrase, k, f) for (lang, k), found in held.items() for h, (f, phrase) in found.items())
+        for at, some in groupby(rows, lambda r: r[0]):
+            yield bucket(at, *list(zip(*some))[1:])
+
+    def added(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(NAMES[:3]).aggregate([("f", "sum")]).rename_columns(NAMES)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by bucket: adds up one bucket at a time, and of it what has come so far, before it gets long."""
+        at, parts, size = None, [], 0
+
+        def done() -> list[pa.RecordBatch]:
+            whole = added(parts)
+            return whole.filter(pc.or_(pc.greater_equal(whole["f"], least), pc.is_null(whole["phrase"]))).combine_chunks().to_batches()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column(0)[i].as_py() != at:
+                    if parts:
+                        yield from done()
+                    at, parts, size = batch.column(0)[i].as_py(), [], 0
+                parts.append(pa.table([c.slice(i, 1).flatten() for c in batch.columns[1:]], NAMES))
+                size += parts[-1].num_rows
+                if size >= HELD:
+                    parts = [added(parts)]
+                    size = parts[0].num_rows // 2
+        if parts:
+            yield from done()
+
+    lists = "bucket int, lang array<string>, phrase array<string>, k array<int>, f array<long>"
+    return own.mapInArrow(run, lists).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(counted, "lang string, phrase string, k int, f long")
+
 
-    counted = own.mapInArrow(run, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
-    return counted.filter((F.col("f") >= least) | F.col("phrase").isNull())
+NAMES = ["lang", "phrase", "k", "f"]
 
 
-def frequent(docs: DataFrame, least: int = LEAST, upto: int = LONGEST, text: str = "text", lang: str = "lang", width: int | None = None) -> DataFrame:
-    """lang, phrase, k, f: exact counts of the phrases of 1 to `upto` words that occur `least` times or more, and one row
-    a language with phrase null, k 0 and the number of its words."""
+def frequent(docs: DataFrame, least: int = LEAST, upto: int = LONGEST, text: str = "text", lang: str = "lang", width: int = WIDTH) -> DataFrame:
+    """lang, phrase, k, f: exact counts of the phrases of 2 to `upto` words that occur `least` times or more and of the
+    words in them, and one row a language with phrase null, k 0 and the number of its words. Words beyond these may
+    be there by chance. width: cells in a row of a sketch, a power of two."""
     own = docs.select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    if width is None:
-        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        width = min(max(1 << max(size // 64, 1).bit_length(), MIN_WIDTH), MAX_WIDTH)
     with small_batches(docs.sparkSession):
         pairs = sketch(own, width, least, upto, None)
         longer = sketch(own, width, least, upto, pairs)
