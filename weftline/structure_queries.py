@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import constraints as K
 from weftline.functions import lenient_json as J
-from weftline.operators import naming, policies, pruning
+from weftline.operators import assertions, naming, policies, pruning, renames
 from weftline.queries import query
 from weftline.session import table
 
@@ -185,3 +185,58 @@ def server_abbreviations(spark, d):
     server = F.when(F.col("n_nationkey") % 4 == 3, F.concat(F.lit("nationregistry"), letter)).otherwise(F.concat(F.lit("NationRegistry"), letter))
     rows = table(spark, d, "nation").select("n_name", server.alias("server"))
     return naming.abbreviations(rows, "server").join(rows, "server").select(F.col("n_name").alias("name"), "abbreviation")
+
+
+# Renamed keys and assertions
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, p_partkey % 4 AS n, p_brand, p_name FROM part), "
+    "m AS (SELECT p_partkey, unnest(CASE n WHEN 0 THEN ['Part_id', 'session_id'] WHEN 1 THEN ['supplier'] WHEN 2 THEN ['PART_ID', 'part_id'] ELSE ['plain'] END) AS before, n FROM p) "
+    "SELECT p_partkey, before, CASE before WHEN 'session_id' THEN 'param_session_id' WHEN 'supplier' THEN 'supplier_id' ELSE 'part_id' END AS after, "
+    "CASE before WHEN 'session_id' THEN 'session' WHEN 'supplier' THEN 'value source' ELSE 'id format' END AS rule, n <> 2 AS applied FROM m WHERE before NOT IN ('plain', 'part_id')"
+)
+def rename_log(spark, d):
+    return renamed_parts(spark, d)[1]
+
+
+@query(
+    "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'param_session_id=' || p_name || ',part_id=' || p_brand WHEN 1 THEN 'supplier_id=Supplier.key' WHEN 2 THEN 'PART_ID=' || p_brand || ',part_id=' || p_name ELSE 'plain=' || p_name END AS attributes FROM part"
+)
+def renamed_keys(spark, d):
+    entries = F.array_sort(F.transform(F.map_entries("attributes"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return renamed_parts(spark, d)[0].select("p_partkey", F.array_join(entries, ",").alias("attributes"))
+
+
+def renamed_parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    entities = F.array(F.lit("Part"), F.lit("Supplier"))
+    a, b = F.col("p_brand"), F.col("p_name")
+    maps = [F.create_map(F.lit("Part_id"), a, F.lit("session_id"), b), F.create_map(F.lit("supplier"), F.lit("Supplier.key")), F.create_map(F.lit("PART_ID"), a, F.lit("part_id"), b), F.create_map(F.lit("plain"), b)]
+    rows = table(spark, d, "part").select("p_partkey", F.get(F.array(*maps), (F.col("p_partkey") % 4).cast("int")).alias("attributes"))
+    return renames.renamed(rows, ["p_partkey"], "attributes", [renames.session_rule(), renames.source_rule(entities), renames.id_rule(entities)])
+
+
+@query(
+    "SELECT 'unique orders(o_orderkey)' AS name, 'passed' AS verdict, 0::BIGINT AS n UNION ALL "
+    "SELECT 'unique lineitem(l_orderkey, l_linenumber)', CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END, count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1) UNION ALL "
+    "SELECT 'references lineitem.l_orderkey', CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') UNION ALL "
+    "SELECT 'monotone orders.o_orderdate', CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END, count(*) FROM (SELECT o_orderdate < lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS falls FROM orders WHERE o_orderstatus <> 'F') WHERE falls UNION ALL "
+    "SELECT 'holds lineitem: l_quantity >= 1', CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END, count(*) FROM lineitem WHERE NOT coalesce(l_quantity >= 1, false) UNION ALL "
+    "SELECT 'kept orders.o_orderkey', CASE WHEN count(*) = 0 THEN 'passed' ELSE 'failed' END, count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL "
+    "SELECT 'unique ghost(id)', 'skipped', 0::BIGINT"
+)
+def state_assertions(spark, d):
+    """The actual state lacks the orders that are finished."""
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    told = [
+        assertions.unique("orders", "o_orderkey"),
+        assertions.unique("lineitem", "l_orderkey", "l_linenumber"),
+        assertions.references("lineitem", "l_orderkey", "orders", "o_orderkey"),
+        assertions.monotone("orders", ["o_custkey"], ["o_orderkey"], "o_orderdate"),
+        assertions.holds("lineitem", "l_quantity >= 1"),
+        assertions.kept("orders", "o_orderkey"),
+        assertions.unique("ghost", "id"),
+    ]
+    found = assertions.asserted(spark, told, {"orders": orders}, {"orders": orders.filter("o_orderstatus <> 'F'"), "lineitem": lines})
+    verdict = F.when(F.col("skipped"), "skipped").when(F.col("passed"), "passed").otherwise("failed")
+    return found.select("name", verdict.alias("verdict"), F.col("n_offenders").alias("n"))
