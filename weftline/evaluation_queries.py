@@ -157,10 +157,14 @@ def state_comparison(spark, d):
     return R.state_comparison(gold, agent, "t", "r").withColumn("first_differences", F.array_join("first_differences", ","))
 
 
-@query("SELECT o_orderpriority, count(*) AS n, true AS same FROM orders GROUP BY 1")
+@query("SELECT o_orderpriority, count(*) AS n, o_orderpriority NOT IN ('1-URGENT', '2-HIGH') AS same FROM orders GROUP BY 1")
 def state_digests(spark, d):
     rows = table(spark, d, "orders").select("o_orderpriority", F.concat_ws("|", "o_orderkey", "o_orderstatus").alias("r"))
-    one, two = R.state_digest(rows, "o_orderpriority", "r"), R.state_digest(rows.repartition(7, "r"), "o_orderpriority", "r")
+    # The same rows in another order, but for one table with a changed record in it and one with a repeated record.
+    urgent, high = (rows.filter(F.col("o_orderpriority") == p).agg(F.min("r").alias("least")) for p in ("1-URGENT", "2-HIGH"))
+    changed = rows.join(F.broadcast(urgent), F.col("r") == F.col("least"), "left").withColumn("r", F.coalesce(F.concat("least", F.lit("!")), F.col("r"))).drop("least")
+    again = rows.join(F.broadcast(high), F.col("r") == F.col("least"), "left_semi")
+    one, two = R.state_digest(rows, "o_orderpriority", "r"), R.state_digest(changed.unionByName(again).repartition(7, "r"), "o_orderpriority", "r")
     return one.join(two.select("o_orderpriority", F.col("digest").alias("other")), "o_orderpriority").select("o_orderpriority", "n", (F.col("digest") == F.col("other")).alias("same"))
 
 
@@ -188,11 +192,12 @@ def tool_result_fields(spark, d):
     return keyed.select("event_id", value("raw_content").alias("raw"), value("k").alias("k"), R.has_error(result).alias("bad"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE 'b' || event_id END AS booking, true AS loose, event_id % 3 <> 0 AS strict FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'new' ELSE 'b' || event_id END AS booking, event_id % 5 <> 0 AS loose, event_id % 3 <> 0 AND event_id % 5 <> 0 AS strict FROM events")
 def arguments_with_new_ids(spark, d):
     e = table(spark, d, "events").select("event_id", F.create_map(F.lit("booking"), F.concat(F.lit("b"), F.col("event_id").cast("string")), F.lit("note"), F.lit("x")).alias("args"))
     mapping = F.when(F.col("event_id") % 3 == 0, F.create_map(F.concat(F.lit("b"), F.col("event_id").cast("string")), F.lit("new"))).otherwise(F.create_map().cast("map<string,string>"))
-    made = e.withColumn("now", R.with_new_ids(F.col("args"), mapping))
+    changed = lambda args: F.transform_values(args, lambda k, v: F.when((k == "note") & (F.col("event_id") % 5 == 0), F.lit("y")).otherwise(v))
+    made = e.withColumn("now", changed(R.with_new_ids(F.col("args"), mapping)))
     return made.select("event_id", F.col("now")["booking"].alias("booking"), R.strictly_matches(F.col("args"), F.col("now"), ignored=F.array(F.lit("booking"))).alias("loose"), R.strictly_matches(F.col("args"), F.col("now")).alias("strict"))
 
 
@@ -348,13 +353,16 @@ def judge_log(spark, d):
     return rows.select("conv_id", C.judge_log(F.col("m")).alias("log"))
 
 
-@query("SELECT conv_id, count(*)::BIGINT AS n_messages, 0::BIGINT AS n_reasoned, 'agent' AS data_source FROM conversations GROUP BY 1")
+@query("SELECT conv_id, count(*)::BIGINT AS n_messages, count(*) FILTER (turn % 2 = 0 AND text IS NOT NULL)::BIGINT AS n_reasoned, 'agent' AS data_source, sha256(string_agg(role || ': ' || coalesce(text, ''), chr(30) ORDER BY turn, role, text)) AS messages FROM conversations GROUP BY 1")
 def canonical_messages(spark, d):
     null = F.lit(None).cast("string")
     message = F.struct(F.col("role"), F.col("text").alias("content"), F.col("text").alias("reasoning_content"), null.alias("tool_calls"), null.alias("tool_call_id"), F.col("turn"))
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(message).alias("messages")).select(F.col("conv_id").cast("string").alias("id"), C.without_reasoning(F.col("messages")).alias("messages"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", message.alias("m")))), lambda x: x["m"])
+    # Reasoning goes from messages of odd turns.
+    kept = F.transform(F.arrays_zip(F.col("messages").alias("all"), C.without_reasoning(F.col("messages")).alias("bare")), lambda x: F.when(x["all"]["turn"] % 2 == 0, x["all"]).otherwise(x["bare"]))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(held.alias("messages")).select(F.col("conv_id").cast("string").alias("id"), kept.alias("messages"))
     made = C.canonical(rows, "agent", False)
-    return made.select(F.col("id").cast("long").alias("conv_id"), F.size("messages").cast("long").alias("n_messages"), F.size(F.filter("messages", lambda m: m["reasoning_content"].isNotNull())).cast("long").alias("n_reasoned"), "data_source")
+    return made.select(F.col("id").cast("long").alias("conv_id"), F.size("messages").cast("long").alias("n_messages"), F.size(F.filter("messages", lambda m: m["reasoning_content"].isNotNull())).cast("long").alias("n_reasoned"), "data_source", F.sha2(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\x1e"), 256).alias("messages"))
 
 
 # Names and identities
@@ -471,7 +479,7 @@ def server_summaries(spark, d):
     return readers.summaries(wanted, nation.select(F.col("n_name").alias("name"), F.concat("n_name", F.lit("!")).alias("text")))
 
 
-@query("SELECT pos, unnest(['view', 'click', 'error'])  AS missing FROM (SELECT 0 AS pos) WHERE false UNION ALL SELECT user_id, 'ghost' FROM (SELECT DISTINCT user_id FROM events)")
+@query(f"WITH {SESSIONS} SELECT user_id AS pos, unnest(list_filter(['view', 'purchase', 'signup', 'ghost'], lambda x: NOT list_contains(t[1:3], x))) AS missing FROM h")
 def context_keys(spark, d):
-    rows = session_rows(spark, d).select(F.col("user_id").alias("pos"), F.explode(L.undone(F.concat(F.col("trajectory"), F.array(F.lit("ghost.id"), F.lit("step_3_result"))), F.col("trajectory"))).alias("missing"))
+    rows = session_rows(spark, d).select(F.col("user_id").alias("pos"), F.explode(L.undone(F.array(*[F.lit(x) for x in ("view.id", "purchase.x", "signup", "ghost.id", "step_3_result")]), F.slice("trajectory", 1, 3))).alias("missing"))
     return rows

@@ -143,8 +143,12 @@ def graph_neighbors(spark, d):
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
 def sample_join(spark, d):
+    """Orders as rollouts, their customers as queries, the customers' nations as combos."""
     o, c, n = table(spark, d, "orders"), table(spark, d, "customer"), table(spark, d, "nation")
-    return o.join(c, o.o_custkey == c.c_custkey, "left").join(n, F.col("c_nationkey") == n.n_nationkey, "left").select("o_orderkey", "c_name", "n_name")
+    rollout = o.select(F.col("o_orderkey").alias("id"))
+    query_ = o.join(c, o.o_custkey == c.c_custkey).select(F.col("o_orderkey").alias("id"), F.lit("nation").alias("domain_key"), F.col("c_nationkey").alias("combo_id"), F.array("c_name").alias("trajectory"))
+    combos = n.select(F.lit("nation").alias("domain_key"), F.col("n_nationkey").alias("combo_id"), F.lit(0).alias("sample_idx"), "n_name")
+    return readers.samples(rollout, query_, combos).select(F.col("id").alias("o_orderkey"), F.get("trajectory", F.lit(0)).alias("c_name"), "combo.n_name")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
@@ -154,7 +158,7 @@ def pending_anti(spark, d):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def resume_semi(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("c_custkey", "c_name")
+    return S.allowed_values(table(spark, d, "customer"), "c_custkey", table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))).select("c_custkey", "c_name")
 
 
 @query(
@@ -320,7 +324,7 @@ def shared_entities_intersection(spark, d):
 
 @query("SELECT c_nationkey::BIGINT AS c_nationkey, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) >= 2")
 def core_entity_groups(spark, d):
-    return table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("c_nationkey")).agg(F.count("*").alias("n")).filter("n >= 2")
+    return D.repeated_keys(table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("c_nationkey")), ["c_nationkey"])
 
 
 @query(
@@ -385,10 +389,10 @@ def role_counts(spark, d):
     return C.role_counts(table(spark, d, "conversations"))
 
 
-@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'assistant' ELSE 'user' END, ',' ORDER BY turn, role, text) AS roles FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '' GROUP BY 1")
+@query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'assistant' ELSE 'user' END, ',' ORDER BY turn, role, text) AS roles, sha256(string_agg(text, chr(30) ORDER BY turn, role, text)) AS texts FROM conversations WHERE role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '' GROUP BY 1")
 def role_swap(spark, d):
     rows = C.as_array(table(spark, d, "conversations")).select("conv_id", C.swapped(F.col("messages")).alias("m")).filter(F.size("m") > 0)
-    return rows.select("conv_id", F.array_join(F.transform("m", lambda m: m["role"]), ",").alias("roles"))
+    return rows.select("conv_id", F.array_join(F.transform("m", lambda m: m["role"]), ",").alias("roles"), F.sha2(F.array_join(F.transform("m", lambda m: m["text"]), "\x1e"), 256).alias("texts"))
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS n FROM conversations) SELECT conv_id, string_agg(upper(role) || ': ' || CASE role WHEN 'tool' THEN substr(text, 1, 200) ELSE text END, chr(10) ORDER BY turn, role, text) AS transcript FROM r WHERE n <= 10 GROUP BY 1")
@@ -397,10 +401,10 @@ def last_n_transcript(spark, d):
     return last.select("conv_id", C.transcript(F.col("messages"), 10, 200).alias("transcript"))
 
 
-@query("SELECT conv_id, (count(*) + (arg_min(role, (turn, role, text)) <> 'system')::INT)::BIGINT AS n_messages, 'system' AS first_role FROM conversations GROUP BY 1")
+@query("SELECT conv_id, (count(*) + (arg_min(role, (turn, role, text)) <> 'system')::INT)::BIGINT AS n_messages, 'system' AS first_role, sha256(CASE WHEN arg_min(role, (turn, role, text)) <> 'system' THEN 'policy' || chr(30) ELSE '' END || string_agg(coalesce(text, ''), chr(30) ORDER BY turn, role, text)) AS texts FROM conversations GROUP BY 1")
 def system_prompt_export(spark, d):
     m = C.as_array(table(spark, d, "conversations")).withColumn("m", C.with_system(F.col("messages"), F.lit("policy")))
-    return m.select("conv_id", F.size("m").cast("long").alias("n_messages"), F.col("m")[0]["role"].alias("first_role"))
+    return m.select("conv_id", F.size("m").cast("long").alias("n_messages"), F.col("m")[0]["role"].alias("first_role"), F.sha2(F.array_join(F.transform("m", lambda m: F.coalesce(m["text"], F.lit(""))), "\x1e"), 256).alias("texts"))
 
 
 @query("SELECT conv_id, count(*) FILTER (turn < u) AS n_stale FROM (SELECT conv_id, turn, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS u FROM conversations) GROUP BY 1")
@@ -439,11 +443,13 @@ def completeness_check(spark, d):
 HEX = "md5(o_orderkey::VARCHAR)"
 
 
-@query(f"WITH u AS (SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS u FROM (SELECT o_orderkey, {HEX} AS h FROM orders)) SELECT o_orderkey, u AS uuid, true AS is_uuid FROM u")
+@query(f"WITH u AS (SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS u FROM (SELECT o_orderkey, {HEX} AS h FROM orders)) SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE u END AS uuid, o_orderkey % 4 NOT IN (1, 2) AS is_uuid FROM u")
 def uuid_like_tokens(spark, d):
     h = F.md5(F.col("o_orderkey").cast("string"))
     made = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    rows = table(spark, d, "orders").select("o_orderkey", made.alias("u")).withColumn("t", F.concat(F.lit("id "), F.upper("u"), F.lit(" end")))
+    # Some have a letter that is no digit, some are part of a longer word.
+    odd = F.when(F.col("o_orderkey") % 4 == 1, F.regexp_replace(made, ".$", "g")).when(F.col("o_orderkey") % 4 == 2, F.concat(made, F.lit("."))).otherwise(made)
+    rows = table(spark, d, "orders").select("o_orderkey", odd.alias("u")).withColumn("t", F.concat(F.lit("id "), F.upper("u"), F.lit(" end")))
     return rows.select("o_orderkey", F.array_join(X.uuids(F.col("t")), ",").alias("uuid"), X.is_uuid(F.col("u")).alias("is_uuid"))
 
 
