@@ -6,8 +6,10 @@ every row. The order follows greedily: next comes the rule with the most rejecti
 that the rules before it leave, per second of measures that none before it has taken. A document that
 an early rule rejects is never measured for the later ones. The order decides the cost, never the verdict.
 
-`judge` reports the base measures of every row; the measures of the other rules are taken inside the
-cascade alone, after the base rules. `keep_good` takes all measures inside the cascade.
+`judge` reports the base measures of every row, so its base rules come first and cost nothing more; the other rules are
+ordered by what they reject among the rows that are left then, their base measures being there, and their own
+measures are taken inside the cascade alone. `keep_good` takes all measures inside the cascade, in the order of all
+rules. `decided` tells how many rows each rule was reached by and how many it rejected.
 
 Defined results: null text counts as empty; an empty text has no words and fails the base rule; very long
 texts are measured whole; repeated rows and ties are judged row by row; an empty table gives an empty
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.textops import others
@@ -138,9 +140,10 @@ def timed(sample: DataFrame) -> dict[str, float]:
     return {n: max(run(m) - plain, 1e-4) for n, m in measured().items()}
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7, text: str = "text") -> list[tuple[str, float, float]]:
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, seed: int = 7, text: str = "text", base_first: bool = False) -> list[tuple[str, float, float]]:
     """(rule, share rejected among the rows left to it, seconds of measures that it adds), in the order of
-    evaluation. Rules that reject nothing more come last, the cheaper first."""
+    evaluation. Rules that reject nothing more come last, the cheaper first. base_first: the measures of BASE are taken for
+    every row, and the base rules, in the order of the table, have been asked before the others."""
     total = docs.count()
     if not total:
         return [(r.name, 0.0, 0.0) for r in rules]
@@ -149,6 +152,12 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     m = measured()
     verdicts = sample.select(*[F.coalesce(r.rejects(m), F.lit(False)).alias(r.name) for r in rules]).toPandas().to_numpy(bool)
     left, taken, order, rest = np.ones(len(verdicts), bool), set(), [], list(rules)
+    if base_first:
+        taken = set(BASE)
+        for r in [r for r in rules if r.base]:
+            order.append((r.name, float(verdicts[left, rules.index(r)].mean()) if left.any() else 0.0, 0.0))
+            left &= ~verdicts[:, rules.index(r)]
+            rest.remove(r)
     while rest:
 
         def rated(r: Rule) -> tuple[float, float]:
@@ -165,18 +174,23 @@ def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
 
 
 def cascade(order: list[str], measures: dict[str, Column], rules: tuple[Rule, ...] = RULES) -> Column:
-    """True if no rule rejects. CASE stops at the first rule that does."""
+    """True if no rule rejects."""
+    return rejected_by(order, measures, rules).isNull()
+
+
+def rejected_by(order: list[str], measures: dict[str, Column], rules: tuple[Rule, ...] = RULES) -> Column:
+    """The first rule that rejects, null if none does. CASE stops at it."""
     by_name = {r.name: r for r in rules}
     verdict = None
     for name in order:
         hit = by_name[name].rejects(measures)
-        verdict = F.when(hit, F.lit(False)) if verdict is None else verdict.when(hit, F.lit(False))
-    return F.lit(True) if verdict is None else verdict.otherwise(F.lit(True))
+        verdict = F.when(hit, F.lit(name)) if verdict is None else verdict.when(hit, F.lit(name))
+    return F.lit(None).cast("string") if verdict is None else verdict
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs with the base measures, base_failed and kept."""
-    order = [name for name, _, _ in order_rules(docs, rules, text=text)]
+    order = [name for name, _, _ in order_rules(docs, rules, text=text, base_first=True)]
     split = split_once(docs, text)
     own = split.select("*", *[m.alias(n) for n, m in measured(BASE).items()])
     m = {n: F.col(n) if n in BASE else make(F.col("text"), F.col("words")) for n, make in MEASURES.items()}
@@ -195,3 +209,18 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
     own = F.coalesce(F.col(text), F.lit(""))
     order = [name for name, _, _ in order_rules(docs, rules, text=text)]
     return docs.filter(let(words_of(own), lambda w: cascade(order, {n: make(own, w) for n, make in MEASURES.items()}, rules)))
+
+
+def decided(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """place, rule, reached, rejected: the order in which the rules were asked, how many rows came to each, so that its
+    measures were taken for them, and how many it rejected."""
+    order = [name for name, _, _ in order_rules(docs, rules, text=text)]
+    own = F.coalesce(F.col(text), F.lit(""))
+    by = docs.select(let(words_of(own), lambda w: rejected_by(order, {n: make(own, w) for n, make in MEASURES.items()}, rules)).alias("rule"))
+    counted = by.groupBy("rule").agg(F.count("*").alias("rejected"))
+    places = docs.sparkSession.createDataFrame([*((i, name) for i, name in enumerate(order)), (len(order), None)], "place int, rule string")
+    every = places.join(counted.withColumnRenamed("rule", "of"), F.col("rule").eqNullSafe(F.col("of")), "left")
+    # As many rows as there are rules.
+    later = Window.orderBy("place").rowsBetween(0, Window.unboundedFollowing)
+    n = F.coalesce("rejected", F.lit(0))
+    return every.select("place", "rule", F.sum(n).over(later).alias("reached"), n.alias("rejected")).filter(F.col("rule").isNotNull())
