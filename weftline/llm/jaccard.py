@@ -287,18 +287,20 @@ def compared(docs: DataFrame, classes: DataFrame, candidates: DataFrame, thresho
 
 def verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, threshold: int, k: int) -> DataFrame:
     """The (a, b) of candidates whose sets link, by their full intersection."""
-    found = compared(docs, classes, candidates, threshold, k)
-    sized = found.select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("shared"))
-    return materialize(sized.filter((100 + threshold) * F.col("shared") >= threshold * F.col("n")).select("a", "b").distinct(), "links")
+    with temporary(docs.sparkSession):
+        found = compared(docs, classes, candidates, threshold, k)
+        sized = found.select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("shared"))
+        return materialize(sized.filter((100 + threshold) * F.col("shared") >= threshold * F.col("n")).select("a", "b").distinct(), "links", keep=True)
 
 
 def differences(docs: DataFrame, classes: DataFrame, candidates: DataFrame, threshold: int, k: int) -> DataFrame:
     """a, b, size, gained, lost for the candidates of at least that similarity: the size of b's set,
     and the shingles of a that b lacks and those of b that a lacks."""
-    found = compared(docs, classes, candidates, threshold, k)
-    sides = found.select("a", "b", F.size("ta").alias("n"), F.size("tb").alias("size"), F.array_except("ta", "tb").alias("gained"), F.array_except("tb", "ta").alias("lost"))
-    enough = 100 * (F.col("size") - F.size("lost")) >= threshold * (F.col("n") + F.size("lost"))
-    return materialize(sides.filter(enough).select("a", "b", F.col("size").cast("long"), "gained", "lost"), "differences")
+    with temporary(docs.sparkSession):
+        found = compared(docs, classes, candidates, threshold, k)
+        sides = found.select("a", "b", F.size("ta").alias("n"), F.size("tb").alias("size"), F.array_except("ta", "tb").alias("gained"), F.array_except("tb", "ta").alias("lost"))
+        enough = 100 * (F.col("size") - F.size("lost")) >= threshold * (F.col("n") + F.size("lost"))
+        return materialize(sides.filter(enough).select("a", "b", F.col("size").cast("long"), "gained", "lost"), "differences", keep=True)
 
 
 def apart(pairs: DataFrame, placed: DataFrame) -> DataFrame:
