@@ -216,3 +216,17 @@ def test_environment_verdict(spark, has, gold, missing, broken, passed, reason):
     results = spark.createDataFrame([(1, "a", not broken), (1, "b", None), (2, "a", False)], "id long, name string, passed boolean")
     row = A.environment_verdict(changes, results, "id").first()
     assert (row.passed, row.reason) == (passed, reason)
+
+
+def test_queries_keep_the_last_line_of_an_id(spark, tmp_path):
+    from weftline.sources import readers
+
+    line = lambda i, text: json.dumps({"id": i, "messages": [{"role": "user", "content": text}], "task_info": {"combo_id": text}})
+    put(tmp_path, "A_B.jsonl", "\n".join([line("q1", "zz"), line("q2", "old"), "no json", line("q1", "aa"), ""]))
+    put(tmp_path, "C.jsonl", "\n".join([line("q2", "x"), line("q2", "new"), json.dumps({"messages": []})]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        found = {(r.id, r.combo_id, r.domain_key, tuple(r.domains)) for r in readers.queries(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found == {("q1", "aa", "A_B", ("A", "B")), ("q2", "new", "C", ("C",))}

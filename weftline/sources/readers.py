@@ -32,12 +32,15 @@ def rollouts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, path: str) -> DataFrame:
-    """Task queries: the file's name is the domain key, its parts the domains; of equal ids the last file's row stays,
-    within a file the one with the greatest content."""
-    rows = spark.read.schema(QUERY).json(path).withColumn("file", F.col("_metadata.file_name"))
-    named = rows.withColumn("domain_key", F.regexp_extract("file", r"^(.*?)(\.jsonl?)?$", 1)).withColumn("domains", F.split("domain_key", "_"))
-    newest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("file"), F.desc(F.to_json(F.struct("messages", "user_system_prompt", "task_info")))))
-    return named.withColumn("__n", newest).filter("__n = 1").drop("__n").select("*", "task_info.*").drop("task_info")
+    """Task queries, a JSON object a line: the file's name is the domain key, its parts the domains; of equal ids the last
+    line of the last file stays. Lines are in the order of their part of the file and their place in it. Lines that are no
+    JSON or have no id are left out."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"))
+    rows = lines.select("file", "part", "line", F.from_json("value", QUERY).alias("q")).filter(F.col("q.id").isNotNull())
+    newest = F.row_number().over(Window.partitionBy("q.id").orderBy(F.desc("file"), F.desc("part"), F.desc("line")))
+    last = rows.withColumn("__n", newest).filter("__n = 1").select("q.*", "file")
+    named = last.withColumn("domain_key", F.regexp_extract("file", r"^(.*?)(\.jsonl?)?$", 1)).withColumn("domains", F.split("domain_key", "_"))
+    return named.select("*", "task_info.*").drop("task_info")
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
