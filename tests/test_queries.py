@@ -13,6 +13,9 @@ from weftline import queries as core
 from weftline.operators import conversations, matching
 
 
+DATA = "/root/testdata"
+
+
 def plain(value):
     if hasattr(value, "tolist") and not isinstance(value, (str, bytes)):
         value = value.tolist()
@@ -27,17 +30,23 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
 
 
 @pytest.fixture(scope="module")
-def duck(small):
+def tables():
+    """Large enough for repeated rows, which the smallest tables lack."""
+    return f"{DATA}/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def duck(tables):
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for path in Path(small).glob("*.parquet"):
+    for path in Path(tables).glob("*.parquet"):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 
 @pytest.mark.parametrize("name", sorted(core.ORACLES))
-def test_query_equals_sql(spark, duck, small, name):
-    got = core.QUERIES[name](spark, small).toPandas()
+def test_query_equals_sql(spark, duck, tables, name):
+    got = core.QUERIES[name](spark, tables).toPandas()
     want = duck.execute(core.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
