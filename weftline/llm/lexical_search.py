@@ -36,7 +36,7 @@ from weftline.session import materialize, temporary
 
 BEST = 10
 #: A shard's texts have so many bytes at most, or it is one text; its rows are those of an Arrow batch at most.
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 #: Upper tiers hold a term's postings up to these shares.
 SHARES = (1 / 8, 1 / 2)
 TIERS = len(SHARES) + 1
