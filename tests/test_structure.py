@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import constraints as K
-from weftline.functions import domains, text
+from weftline.functions import domains, hashing, text
 from weftline.functions import lenient_json as J
 from weftline.operators import matching, naming, policies, pruning, selection
 
@@ -320,3 +320,23 @@ def test_without_overlap(spark):
         found = selection.without_overlap(spark.createDataFrame([*rows, *rows[:3]], schema), spark.createDataFrame(held, schema), ["k"], "lo", "hi", 7.0)
         assert sorted(r.id for r in found.collect()) == want and found.columns == ["id", "k", "lo", "hi"]
 
+
+
+# Identities
+
+
+def test_canonical_json_is_pythons(spark):
+    rng = random.Random(12)
+    whole = lambda v: [whole(x) for x in v] if isinstance(v, list) else {k: whole(x) for k, x in v.items()} if isinstance(v, dict) else v
+    values = [whole(some_value(rng, 4)) for _ in range(300)]
+    rows = spark.createDataFrame([(i, json.dumps(v, indent=rng.choice([None, 2]))) for i, v in enumerate(values)] + [(-1, "{broken"), (-2, None)], "id long, t string")
+    found = {r.id: r.c for r in rows.select("id", hashing.canonical_json(F.col("t")).alias("c")).collect()}
+    assert found.pop(-1) is None and found.pop(-2) is None
+    assert all(found[i] == json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for i, v in enumerate(values))
+
+
+def test_bag_digest_ignores_order_alone(spark):
+    digest = lambda rows: spark.createDataFrame([(r,) for r in rows], "t string").repartition(3).agg(hashing.bag_digest(F.col("t")).alias("d")).first().d
+    bag = ["a", "b", "b", None, "c"]
+    assert digest(bag) == digest(bag[::-1]) == digest(["b", "c", "a", "", "b"])
+    assert len({digest(x) for x in (bag, bag[1:], [*bag, "b"], ["a", "b", "c", None, "d"], ["ab", "b", "b", None, "c"])}) == 5

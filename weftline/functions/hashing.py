@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,3 +66,23 @@ def context_id(trajectory_hash: Column, context: Column) -> Column:
 
 def query_id(result: Column) -> Column:
     return F.substring(F.md5(result), 1, 8)
+
+
+def canonical_json(document: Column) -> Column:
+    """The one form of a JSON text: keys sorted at every depth, no white space, numbers without needless digits (1.50 and
+    15e-1 are 1.5). Null for what is no JSON. It is what Python writes for the value with sorted keys and bare
+    separators, but for whole floats, which lose their fraction, and control characters, whose codes are in capitals."""
+    return F.to_json(F.try_parse_json(document))
+
+
+def bag_digest(document: Column) -> Column:
+    """An aggregate: one digest for a bag of texts in any order. Rows add up, so that a table of any size is summed where
+    it lies and repeats count; null rows count as empty texts."""
+    hashed = F.md5(F.coalesce(document, F.lit("")))
+    half = lambda at: F.sum(F.conv(F.substring(hashed, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.md5(F.concat_ws(":", F.count(F.lit(1)).cast("string"), half(1), half(16)))
+
+
+def nested_digests(records: DataFrame, key: list[str], document: str) -> DataFrame:
+    """key, n, digest: tables of nested records (JSON texts) that are equal up to the order of rows and keys have equal digests."""
+    return records.groupBy(*key).agg(F.count("*").alias("n"), bag_digest(canonical_json(F.col(document))).alias("digest"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import constraints as K
+from weftline.functions import hashing
 from weftline.functions import lenient_json as J
 from weftline.operators import assertions, naming, policies, pruning, renames
 from weftline.queries import query
@@ -240,3 +241,20 @@ def state_assertions(spark, d):
     found = assertions.asserted(spark, told, {"orders": orders}, {"orders": orders.filter("o_orderstatus <> 'F'"), "lineitem": lines})
     verdict = F.when(F.col("skipped"), "skipped").when(F.col("passed"), "passed").otherwise("failed")
     return found.select("name", verdict.alias("verdict"), F.col("n_offenders").alias("n"))
+
+
+# Identities of nested documents
+
+
+@query(
+    """WITH r AS (SELECT l_shipdate, l_linestatus AS s, '{"a":{"f":"' || l_returnflag || '","q":' || l_quantity::BIGINT || '},"n":[' || l_linenumber || ',null,true],"z":1.5}' AS j FROM lineitem),
+    d AS (SELECT strftime(l_shipdate, '%Y') AS year, s, md5(j) AS h FROM r)
+    SELECT year, s AS status, count(*) AS n, md5(count(*) || ':' || sum(('0x' || substr(h, 1, 15))::BIGINT::HUGEINT) || ':' || sum(('0x' || substr(h, 16, 15))::BIGINT::HUGEINT)) AS digest FROM d GROUP BY ALL"""
+)
+def nested_digests(spark, d):
+    """Lines as nested records whose keys, numbers and white space are written in two ways."""
+    li = table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("long").cast("string"))
+    odd = F.concat(F.lit('{"z": 15e-1, "n": ['), "l_linenumber", F.lit(', null,true], "a":{ "q":'), "q", F.lit('.0, "f": "'), "l_returnflag", F.lit('"}}'))
+    even = F.concat(F.lit('{"a":{"f":"'), "l_returnflag", F.lit('","q":'), "q", F.lit('},"n":['), "l_linenumber", F.lit(',null,true],"z":1.50}'))
+    rows = li.select(F.date_format("l_shipdate", "yyyy").alias("year"), F.col("l_linestatus").alias("status"), F.when(F.col("l_linenumber") % 2 == 1, odd).otherwise(even).alias("record"))
+    return hashing.nested_digests(rows, ["year", "status"], "record")
