@@ -41,10 +41,11 @@ def parameter_rules(spark, d):
     server = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit("Other_"), "p_type")).otherwise(F.col("p_type"))
     part = table(spark, d, "part").select("p_partkey", server.alias("server"), F.col("p_brand").alias("function"), "p_name", F.col("p_size").cast("string").alias("size"))
     values = {"note": F.concat(F.lit("about "), "p_name"), "size": F.col("size"), "mark": F.lit("1"), "narrow": F.lit("1"), "part_id": F.col("p_partkey").cast("string"), "supply_id": F.lit("7")}
-    rows = part.select("p_partkey", "server", "function", F.explode(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])).alias("param", "expected"))
+    # Functions are looked up before the parameters are spread, and joined by sorting: Spark would take the rows for few enough to broadcast.
+    about = part.join(E.function_info(part, blueprint_functions(spark, d)).hint("merge"), ["server", "function"])
+    rows = about.select("p_partkey", "info", F.explode(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])).alias("param", "expected"))
     actual = F.when((F.col("param") == "size") & (F.col("p_partkey") % 5 == 0), "<size>").otherwise(F.col("expected"))
-    joined = rows.join(E.function_info(rows, blueprint_functions(spark, d)), ["server", "function"])
-    return joined.select("p_partkey", "param", E.is_ignored(F.col("param"), F.col("expected"), actual, F.col("info"), F.array(F.lit("part_id"))).alias("ignored"))
+    return rows.select("p_partkey", "param", E.is_ignored(F.col("param"), F.col("expected"), actual, F.col("info"), F.array(F.lit("part_id"))).alias("ignored"))
 
 
 @query(

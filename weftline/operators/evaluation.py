@@ -13,13 +13,14 @@ from weftline.functions.text import is_placeholder, is_uuid
 
 def function_info(wanted: DataFrame, functions: DataFrame) -> DataFrame:
     """server, function, info for each (server, function) wanted: the function's row of the server itself
-    or, for a fused name, of the first of its parts that has the function; null if none has."""
+    or, for a fused name, of the first of its parts that has the function; null if none has. Both sides are joined by
+    sorting, so that neither passes through the driver, however many functions there are."""
     parts = F.concat(F.array("server"), F.split("server", "_"))
     names = wanted.select("server", "function").distinct()
     places = names.select("server", "function", F.posexplode(parts).alias("place", "part"))
     about = functions.select(F.col("server").alias("part"), "function", F.struct(*[c for c in functions.columns if c not in ("server", "function")]).alias("info"))
-    found = places.join(about, ["part", "function"]).groupBy("server", "function").agg(F.min_by("info", "place").alias("info"))
-    return names.join(found, ["server", "function"], "left")
+    found = places.join(about.hint("merge"), ["part", "function"]).groupBy("server", "function").agg(F.min_by("info", "place").alias("info"))
+    return names.join(found.hint("merge"), ["server", "function"], "left")
 
 
 def is_filter(info: Column) -> Column:
