@@ -1,5 +1,11 @@
 """Plans and states that must not grow with the tables."""
 
+import time
+
+import pytest
+
+from weftline import session
+from weftline.llm import prefix_free, substring
 from weftline.queries import QUERIES
 
 
@@ -9,3 +15,32 @@ def planned(df) -> str:
 
 def test_parameter_rules_broadcast_nothing(spark, small):
     assert "Broadcast" not in planned(QUERIES["parameter_rules"](spark, small))
+
+
+def shuffle_files(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).getName().startswith("shuffle_") for i in range(files.size()))
+
+
+def gone(spark, most: int) -> bool:
+    until = time.monotonic() + 10
+    while shuffle_files(spark) > most and time.monotonic() < until:
+        time.sleep(0.1)
+    return shuffle_files(spark) <= most
+
+
+def test_shuffle_files_go_after_a_table(spark, monkeypatch):
+    session.release(spark)
+    time.sleep(2)
+    before = shuffle_files(spark)
+    monkeypatch.setattr(session, "LARGE", 0)
+    session.materialize(spark.range(10_000).repartition(4, "id"), "spread")
+    assert gone(spark, before)
+
+
+@pytest.mark.parametrize("method", [substring, prefix_free])
+def test_only_the_last_join_is_left_to_run(spark, method):
+    """The shuffles of texts and windows are over before the results are read."""
+    texts = [(i, " ".join(f"w{(i % 3) * 7 + j}" for j in range(60))) for i in range(30)]
+    plan = planned(method.deduplicate(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert "MapInArrow" not in plan and "Exchange" in plan

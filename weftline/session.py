@@ -105,6 +105,8 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Spark keeps shuffle files until the driver collects the objects that stand for them, which a driver with memory
-    to spare may not do for long, while the executors' disks fill."""
+    to spare may not do for long, while the executors' disks fill. Spark's listeners hold the last event that they got,
+    and so the plan of the query that ended; the events of a small one take its place."""
     gc.collect()
+    spark.range(1).count()
     spark._jvm.System.gc()
