@@ -179,18 +179,22 @@ def _number(word: str) -> bool:
 
 def parsed_json(rows: DataFrame, text: str, into: str = "json") -> DataFrame:
     """rows plus `into`, a VARIANT of the JSON value in a text, null if there is none, and `repaired`, whether the text
-    had to be mended. Flat or nested, what is JSON is parsed by Spark alone; the others alone go to Python."""
-    part = rows.withColumns({into: F.try_parse_json(json_part(F.col(text)))})
-    bad = F.col(into).isNull() & F.col(text).isNotNull()
-    good = part.filter(~bad).withColumn("repaired", F.lit(False))
+    had to be mended. Flat or nested, what is JSON is parsed by Spark alone; Python sees it as null, and the texts of the
+    others. Texts without a bracket hold at most one plain value and pass Python by."""
+    part = json_part(F.col(text))
+    bracket = F.coalesce(F.regexp_instr(F.col(text), F.lit(r"[\[{]")) > 0, F.lit(False))
+    parsed = lambda some: some.withColumn(into, F.try_parse_json(part))
 
     @F.arrow_udf("string")
     def mended(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else repair(t) for t in texts.to_pylist()], pa.string())
 
-    fixed = F.when(F.regexp_instr(F.col(text), F.lit(r"[\[{]")) > 0, F.try_parse_json(mended(json_part(F.col(text)))))
-    rest = part.filter(bad).withColumn(into, fixed).withColumn("repaired", F.col(into).isNotNull())
-    return good.unionByName(rest)
+    # Every text is parsed once: a text that won't parse costs an exception, and so several times as much as one that will.
+    first = parsed(rows.filter(bracket))
+    tried = first.withColumn("repaired", F.try_parse_json(mended(F.when(F.col(into).isNull(), part))))
+    found = tried.withColumns({into: F.coalesce(into, "repaired"), "repaired": F.col("repaired").isNotNull()})
+    plain = parsed(rows.filter(~bracket)).withColumn("repaired", F.lit(False))
+    return plain.unionByName(found)
 
 
 def strict_json(text: Column) -> Column:
