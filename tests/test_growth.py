@@ -3,9 +3,12 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline import session
+from weftline.functions import lenient_json as J
 from weftline.llm import prefix_free, substring
+from weftline.operators import assertions
 from weftline.queries import QUERIES
 
 
@@ -44,3 +47,18 @@ def test_only_the_last_join_is_left_to_run(spark, method):
     texts = [(i, " ".join(f"w{(i % 3) * 7 + j}" for j in range(60))) for i in range(30)]
     plan = planned(method.deduplicate(spark.createDataFrame(texts, "doc_id long, text string")))
     assert "MapInArrow" not in plan and "Exchange" in plan
+
+
+def test_assertions_broadcast_no_keys_and_sort_no_offenders(spark, small):
+    plan = planned(QUERIES["state_assertions"](spark, small))
+    assert not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "LeftAnti" in x]
+    few = planned(assertions.asserted(spark, [assertions.holds("t", "id < 0")], None, {"t": spark.range(9)}))
+    assert "TakeOrderedAndProject" in few and "windowspecdefinition(name" not in few
+
+
+def test_texts_are_parsed_once(spark):
+    """Two branches, each with one parse, and one of what was mended."""
+    rows = spark.createDataFrame([('{"a": 1}',), ("{a: 1,}",), ("3",), (None,)], "t string")
+    found = J.parsed_json(rows, "t")
+    assert planned(found).lower().count("parsejson") <= 3
+    assert sorted((r.j or "", r.repaired) for r in found.select(F.to_json("json").alias("j"), "repaired").collect()) == [("", False), ("3", False), ('{"a":1}', False), ('{"a":1}', True)]

@@ -1,7 +1,8 @@
 """Named assertions over an expected and an actual state: each is a plan of what violates it.
 
 A state is a dictionary of tables. An assertion names the tables it needs and gives the offending rows as (witness); it
-holds if there are none. All assertions run as one query: their offenders are counted, and a few are kept, by name.
+holds if there are none. All assertions run as one query: their offenders are counted, and a few are kept, by name. Keys meet by shuffled hashes of distinct
+ones, so that no table's keys are broadcast and no rows are sorted to meet them; the few are chosen with a heap of so many rows a task.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def references(table: str, column: str, parent: str, key: str) -> Assertion:
     """Every value that isn't null is a key of the parent."""
 
     def of(_: State, s: State) -> DataFrame:
-        keys = s[parent].select(F.col(key).alias(column)).distinct()
+        keys = s[parent].select(F.col(key).alias(column)).distinct().hint("shuffle_hash")
         return s[table].filter(F.col(column).isNotNull()).join(keys, column, "left_anti").select(witness(column))
 
     return Assertion(f"references {table}.{column}", of, (table, parent))
@@ -63,7 +64,7 @@ def holds(table: str, condition: str) -> Assertion:
 
 def kept(table: str, key: str) -> Assertion:
     """No expected key is missing."""
-    return Assertion(f"kept {table}.{key}", lambda e, a: e[table].select(key).join(a[table].select(key), key, "left_anti").select(witness(key)), (table,), both=True)
+    return Assertion(f"kept {table}.{key}", lambda e, a: e[table].select(key).join(a[table].select(key).distinct().hint("shuffle_hash"), key, "left_anti").select(witness(key)), (table,), both=True)
 
 
 def asserted(spark: SparkSession, assertions: list[Assertion], expected: State | None, actual: State | None, most: int = 3) -> DataFrame:
@@ -73,9 +74,10 @@ def asserted(spark: SparkSession, assertions: list[Assertion], expected: State |
     runs = [a for a in assertions if all(t in actual_ and (not a.both or t in expected_) for t in a.needs)]
     named = spark.createDataFrame([(a.name, a not in runs) for a in assertions], "name string, skipped boolean")
     none = spark.createDataFrame([], "name string, witness string")
-    rows = reduce(DataFrame.unionByName, [none, *(a.offenders(expected_, actual_).select(F.lit(a.name).alias("name"), "witness") for a in runs)])
-    place = F.row_number().over(Window.partitionBy("name").orderBy("witness"))
-    few = rows.withColumn("place", place).filter(F.col("place") <= most).groupBy("name").agg(F.array_sort(F.collect_list("witness")).alias("witnesses"))
+    offenders = [a.offenders(expected_, actual_).select(F.lit(a.name).alias("name"), "witness") for a in runs]
+    rows = reduce(DataFrame.unionByName, [none, *offenders])
+    least = reduce(DataFrame.unionByName, [none, *(o.orderBy("witness").limit(most) for o in offenders)])
+    few = least.groupBy("name").agg(F.slice(F.array_sort(F.collect_list("witness")), 1, most).alias("witnesses"))
     counted = rows.groupBy("name").agg(F.count("*").alias("n_offenders"))
     found = named.join(F.broadcast(counted), "name", "left").join(F.broadcast(few), "name", "left")
     n = F.coalesce("n_offenders", F.lit(0))
