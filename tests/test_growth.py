@@ -1,5 +1,6 @@
 """Plans and states that must not grow with the tables."""
 
+import re
 import time
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from weftline import session
 from weftline.functions import lenient_json as J
 from weftline.llm import prefix_free, substring
-from weftline.operators import assertions
+from weftline.operators import assertions, evaluation
 from weftline.queries import QUERIES
 
 
@@ -62,3 +63,27 @@ def test_texts_are_parsed_once(spark):
     found = J.parsed_json(rows, "t")
     assert planned(found).lower().count("parsejson") <= 3
     assert sorted((r.j or "", r.repaired) for r in found.select(F.to_json("json").alias("j"), "repaired").collect()) == [("", False), ("3", False), ('{"a":1}', False), ('{"a":1}', True)]
+
+
+@pytest.mark.parametrize("query,gathered", [("sample_verdicts", 3), ("evaluation_report", 4)])
+def test_rows_are_dealt_by_key_before_they_are_gathered(spark, small, monkeypatch, query, gathered):
+    """Parts grow with the table, beyond the session's shuffle partitions, and what is joined or summed by key lies in them."""
+    before = sorted(map(str, QUERIES[query](spark, small).collect()))
+    monkeypatch.setattr(session, "PART_ROWS", 500)
+    found = QUERIES[query](spark, small)
+    parts = session.parts_for(session.table(spark, small, "lineitem"))
+    plan = planned(found)
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions")) and "BroadcastHashJoin" not in plan
+    dealt = re.findall(r"Exchange hashpartitioning\((?:id|l_orderkey)#\w+(, \d+)\)", plan)
+    assert len(dealt) >= gathered and set(dealt) == {f", {parts}"}
+    assert sorted(map(str, found.collect())) == before
+
+
+def test_verdicts_with_null_and_repeated_keys_are_the_same_when_dealt(spark):
+    samples = spark.createDataFrame([(1, ["a"]), (1, None), (2, []), (3, ["a"]), (None, ["a"])], "id long, trajectory array<string>")
+    calls = spark.createDataFrame([(1,), (1,), (2,), (None,), (9,)], "id long")
+    results = spark.createDataFrame([(1, "x", 1.0, True, None), (1, "x", 1.0, True, None), (2, "x", 0.0, False, False), (None, "x", 1.0, True, False), (9, "y", 1.0, None, True)], "id long, evaluator string, score double, passed boolean, skipped boolean")
+    plain, spread = evaluation.verdicts(samples, calls, results), evaluation.verdicts(samples, calls, results, parts=7)
+    texts = lambda df: sorted(map(str, df.collect()))
+    assert texts(plain) == texts(spread) and plain.count() == 6
+    assert texts(evaluation.evaluator_report(plain)) == texts(evaluation.evaluator_report(spread, 7))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import math
 import re
 import shutil
 import tempfile
@@ -38,6 +39,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+#: Rows by key are dealt over parts of about so many rows.
+PART_ROWS = 1_500_000
+
+
+def parts_for(rows: DataFrame) -> int:
+    """Parts to deal rows by key over, so that what a task holds doesn't grow with the table: a session's number of shuffle
+    partitions is the same for any size. The rows are counted, which for a Parquet table takes its footers only."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / PART_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share. A local session without one gets one here; on a
     cluster the setting must be there, as executors can't see the driver's own folders."""
