@@ -87,3 +87,18 @@ def test_verdicts_with_null_and_repeated_keys_are_the_same_when_dealt(spark):
     texts = lambda df: sorted(map(str, df.collect()))
     assert texts(plain) == texts(spread) and plain.count() == 6
     assert texts(evaluation.evaluator_report(plain)) == texts(evaluation.evaluator_report(spread, 7))
+
+
+def test_documents_that_repeat_a_line_have_a_row_for_each_content(spark, monkeypatch):
+    """Not one for each place: the places of a line grow with its repeats, its windows don't."""
+    monkeypatch.setattr(prefix_free, "GROUP_BYTES", 300)
+    line = "the same line of a text that says it again and again\n"
+    rows = [(i, f"{i:04d} " + line * 40) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    own = substring.told_apart(docs, "text", "doc_id").select("doc_id", "sub", "text")
+    found = prefix_free.dictionary_texts(own, prefix_free.dictionary(prefix_free.parse(own)), prefix_free.WINDOW)
+    places = found.select(F.sum(F.size("places"))).first()[0]
+    rows_in, rows_out = found.count(), prefix_free.repeated(found, prefix_free.WINDOW).count()
+    assert rows_out <= rows_in < places / 10
+    kept = {r[0]: tuple(r[1:]) for r in prefix_free.deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
+    assert kept == prefix_free.brute_force(rows)

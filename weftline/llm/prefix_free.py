@@ -274,7 +274,8 @@ def suffix_order(contents: list[bytes], window: int) -> tuple[np.ndarray, np.nda
 
 
 def repeated(found: DataFrame, window: int) -> DataFrame:
-    """doc_id, sub, at of the windows of the dictionary's phrases that a smaller document holds."""
+    """doc_id, sub, at of the windows of the dictionary's phrases that a smaller document holds. at: those of a content at
+    all its places, so that a document that repeats itself has a row for each content and not for each place."""
     names = ["doc_id", "sub", "at"]
 
     def decided(held: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -297,8 +298,12 @@ def repeated(found: DataFrame, window: int) -> DataFrame:
         ends = np.cumsum(many)
         of = np.repeat(np.arange(len(row)), many[row])
         at = places.flatten().to_numpy()[np.arange(len(of)) + np.repeat((ends - many)[row] - (np.cumsum(many[row]) - many[row]), many[row])]
-        taken = pa.array(row[of])
-        return pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks().take(taken), rows["sub"].combine_chunks().take(taken), pa.array((at >> 32) + offset[of] << 32 | count[of])], names)
+        new = np.ones(len(of), bool)
+        new[1:] = row[of[1:]] != row[of[:-1]]
+        begin = np.flatnonzero(new)
+        taken = pa.array(row[of[begin]])
+        lists = pa.ListArray.from_arrays(np.append(begin, len(of)).astype(np.int32), (at >> 32) + offset[of] << 32 | count[of])
+        return pa.RecordBatch.from_arrays([rows["doc_id"].combine_chunks().take(taken), rows["sub"].combine_chunks().take(taken), lists], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -306,9 +311,7 @@ def repeated(found: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             settled = batch.filter(batch.column(0).is_null())
             if settled.num_rows:
-                places = settled.column(3)
-                of = pc.list_parent_indices(places)
-                yield pa.RecordBatch.from_arrays([settled.column(1).take(of), settled.column(2).take(of), places.flatten()], names)
+                yield pa.RecordBatch.from_arrays(settled.columns[1:4], names)
             batch = batch.filter(batch.column(0).is_valid())
             if not batch.num_rows:
                 continue
@@ -331,7 +334,7 @@ def repeated(found: DataFrame, window: int) -> DataFrame:
             yield decided(held)
 
     spread = F.coalesce("key", F.xxhash64("doc_id", "sub", F.element_at("places", 1)))
-    return found.repartition(spread).sortWithinPartitions("key", "doc_id", "sub").mapInArrow(run, "doc_id long, sub long, at long")
+    return found.repartition(spread).sortWithinPartitions("key", "doc_id", "sub").mapInArrow(run, "doc_id long, sub long, at array<long>")
 
 
 def united(at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -367,8 +370,8 @@ def _cut(docs: DataFrame, window: int, trigger: int, text: str, key: str) -> Dat
         marks = materialize(dictionary(parse(texts, window, trigger)), "marks")
         late = materialize(repeated(dictionary_texts(texts, marks, window), window), "repeated")
     release(docs.sparkSession)  # texts and windows were shuffled, however few rows they left
-    spans = marks.filter(F.col("trigger").isNull()).select("doc_id", "sub", "at").unionByName(late)
-    spans = spans.groupBy("doc_id", "sub").agg(F.collect_list("at").alias("spans"))
+    spans = marks.filter(F.col("trigger").isNull()).select("doc_id", "sub", F.array("at").alias("at")).unionByName(late)
+    spans = spans.groupBy("doc_id", "sub").agg(F.flatten(F.collect_list("at")).alias("spans"))
 
     @F.arrow_udf("struct<n_bytes:bigint,n_removed:bigint,n_spans:bigint,kept:binary>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
