@@ -89,16 +89,38 @@ def test_verdicts_with_null_and_repeated_keys_are_the_same_when_dealt(spark):
     assert texts(evaluation.evaluator_report(plain)) == texts(evaluation.evaluator_report(spread, 7))
 
 
+@pytest.mark.parametrize("method", [substring, prefix_free])
+def test_shuffle_files_go_behind_a_small_table_of_places(spark, monkeypatch, method):
+    """However few places the first step leaves, its shuffles of all windows are over before the next ones are written."""
+    session.release(spark)
+    time.sleep(2)
+    before, left = shuffle_files(spark), {}
+
+    def watched(df, name, **more):
+        made = session.materialize(df, name, **more)
+        if name == "marks":
+            left[name] = gone(spark, before)
+        return made
+
+    monkeypatch.setattr(session, "LARGE", 1 << 40)
+    monkeypatch.setattr(method, "materialize", watched)
+    texts = [(i, " ".join(f"w{(i % 3) * 7 + j}" for j in range(60))) for i in range(30)]
+    method.deduplicate(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert left == {"marks": True}
+
+
 def test_documents_that_repeat_a_line_have_a_row_for_each_content(spark, monkeypatch):
     """Not one for each place: the places of a line grow with its repeats, its windows don't."""
     monkeypatch.setattr(prefix_free, "GROUP_BYTES", 300)
-    line = "the same line of a text that says it again and again\n"
-    rows = [(i, f"{i:04d} " + line * 40) for i in range(8)]
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # within one task nearly all is settled
+    spark.conf.set(coalesce, "false")
+    rows = [(i, f"{i:04d} " + "the same line, again\n" * (40 + i)) for i in range(8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     own = substring.told_apart(docs, "text", "doc_id").select("doc_id", "sub", "text")
     found = prefix_free.dictionary_texts(own, prefix_free.dictionary(prefix_free.parse(own)), prefix_free.WINDOW)
     places = found.select(F.sum(F.size("places"))).first()[0]
     rows_in, rows_out = found.count(), prefix_free.repeated(found, prefix_free.WINDOW).count()
+    spark.conf.set(coalesce, "true")
     assert rows_out <= rows_in < places / 10
     kept = {r[0]: tuple(r[1:]) for r in prefix_free.deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()}
     assert kept == prefix_free.brute_force(rows)
