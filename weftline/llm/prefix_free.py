@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.substring import LEAST, Firsts, earliest, numbers, same_row, sliding, told_apart
 from weftline.llm.textops import byte_values, mix, others, range_hash, signed, small_batches, text_buffers, text_chunks, whole_windows, window_hashes, with_text
-from weftline.session import materialize, release
+from weftline.session import materialize
 
 WINDOW, TRIGGER = 50, 16
 #: Long texts are parsed in slices of so many windows.
@@ -367,9 +367,8 @@ def _cut(docs: DataFrame, window: int, trigger: int, text: str, key: str) -> Dat
     own = told_apart(docs, text, key)
     texts = own.select("doc_id", "sub", "text")
     with small_batches(docs.sparkSession):
-        marks = materialize(dictionary(parse(texts, window, trigger)), "marks")
-        late = materialize(repeated(dictionary_texts(texts, marks, window), window), "repeated")
-    release(docs.sparkSession)  # texts and windows were shuffled, however few rows they left
+        marks = materialize(dictionary(parse(texts, window, trigger)), "marks", large=True)
+        late = materialize(repeated(dictionary_texts(texts, marks, window), window), "repeated", large=True)
     spans = marks.filter(F.col("trigger").isNull()).select("doc_id", "sub", F.array("at").alias("at")).unionByName(late)
     spans = spans.groupBy("doc_id", "sub").agg(F.flatten(F.collect_list("at")).alias("spans"))
 

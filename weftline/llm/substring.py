@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.textops import Words, bounded, mix, others, range_hash, signed, text_buffers, text_chunks, whole_windows, window_hashes, with_text
-from weftline.session import materialize, release
+from weftline.session import materialize
 
 WINDOW, ANCHOR = 20, 8
 
@@ -305,12 +305,11 @@ def shortened(docs: DataFrame) -> DataFrame:
 def parsed(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, the row of docs and cut, a struct of n_words, n_removed, kept and factors."""
     own = told_apart(docs, text, key)
-    marks = materialize(factors(blocks(own.select("doc_id", "sub", "text"), window, anchor)), "marks")
+    marks = materialize(factors(blocks(own.select("doc_id", "sub", "text"), window, anchor)), "marks", large=True)
     late = boundary_windows(own.select("doc_id", "sub", "text"), marks, window)
     none = F.lit(None)
     # Written before the last join, so that the shuffles of texts and windows go first, however few rows they left.
-    late = materialize(late, "late")
-    release(docs.sparkSession)
+    late = materialize(late, "late", large=True)
     late = late.select("doc_id", "sub", "pos", F.lit(1).alias("n"), none.cast("long").alias("source"), none.cast("long").alias("source_sub"), none.cast("int").alias("source_pos"))
     spans = marks.filter("factor").drop("factor").unionByName(late)
     spans = spans.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("pos", "n", "source", "source_sub", "source_pos")).alias("spans"))

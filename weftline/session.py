@@ -97,9 +97,10 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, large: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: lineage ends here, and
-    the rows survive the loss of any executor."""
+    the rows survive the loss of any executor. large: texts or all their windows were shuffled for it, so that the shuffle
+    files go, however small the table itself is."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     scopes = _MADE.get()[:-1] if keep else _MADE.get()
@@ -108,7 +109,7 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength() >= LARGE:
+    if large or place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength() >= LARGE:
         del df
         release(spark)
     return table
